@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.terms import heading_of
-from termloom.llm import cooccurrence, frequency, ledger, quantiles, topn
+from termloom.llm import cooccurrence, frequency, ledger, quantiles, tokens, topn
 from termloom.operators.hotkeys import once
 from termloom.operators.packed import packed_lists
 from termloom.plans.core_queries import HEADING_SQL, IS_VALUE_SQL, VALUES_SQL
@@ -166,3 +166,23 @@ ORACLES = {
     "p7_found": f"""WITH s AS (SELECT {HEADING_SQL.format(x='seed')} AS seed_term, pmid, max(score) AS score FROM (SELECT unnest(string_split(contributing_seeds, ';')) AS seed, pmid, score_betweenness_centrality AS score FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND NOT isnan(score_betweenness_centrality)) GROUP BY 1, 2)
 SELECT seed_term, pmid, rnk::INTEGER AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY seed_term ORDER BY score DESC, pmid) AS rnk FROM s WHERE seed_term IS NOT NULL) WHERE rnk <= 10""",
 }
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_word_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct word decoded again through the id-to-piece join: words, tokens over the corpus, words that differ.
+
+    As the words of a text joined give the text, no differing word means that the whole corpus comes back unchanged.
+    """
+    words = written(tokens.distinct_words(table(spark, folder, "documents"), "text", tokens.vocabulary()), "p8-words")
+    back = tokens.decode_corpus(words.select("word", "ids"), "word", "ids").withColumnRenamed("word", "w")
+    both = words.join(back, F.col("word") == F.col("w"))
+    differ = F.sum((F.coalesce(F.col("text"), F.lit("")) != F.col("word")).cast("bigint"))
+    return both.agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_occurrences"), F.sum(F.col("n") * F.size("ids")).alias("n_tokens"), differ.alias("n_differing"))
+
+
+QUERIES |= {f.__name__: f for f in (p8_ids, p8_word_table)}
