@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.terms import heading_of
-from termloom.llm import cooccurrence, frequency, ledger, quantiles, tokens, topn
+from termloom.llm import cooccurrence, frequency, leakage, ledger, quantiles, tokens, topn
 from termloom.operators.hotkeys import once
 from termloom.operators.packed import packed_lists
 from termloom.plans.core_queries import HEADING_SQL, IS_VALUE_SQL, VALUES_SQL
@@ -186,3 +186,20 @@ def p8_word_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p8_ids, p8_word_table)}
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the items of which they hold twelve consecutive words or more."""
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its leaked runs, and what was removed."""
+    return leakage.cleaned(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+QUERIES |= {f.__name__: f for f in (p9_found, p9_cleaned)}
