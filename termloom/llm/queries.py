@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.terms import heading_of
-from termloom.llm import cooccurrence, frequency, leakage, ledger, quantiles, tokens, topn
+from termloom.llm import cooccurrence, frequency, leakage, ledger, pii, quantiles, tokens, topn
 from termloom.operators.hotkeys import once
 from termloom.operators.packed import packed_lists
 from termloom.plans.core_queries import HEADING_SQL, IS_VALUE_SQL, VALUES_SQL
@@ -203,3 +203,16 @@ def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p9_found, p9_cleaned)}
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct personal details of every document."""
+    return pii.find(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "kind", "val").distinct()
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with typed placeholders in place of its personal details."""
+    return pii.redact(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES |= {f.__name__: f for f in (p10_found, p10_redacted)}
