@@ -38,10 +38,14 @@ STREET_AFTER = "road|rd|lane|ln|close|drive|dr|street|st|avenue|ave|boulevard|bl
 STREET_BEFORE = "rue|avenue|boulevard|place|chemin|calle|avenida|plaza|via"
 
 _given = frozenset(GIVEN)
-_ending = re.compile(f"(?:{'|'.join(ENDINGS)})$")
+_endings = tuple(ENDINGS)
+_combining = re.compile("[\u0300-\u036f]")
 _gap = re.compile(r"[   ]{1,2}$")
 _word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*\.?")
-_email = re.compile(r"(?<![\w.+\-])([\w.+\-]{1,64})?(@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?)([\w\-]+(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?)[\w\-]+)*)")
+_at = re.compile(r"@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?")
+_local = re.compile(r"[\w.+\-]{1,64}$")
+_domain = re.compile(r"[\w\-]+(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?)[\w\-]+)*")
+_dot = re.compile(r"\.|\s?[\[({]\s?[dD][oO][tT]\s?[\])}]\s?")
 _atom = re.compile(r"\d+|[A-Z]+(?![a-z])")
 _name_part = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)*"
 _street = [
@@ -50,6 +54,8 @@ _street = [
     ("number_last", re.compile(rf"(?<![\w.\-])({STREET_BEFORE}) (?:(?:de|du|des|del|de la|de los) )?({_name_part}) \d{{1,4}}[a-z]?\b", re.I)),
     ("compound", re.compile(rf"(?<![\w.\-])({_name_part}(?:straße|strasse|weg|gasse|allee|platz)|{_name_part} (?:Str\.|Straße|Strasse|Weg|Allee|Platz)) \d{{1,4}}[a-z]?\b", re.I)),
 ]
+_hints = {"before": tuple(f"{w} " for w in STREET_BEFORE.split("|")), "number_last": tuple(f"{w} " for w in STREET_BEFORE.split("|")), "compound": ("straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "str. ")}
+_next_to = frozenset([" ", "  ", "\xa0", "\u2009", "\u202f", ", ", "-", ""])
 _phone_cue = re.compile(r"(?i)(tel|phone|fax|call|ring|mobile|telephone|reachable under|kontakt|oder|al|appel|tél)\b[\W_]{0,8}(?:me )?[\W_]{0,3}$")
 _id_cue = re.compile(r"(?i)(ssn|\bni|soc\.? sec\.?|social security|nhs|insurance|versicherungs|pension|passport|mrn|medical record|hospital|patient|national|member|steuer|identity)[ .\-]{0,2}(?:no|number|nummer|id|card)?[ .:#]{0,3}$")
 _other_cue = re.compile(r"(?i)(accession|plates?|cat\. no\.|grant|lot|protocol|section|doi:[\w./]*|item/|calibrated on|from|to|ci|fold|version|record:)\W{0,2}$")
@@ -74,11 +80,13 @@ def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     """Spans that may be a given name or initial with a family name, in either order, with their features."""
     words = [(m.start(), m.end(), m[0]) for m in _word.finditer(text)]
     n = len(words)
-    low = [_lower(w[2].rstrip(".")) for w in words]
+    low = [w[2].lower().rstrip(".") for w in words]
+    if _combining.search(text):
+        low = [unicodedata.normalize("NFC", x) for x in low]
     start = [w[0] for w in words]
     initial = [len(w[2]) == 2 and w[2][1] == "." for w in words]
     named = [x in _given for x in low]
-    family = [len(x) >= 5 and _ending.search(x) is not None for x in low]
+    family = [len(x) >= 5 and x.endswith(_endings) for x in low]
     dotted = [w[2][-1] == "." for w in words]
 
     def gap(i: int) -> str:
@@ -101,7 +109,9 @@ def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         upper = words[i][2][0].isupper()
         if not (upper or named[i] or family[i] or (initial[i] and i + 1 < n and family[i + 1])):
             continue
-        if i and text[words[i][0] - 1] in "@.+_":
+        if i + 1 == n or text[words[i][1] : start[i + 1]] not in _next_to or i and text[words[i][0] - 1] in "@.+_":
+            continue
+        if not (words[i + 1][2][0].isupper() or named[i] or named[i + 1] or family[i + 1] or initial[i + 1] or low[i + 1] in PARTICLES):
             continue
         # given name or initial, middle initials, particles, family name
         if (initial[i] or len(low[i]) >= 2) and not (dotted[i] and not initial[i]):
@@ -220,20 +230,25 @@ def number_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
 
 
 def email_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
-    if "@" not in text and "at" not in text.lower():
-        return
-    for m in _email.finditer(text):
-        local, at, domain = m[1] or "", m[2], m[3]
-        labels = [x for x in re.split(r"\.|\s?[\[({]\s?[dD][oO][tT]\s?[\])}]\s?", domain) if x]
+    for at in _at.finditer(text):
+        domain = _domain.match(text, at.end())
+        if not domain:
+            continue
+        local = _local.search(text, max(0, at.start() - 64), at.start())
+        labels = [x for x in _dot.split(domain[0]) if x]
         tld = labels[-1] if labels else ""
-        f = ["e", f"e:at={'@' if at == '@' else 'word'}", f"e:local={'none' if not local else 'digits' if local.isdigit() else 'text'}", f"e:labels={min(len(labels), 4)}", f"e:tld={'alpha' if tld.isalpha() and len(tld) > 1 else 'other'}"]
-        if "://" in text[max(0, m.start() - 12) : m.start()]:
+        start = local.start() if local else at.start()
+        f = ["e", f"e:at={'@' if at[0] == '@' else 'word'}", f"e:local={'none' if not local else 'digits' if local[0].isdigit() else 'text'}", f"e:labels={min(len(labels), 4)}", f"e:tld={'alpha' if tld.isalpha() and len(tld) > 1 else 'other'}"]
+        if "://" in text[max(0, start - 12) : start]:
             f.append("e:url before")
-        yield m.start(), m.end(), "email", f
+        yield start, domain.end(), "email", f
 
 
 def street_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+    low = text.lower()
     for form, pattern in _street:
+        if form in _hints and not any(w in low for w in _hints[form]):
+            continue
         for m in pattern.finditer(text):
             capital = m[1][0].isupper() or (form in ("before", "number_last") and m[2][0].isupper())
             f = ["s", f"s:form={form}", f"s:capital={capital:d}"]
