@@ -11,9 +11,9 @@ def heading_of(token: Column) -> Column:
 
     Null, blank and asterisk-only tokens have none: the result is null.
     """
-    before = F.regexp_replace(F.regexp_replace(token, r"(?s)/.*", ""), r"(?U)^\s+|\s+$", "")
-    bare = F.regexp_replace(F.regexp_replace(before, r"(?U)^\*+\s*", ""), r"(?U)\s+", " ")
-    return F.nullif(F.lower(bare), F.lit(""))
+    before = F.substring_index(token, "/", 1)
+    even = F.when(before.rlike(r"(?U)[^\S ]|  "), F.regexp_replace(before, r"(?U)\s+", " ")).otherwise(before)
+    return F.nullif(F.lower(F.trim(F.ltrim(F.trim(even), F.lit("*")))), F.lit(""))
 
 
 def parse_terms(packed: Column) -> Column:
