@@ -15,7 +15,7 @@ def generation_number(gen: Column) -> Column:
 def generation_weight(gen: Column, decay: float = 1.0) -> Column:
     """``exp(-decay * k)``, 1.0 for ``P0``; a plain number counts as k, negatives as 0; 0.0 where nothing can be read."""
     number = F.try_to_number(F.trim(gen), F.lit("S999999999.999999")).cast("double")
-    k = F.coalesce(generation_number(gen).cast("double"), F.greatest(number, F.lit(0.0)))
+    k = F.coalesce(generation_number(gen).cast("double"), F.when(number.isNotNull(), F.greatest(number, F.lit(0.0))))
     return F.coalesce(F.exp(-decay * k), F.lit(0.0))
 
 
