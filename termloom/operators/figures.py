@@ -229,3 +229,11 @@ def ward(vectors: np.ndarray) -> np.ndarray:
         size[i] += size[j]
         name[i] = n + k
     return np.array(out)
+
+
+def ward_linkage(vectors: DataFrame, limit: int = 5000) -> DataFrame:
+    """``a, b, height, size`` of :func:`ward` over ``(id, vector)`` in the order of the ids; more than ``limit`` rows raise."""
+    if vectors.count() > limit:
+        raise ValueError(f"more than {limit} vectors")
+    rows = ward(np.array(vectors.orderBy("id").toPandas()["vector"].tolist()))
+    return vectors.sparkSession.createDataFrame(pd.DataFrame(rows.reshape(-1, 4), columns=["a", "b", "height", "size"]), "a double, b double, height double, size double")

@@ -224,13 +224,13 @@ def edge_loglik(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edge_significance(spark: SparkSession, folder: str) -> DataFrame:
-    return network.significance(scored(spark, folder)).select("source", "target", F.round("mlf_p_value", 6).alias("mlf_p_value"))
+    return network.significance(scored(spark, folder)).select("source", "target", F.round("mlf_p_value", 5).alias("mlf_p_value"))
 
 
 def edge_table(spark: SparkSession, folder: str) -> DataFrame:
     _, _, bags, e = edges_of(spark, folder)
     t = network.edge_table(written(network.scored_edges(e), "scored"), bags)
-    return t.select("source", "target", "cooccurrence_count", F.round("cumulative_weight_original", 6).alias("cumulative_weight_original"), *[F.round(c, 6).alias(c) for c in ("weight", "normalized_cooccurrence", "log1p_cooccurrence_minmax", "mlf_p_value")])
+    return t.select("source", "target", "cooccurrence_count", F.round("cumulative_weight_original", 6).alias("cumulative_weight_original"), *[F.round(c, 6).alias(c) for c in ("weight", "normalized_cooccurrence", "log1p_cooccurrence_minmax")], F.round("mlf_p_value", 5).alias("mlf_p_value"))
 
 
 def node_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -524,12 +524,7 @@ def node_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ward_linkage(spark: SparkSession, folder: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    v = node_vectors(spark, folder).orderBy("id").limit(2000).toPandas()
-    rows = figures.ward(np.array(v.vector.tolist()))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["a", "b", "height", "size"]))
+    return figures.ward_linkage(node_vectors(spark, folder))
 
 
 _NAMES = {"parse_terms_query": "parse_terms", "components_query": "components"}

@@ -58,7 +58,7 @@ PARTS = {
     "ars": "SELECT pmid, sum(strength) / (SELECT sum(strength) FROM seeds) AS score_strength, sum(degree) / (SELECT sum(degree) FROM seeds) AS score_degree, string_agg(term, ';' ORDER BY term) AS contributing_seeds FROM pooltok JOIN seeds USING (term) GROUP BY 1",
     "crs": "SELECT term, count(*) AS n_articles, avg(score_strength) * log10(count(*) + 1) AS cs, avg(score_degree) * log10(count(*) + 1) AS cd FROM pooltok JOIN seeds USING (term) JOIN ars USING (pmid) GROUP BY 1",
     "crsr": "SELECT term, strength, degree, round(cs, 6) AS crs_strength, round(cd, 6) AS crs_degree FROM crs JOIN seeds USING (term)",
-    "sart": "SELECT pmid, max(score_betweenness_centrality) AS score, min(contributing_seeds) AS contributing_seeds FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND NOT isnan(score_betweenness_centrality) GROUP BY 1",
+    "sart": "SELECT pmid, max(score_betweenness_centrality) AS score, min(contributing_seeds) AS contributing_seeds FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND score_betweenness_centrality::VARCHAR <> 'nan' GROUP BY 1",
     "desc": "SELECT descriptor_name, min(descriptor_ui) AS descriptor_ui FROM mesh_terms WHERE descriptor_name IS NOT NULL AND descriptor_ui IS NOT NULL GROUP BY 1",
     "dnum": "SELECT *, substr(descriptor_ui, 2)::BIGINT AS n FROM \"desc\"",
     "tree": "SELECT descriptor_name, substr('ABCDEFGHIJKLMNVZ', (n % 16 + 1)::INTEGER, 1) AS letter FROM dnum WHERE n % 7 <> 0 UNION SELECT descriptor_name, 'G' FROM dnum WHERE n % 7 <> 0 AND n % 5 = 0",
@@ -119,8 +119,8 @@ SELECT record_no, (row_number() OVER (PARTITION BY record_no ORDER BY i, j) - 1)
     "node_strengths": sql("SELECT * FROM k"),
     "degree": sql("SELECT id, degree FROM k"),
     "edge_loglik": sql("SELECT source, target, loglik FROM sc"),
-    "edge_significance": sql("SELECT source, target, abs(round(mlf, 6)) AS mlf_p_value FROM mlf"),
-    "edge_table": sql(f"SELECT source, target, cooccurrence_count, round(cumulative_weight, 6) AS cumulative_weight_original, round({_RANK.format(x='cumulative_weight')}, 6) AS weight, round(cooccurrence_count / (a.article_count + b.article_count - cooccurrence_count), 6) AS normalized_cooccurrence, round((ln(1 + cooccurrence_count) - min(ln(1 + cooccurrence_count)) OVER ()) / (max(ln(1 + cooccurrence_count)) OVER () - min(ln(1 + cooccurrence_count)) OVER ()), 6) AS log1p_cooccurrence_minmax, abs(round(mlf, 6)) AS mlf_p_value FROM mlf JOIN n a ON a.term = source JOIN n b ON b.term = target"),
+    "edge_significance": sql("SELECT source, target, abs(round(mlf, 5)) AS mlf_p_value FROM mlf"),
+    "edge_table": sql(f"SELECT source, target, cooccurrence_count, round(cumulative_weight, 6) AS cumulative_weight_original, round({_RANK.format(x='cumulative_weight')}, 6) AS weight, round(cooccurrence_count / (a.article_count + b.article_count - cooccurrence_count), 6) AS normalized_cooccurrence, round((ln(1 + cooccurrence_count) - min(ln(1 + cooccurrence_count)) OVER ()) / (max(ln(1 + cooccurrence_count)) OVER () - min(ln(1 + cooccurrence_count)) OVER ()), 6) AS log1p_cooccurrence_minmax, abs(round(mlf, 5)) AS mlf_p_value FROM mlf JOIN n a ON a.term = source JOIN n b ON b.term = target"),
     "node_table": sql(f"""SELECT id, CASE WHEN g = 0 THEN 'P0' WHEN g > 0 THEN 'G' || g ELSE 'Unknown' END AS generation, round(gw, 6) AS generation_weight, is_major_topic, article_count, round(r, 6) AS article_count_rank_normalized, round(n_major / article_count, 6) AS major_topic_proportion, round(rm, 6) AS rank_norm_median_cit, round(ra, 6) AS rank_norm_mean_cit, round(rt, 6) AS rank_norm_total_cit, round(0.45::DOUBLE * gw + 0.15::DOUBLE * r + 0.2::DOUBLE * rm + 0.2::DOUBLE * rt, 6) AS adjusted_node_weight, degree FROM (
 SELECT x.term AS id, g, x.generation_weight AS gw, is_major_topic, article_count, n_major, r, coalesce(rank_median_citations, 0) AS rm, coalesce(rank_mean_citations, 0) AS ra, coalesce(rank_total_citations, 0) AS rt, coalesce(degree, 0) AS degree FROM (SELECT *, {_RANK.format(x='article_count')} AS r FROM n) x LEFT JOIN trank ON trank.term = x.term LEFT JOIN k ON k.id = x.term)"""),
     "loglik_topk": sql("SELECT source, target, cooccurrence_count FROM suba"),
