@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,16 @@ class KeyLedger:
         self.path = path or scratch(spark, "ledger")
         self.name = "ledger_" + re.sub(r"\W", "_", self.path)[-60:]
         self.started = False
+        atexit.register(self.drop)
         self.n_batches = 0
 
+    def drop(self) -> None:
+        """Takes the ledger's table out of the catalog; its files go with the shared folder's."""
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        except Exception:  # the session may already be gone
+            pass
+
     def _read(self) -> DataFrame:
         return self.spark.table(self.name)
 

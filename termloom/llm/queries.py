@@ -163,7 +163,7 @@ ORACLES = {
     "p4_pairs": _PAIRS + f" SELECT term_a, term_b, n_ab, n_a, n_b, n, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM q",
     "p5_frequencies": _FREQ + " SELECT * FROM f",
     "p5_found": _FREQ + " SELECT source_table, term, mark FROM f WHERE mark IS NOT NULL",
-    "p7_found": f"""WITH s AS (SELECT {HEADING_SQL.format(x='seed')} AS seed_term, pmid, max(score) AS score FROM (SELECT unnest(string_split(contributing_seeds, ';')) AS seed, pmid, score_betweenness_centrality AS score FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND NOT isnan(score_betweenness_centrality)) GROUP BY 1, 2)
+    "p7_found": f"""WITH s AS (SELECT {HEADING_SQL.format(x='seed')} AS seed_term, pmid, max(score) AS score FROM (SELECT unnest(string_split(contributing_seeds, ';')) AS seed, pmid, score_betweenness_centrality AS score FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND score_betweenness_centrality::VARCHAR <> 'nan') GROUP BY 1, 2)
 SELECT seed_term, pmid, rnk::INTEGER AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY seed_term ORDER BY score DESC, pmid) AS rnk FROM s WHERE seed_term IS NOT NULL) WHERE rnk <= 10""",
 }
 
