@@ -49,8 +49,8 @@ def radix_select(df: DataFrame, groups: list[str], value: str, pcts: list[int])
 
     Values become order-preserving integers; digit by digit (``DIGITS`` bits) a histogram per group tells the digit in which
     each wanted rank lies, and only rows below that digit go on to the next. Every histogram is a count per (group, digit),
-    combined map-side: a group with a third of all rows costs one state per task and digit. The wanted prefixes (at most two
-    per group and percentile) are broadcast when counted small, else joined by a salted shuffle. Null and NaN values are
+    combined map-side: a group with a third of all rows costs one state per task and digit. Hashes of the wanted
+    prefixes (at most two per group and percentile) are broadcast when counted small, else joined by a salted shuffle. Null and NaN values are
     ignored; a group without values gives no row. ``df`` must not have columns named ``pct``, ``bits`` or ``rank``.
     """
     data = written(df.select(*groups, ordered_bits(F.col(value)).alias("bits")).where(F.col("bits").isNotNull()), "radix-values")
@@ -74,9 +74,7 @@ def radix_select(df: DataFrame, groups: list[str], value: str, pcts: list[int])
             above = F.shiftright("bits", shift + width)
             mask = (1 << width) - 1
             rows = data.select(*groups, above.alias("prefix"), F.shiftright("bits", shift).bitwiseAND(F.lit(mask)).alias("digit"))
-            alive = wanted.select(*groups, "prefix").distinct()
-            n_alive = alive.count()
-            hist = _filtered_histogram(rows, alive, n_alive, groups)
+            hist = _filtered_histogram(rows, wanted, groups)
             keys = [*groups, "prefix"]
         w = Window.partitionBy(*keys).orderBy("digit")
         hist = hist.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
@@ -94,18 +92,21 @@ def radix_select(df: DataFrame, groups: list[str], value: str, pcts: list[int])
     return out.select(*groups, "pct", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
-def _filtered_histogram(rows: DataFrame, alive: DataFrame, n_alive: int, groups: list[str]) -> DataFrame:
-    """Counts per (group, prefix, digit) of the rows whose prefix is wanted."""
-    side = maybe_broadcast(alive, n_alive)
+def _filtered_histogram(rows: DataFrame, alive: DataFrame, groups: list[str]) -> DataFrame:
+    """Counts per (group, prefix, digit) of the rows whose prefix is wanted.
+
+    Only 64-bit hashes of the wanted (group, prefix) pairs are sent to the rows: eight bytes each, whatever the groups'
+    texts. A row let through by a collision does no harm, as its histogram meets no wanted rank.
+    """
     names = [*groups, "prefix"]
-    if side is alive:  # too many prefixes: salt the rows and repeat the prefixes
+    wanted = written(alive.select(F.xxhash64(*names).alias("alive")).distinct(), "alive")
+    side = maybe_broadcast(wanted, wanted.count())
+    rows = rows.withColumn("hash", F.xxhash64(*names))
+    if side is wanted:  # too many: salt the rows and repeat the hashes
         salts = 16
-        rows = rows.withColumn("salt", (F.rand(7) * salts).cast("int"))
-        side = alive.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        names = [*names, "salt"]
-    a = side.select(*[F.col(k).alias(f"a_{k}") for k in names])
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"a_{k}")) for k in names])
-    return rows.join(a, on, "left_semi").groupBy(*groups, "prefix", "digit").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.withColumn("hash", F.xxhash64("hash", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+        side = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).select(F.xxhash64("alive", "salt").alias("alive"))
+    return rows.join(side, F.col("hash") == F.col("alive"), "left_semi").groupBy(*names, "digit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sketch(df: DataFrame, groups: list[str], value: str) -> DataFrame:
