@@ -25,13 +25,13 @@ def combine_by_key(df: DataFrame, key: Column, values: dict[str, Column], key_na
     Rows without key are left out; null values are ignored and give null statistics when nothing else is there.
     """
     cols = {f"__v{i}": v for i, v in enumerate(values.values())}
-    flat = df.select(key.alias(key_name), *[v.alias(c) for c, v in cols.items()]).where(F.col(key_name).isNotNull())
+    flat = df.select(key.alias(key_name), *[v.alias(c) for c, v in cols.items()])
     named = dict(zip(values, (F.col(c) for c in cols), strict=True))
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    aggs = [F.count(key_name).alias("n_rows")]  # 0 for the null key, which so drops out without working out the key twice
     for name, v in named.items():
         d = v.cast("double")
         aggs += [F.count(d).alias(f"{name}_n"), F.sum(d).alias(f"{name}_sum"), F.min(d).alias(f"{name}_min"), F.max(d).alias(f"{name}_max"), F.avg(d).alias(f"{name}_mean"), F.var_pop(d).alias(f"{name}_var")]
-    return flat.groupBy(key_name).agg(*aggs)
+    return flat.groupBy(key_name).agg(*aggs).where(F.col("n_rows") > 0)
 
 
 def heavy_keys(df: DataFrame, key: Column, one_in: int, key_name: str = "key") -> DataFrame:
