@@ -41,19 +41,22 @@ LEAST = {50: 40.0, 90: 150.0, 99: 600.0}
 
 
 def measured_values(spark: SparkSession, folder: str, day: bool = False) -> DataFrame:
-    """(source_table, group_key, value[, day]) of both percentile inputs: known, non-negative values, redelivered rows once."""
+    """(source_table, group_key, value[, day]) of both percentile inputs: known, non-negative values, redelivered rows once.
+
+    Rows without a group come along under a null key (asking for it here would work out every heading twice).
+    """
     stats, art = table(spark, folder, "mesh_stats_df"), table(spark, folder, "df")
     s = stats.select("stat_id", F.lit("mesh_stats_df").alias("source_table"), heading_of(F.col("mesh_term")).alias("group_key"), F.col("median_citations").alias("value"), F.col("harvest_day").alias("day"))
     a = art.select("row_id", F.lit("df").alias("source_table"), F.col("harvest_batch").cast("string").alias("group_key"), F.col("cited_by_count").cast("double").alias("value"), F.lit(None).cast("date").alias("day"))
     cols = ["source_table", "group_key", "value", *(["day"] if day else [])]
-    ok = (F.col("value") >= 0) & ~F.isnan("value") & F.col("group_key").isNotNull()
+    ok = (F.col("value") >= 0) & ~F.isnan("value")
     return once(s.where(ok), "stat_id", cols).unionByName(once(a.where(ok), "row_id", cols))
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles per group by radix selection."""
     got = quantiles.radix_select(measured_values(spark, folder), ["source_table", "group_key"], "value", PCTS)
-    return got.select("source_table", "group_key", F.col("pct").cast("int").alias("pct"), "value")
+    return got.where(F.col("group_key").isNotNull()).select("source_table", "group_key", F.col("pct").cast("int").alias("pct"), "value")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
