@@ -107,7 +107,7 @@ def frequencies(spark: SparkSession, folder: str) -> DataFrame:
     """(grp, term, occurrences, records, weight): headings of the annotation records; headings of the statistics with sums."""
     master = annotation_records(spark, folder).select(F.lit("master_mesh_annotations").alias("grp"), F.col("headings").alias("terms"), F.lit(0.0).alias("weight"))
     stats = table(spark, folder, "mesh_stats_df").select("stat_id", heading_of(F.col("mesh_term")).alias("h"), "total_pmids")
-    stats = once(stats.where(F.col("h").isNotNull() & (F.col("total_pmids") >= 0)), "stat_id", ["h", "total_pmids"])
+    stats = once(stats.where(F.col("total_pmids") >= 0), "stat_id", ["h", "total_pmids"])
     stats = stats.select(F.lit("mesh_stats_df").alias("grp"), F.array("h").alias("terms"), F.col("total_pmids").cast("double").alias("weight"))
     return frequency.term_frequencies(master.unionByName(stats), "grp", "terms", "weight")
 
