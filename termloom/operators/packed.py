@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 PLACEHOLDERS = ["nan", "null", "-", "[]"]
 HARD = np.frombuffer(b";|\t\n\r", dtype=np.uint8)
 QUOTE, COMMA, SPACE, DOT = 34, 44, 32, 46
+_SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE, _ODD_SPACE = f"[{_SPACES}]+", f"  |[{_SPACES.replace(' ', '')}]"
 
 
 def _bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,21 @@ def _split_numbers(arr: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return row, _strings(raw[index], child)
 
 
-SPLITTERS = {"terms": _split_terms, "numbers": _split_numbers}
+def headings(values: pa.Array) -> pa.Array:
+    """The headings of tokens, as ``functions.terms.heading_of`` has them, for whole arrays; tokens without one give ''."""
+    before = pc.replace_substring_regex(values, r"(?s)/.*$", "")
+    if pc.any(odd := pc.match_substring_regex(before, _ODD_SPACE)).as_py():
+        before = pc.if_else(odd, pc.replace_substring_regex(before, _SPACE, " "), before)
+    bare = pc.utf8_trim(pc.utf8_ltrim(pc.utf8_trim(before, " "), "*"), " ")
+    return pc.utf8_lower(bare)
+
+
+def _split_headings(arr: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    parent, values = _split_terms(arr)
+    return parent, headings(values)
+
+
+SPLITTERS = {"terms": _split_terms, "headings": _split_headings, "numbers": _split_numbers}
 
 
 def split_array(arr: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -124,7 +140,8 @@ def split_array(arr: pa.Array | pa.ChunkedArray, kind: str) -> tuple[np.ndarray,
 def explode_packed(df: DataFrame, fields: dict[str, str], keys: list[str]) -> DataFrame:
     """One row per packed value: the ``keys``, ``field_name``, ``pos`` (int from 1) and ``val``.
 
-    ``fields`` maps column names to ``"terms"`` (quoted headings) or ``"numbers"`` (citation lists). Null, empty and
+    ``fields`` maps column names to ``"terms"`` (quoted headings), ``"headings"`` (the same, brought to their plain form) or
+    ``"numbers"`` (citation lists). Null, empty and
     placeholder fields give no row; repeated rows and repeated values stay. Other columns are not read, so extra columns
     never clash. The keys must not be named ``field_name``, ``pos`` or ``val``. Map-only: no shuffle, no state.
     """

@@ -1,9 +1,13 @@
+import random
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from termloom.operators.packed import explode_packed, packed_lists, split_array
+from termloom.functions.terms import heading_of
+from termloom.operators.packed import explode_packed, headings, packed_lists, split_array
 
 
 def split_terms_slowly(field):
@@ -85,3 +89,10 @@ def test_empty_table_and_lists(spark):
 @pytest.mark.parametrize("kind", ["terms", "numbers"])
 def test_all_null_batch(kind):
     assert values([None, None], kind) == [[], []]
+
+
+def test_headings_of_arrays_equal_the_column_expression(spark):
+    r = random.Random(3)
+    toks = ["".join(r.choices(" \t\n*/aB,\"é\xa0\u2003\u3000-", k=r.randint(0, 12))) for _ in range(3000)]
+    want = [x["h"] or "" for x in spark.createDataFrame([(i, t) for i, t in enumerate(toks)], "i int, t string").select("i", heading_of(F.col("t")).alias("h")).orderBy("i").collect()]
+    assert headings(pa.array(toks)).to_pylist() == want
