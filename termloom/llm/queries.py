@@ -81,9 +81,8 @@ def annotation_records(spark: SparkSession, folder: str) -> DataFrame:
     """Per non-null pmid the row with the lowest record_no, as its sorted set of headings; empty sets left out."""
     rows = table(spark, folder, "master_mesh_annotations").where(F.col("pmid").isNotNull())
     firsts = rows.groupBy("pmid").agg(F.min_by("mesh_terms", "record_no").alias("mesh_terms"))
-    lists = packed_lists(firsts, "mesh_terms", "terms", ["pmid"])
-    headings = F.array_sort(F.array_distinct(F.filter(F.transform("vals", heading_of), lambda h: h.isNotNull())))
-    return lists.select("pmid", headings.alias("headings")).where(F.size("headings") > 0)
+    lists = packed_lists(firsts, "mesh_terms", "headings", ["pmid"])
+    return lists.where(F.size("vals") > 0).select("pmid", F.array_sort(F.array_distinct("vals")).alias("headings"))
 
 
 def _pairs(spark: SparkSession, folder: str, min_pairs: int, min_share: int | None) -> DataFrame:
