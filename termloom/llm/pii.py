@@ -39,7 +39,6 @@ STREET_BEFORE = "rue|avenue|boulevard|place|chemin|calle|avenida|plaza|via"
 
 _given = frozenset(GIVEN)
 _endings = tuple(ENDINGS)
-_combining = re.compile("[\u0300-\u036f]")
 _gap = re.compile(r"[   ]{1,2}$")
 _word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*\.?")
 _at = re.compile(r"@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?")
@@ -47,6 +46,7 @@ _local = re.compile(r"[\w.+\-]{1,64}$")
 _domain = re.compile(r"[\w\-]+(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?)[\w\-]+)*")
 _dot = re.compile(r"\.|\s?[\[({]\s?[dD][oO][tT]\s?[\])}]\s?")
 _atom = re.compile(r"\d+|[A-Z]+(?![a-z])")
+_chain = re.compile(r"(?:[A-Z]{1,2} ?)?\d(?:[ .\-/()+A-Z\xa0]{0,4}\d){4,}(?: ?[A-Z])?")
 _name_part = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)*"
 _street = [
     ("after", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-z]? (?:[NSEW]\. )?({_name_part}(?: {_name_part})?) ({STREET_AFTER})\b\.?", re.I)),
@@ -76,18 +76,27 @@ def _lower(word: str) -> str:
     return unicodedata.normalize("NFC", word).lower()
 
 
+_kinds: dict[str, tuple[str, bool, bool, bool, bool]] = {}
+
+
+def _kind_of(word: str) -> tuple[str, bool, bool, bool, bool]:
+    """(lower case, initial, given name, family ending, full stop at its end) of a word, kept for the next time."""
+    low = _lower(word).rstrip(".")
+    kind = (low, len(word) == 2 and word[1] == ".", low in _given, len(low) >= 5 and low.endswith(_endings), word[-1] == ".")
+    if len(_kinds) > 200_000:
+        _kinds.clear()
+    _kinds[word] = kind
+    return kind
+
+
 def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     """Spans that may be a given name or initial with a family name, in either order, with their features."""
     words = [(m.start(), m.end(), m[0]) for m in _word.finditer(text)]
     n = len(words)
-    low = [w[2].lower().rstrip(".") for w in words]
-    if _combining.search(text):
-        low = [unicodedata.normalize("NFC", x) for x in low]
+    if n < 2:
+        return
     start = [w[0] for w in words]
-    initial = [len(w[2]) == 2 and w[2][1] == "." for w in words]
-    named = [x in _given for x in low]
-    family = [len(x) >= 5 and x.endswith(_endings) for x in low]
-    dotted = [w[2][-1] == "." for w in words]
+    low, initial, named, family, dotted = zip(*[_kinds.get(w[2]) or _kind_of(w[2]) for w in words], strict=True)
 
     def gap(i: int) -> str:
         """Between word i and the next; a full stop counts to the gap unless it ends an initial."""
@@ -181,7 +190,7 @@ def _name_features(text: str, s: int, e: int, form: str, given: bool, family: bo
 
 def number_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     """Runs of up to ``MAX_ATOMS`` groups of digits and capitals, each as a phone and as an identity number."""
-    atoms = [(m.start(), m.end()) for m in _atom.finditer(text)]
+    atoms = [(m.start(), m.end()) for c in _chain.finditer(text) for m in _atom.finditer(text, max(0, c.start() - 1), min(len(text), c.end() + 2))]
     for i, (s, _) in enumerate(atoms):
         if not (text[s].isdigit() or atoms[i][1] - s <= 2):
             continue
