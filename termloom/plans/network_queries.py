@@ -333,17 +333,14 @@ def community_rank(spark: SparkSession, folder: str) -> DataFrame:
 def component_report(spark: SparkSession, folder: str) -> DataFrame:
     """The five components after the largest with their node of highest weighted degree."""
     b, m = communities(spark, folder)
-    k = graph_strength(b)
-    top = m.join(k, "id").groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct(F.col("strength"), F.col("neg"))).alias("top_node"))
-    return top.where((F.col("community") > 1) & (F.col("community") <= 6)).select("community", "n", "top_node")
+    return top_nodes(b, m).where((F.col("community") > 1) & (F.col("community") <= 6)).select("community", "n", F.col("id").alias("top_node"))
 
 
-def graph_strength(b: DataFrame) -> DataFrame:
-    """Strengths with ``neg``, a number that falls as the id rises, to break ties by the smaller id."""
-    from pyspark.sql import Window
-
-    k = network.strengths(b)
-    return k.withColumn("neg", -F.row_number().over(Window.orderBy("id")))
+def top_nodes(b: DataFrame, m: DataFrame) -> DataFrame:
+    """``community, n, id``: size and node of highest weighted degree, of equals the smallest id."""
+    k = m.select("id", "community").join(network.strengths(b), "id")
+    best = k.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.max("strength").alias("strength"))
+    return k.join(best, ["community", "strength"]).groupBy("community", "n").agg(F.min("id").alias("id"))
 
 
 def strata(spark: SparkSession, folder: str) -> DataFrame:
@@ -363,8 +360,7 @@ def community_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 def community_label(spark: SparkSession, folder: str) -> DataFrame:
     b, m = communities(spark, folder)
-    top = m.join(graph_strength(b), "id").groupBy("community").agg(F.max_by("id", F.struct(F.col("strength"), F.col("neg"))).alias("id"))
-    named = figures.annotate(top, strata(spark, folder))
+    named = figures.annotate(top_nodes(b, m), strata(spark, folder))
     return named.select("community", F.concat(F.col("community").cast("string"), F.lit(": "), "id", F.lit(" ("), "aop_level", F.lit(")")).alias("label"))
 
 

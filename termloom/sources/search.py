@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
 from typing import Protocol
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIED = frozenset({429, 500, 502, 503, 504})
@@ -61,6 +64,36 @@ def bisect_days(days: Iterable[tuple[date, int]], limit: int) -> list[tuple[date
     return bisect_range(lambda a, b: sum(n for d, n in known.items() if a <= d <= b), min(known), max(known), limit)
 
 
+def fetch_in_batches(ids: DataFrame, key: str, make: Callable[[], Callable[[list[int]], dict[int, str | None]]], size: int = 9999) -> DataFrame:
+    """``key, status, val`` for every non-null id: one remote call per ``size`` ids, made inside the tasks.
+
+    ``make()`` gives the call, from ids to values by id. ``status`` is ``ok``, ``empty`` (answered without value, val ''), or
+    ``failed`` (the call gave up after its retries, or left the id out; val null), so a failure never looks like an empty
+    answer. Ids must be distinct.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, held = make(), []
+
+        def ask(chunk: list[int]) -> pd.DataFrame:
+            try:
+                got = with_retries(lambda: call(chunk))
+            except SearchError:
+                got = {}
+            status = ["failed" if i not in got else "ok" if got[i] else "empty" for i in chunk]
+            return pd.DataFrame({key: chunk, "status": status, "val": [None if i not in got else got[i] or "" for i in chunk]})
+
+        for batch in batches:
+            held += batch[key].tolist()
+            while len(held) >= size:
+                yield ask(held[:size])
+                held = held[size:]
+        if held:
+            yield ask(held)
+
+    return ids.select(F.col(key).cast("bigint").alias(key)).where(F.col(key).isNotNull()).mapInPandas(run, f"{key} bigint, status string, val string")
+
+
 class _Range(InputPartition):
     def __init__(self, first: date, last: date, n: int):
         super().__init__((first, last, n))

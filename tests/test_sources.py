@@ -87,3 +87,17 @@ def test_graph_document(spark, tmp_path):
 def test_validation(spark):
     with pytest.raises(ValueError, match="missing columns: y"):
         validate_columns(spark.range(1), ["id", "y"])
+
+
+def test_fetching_in_batches(spark):
+    def make():
+        def call(ids):
+            if 13 in ids:
+                raise search.SearchError("gone", 400)
+            return {i: None if i % 2 else f"t{i}" for i in ids if i != 4}
+
+        return call
+
+    ids = spark.createDataFrame([(i,) for i in [*range(20), None]], "pmid long").coalesce(1)
+    got = {r.pmid: (r.status, r.val) for r in search.fetch_in_batches(ids, "pmid", make, 5).collect()}
+    assert len(got) == 20 and got[0] == ("ok", "t0") and got[1] == ("empty", "") and got[4] == ("failed", None) and got[12] == ("failed", None) and got[15] == ("empty", "")
