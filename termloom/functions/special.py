@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import termloom.session  # noqa: F401
+
 
 def log_gamma(x: Column) -> Column:
     """Natural logarithm of gamma for x > 0: Stirling's series at x + 10 for small x, inside codegen."""

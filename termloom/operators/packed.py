@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+import termloom.session  # noqa: F401
+
 #: Field contents that stand for "nothing listed", compared in lower case without surrounding white space.
 PLACEHOLDERS = ["nan", "null", "-", "[]"]
 HARD = np.frombuffer(b";|\t\n\r", dtype=np.uint8)

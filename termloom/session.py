@@ -6,9 +6,15 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import termloom
+
+# Functions of this package travel to the workers with their code: executors need not have it installed.
+cloudpickle.register_pickle_by_value(termloom)
+
 #: Largest side, in estimated bytes, that an operator of this package broadcasts on its own.
 BROADCAST_BYTES = 32 << 20
 

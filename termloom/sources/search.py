@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+import termloom.session  # noqa: F401
+
 RETRIED = frozenset({429, 500, 502, 503, 504})
 
 

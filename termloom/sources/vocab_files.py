@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import termloom.session  # noqa: F401
+
 FIELD, SUBFIELD, RECORD = b"\x1e", b"\x1f", b"\x1d"
 
 
