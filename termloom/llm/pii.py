@@ -19,6 +19,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+import termloom.session  # noqa: F401
+
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 MAX_CHARS, MAX_ATOMS = 90, 7
@@ -357,9 +359,10 @@ def find(df: DataFrame, key: str, text: str) -> DataFrame:
     Map-only, whole texts, rows in any order; repeated rows give repeated results.
     """
     key_type = df.schema[key].dataType.simpleString()
+    weights = df.sparkSession.sparkContext.broadcast(SemiCrf.load().weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SemiCrf.load()
+        model = SemiCrf(weights.value)
         for batch in batches:
             rows, hits = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -377,9 +380,10 @@ def find(df: DataFrame, key: str, text: str) -> DataFrame:
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, text, n_redacted``: every text with a typed placeholder in place of each detail; null stays null."""
     key_type = df.schema[key].dataType.simpleString()
+    weights = df.sparkSession.sparkContext.broadcast(SemiCrf.load().weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SemiCrf.load()
+        model = SemiCrf(weights.value)
         for batch in batches:
             texts, counts = [], []
             for t in batch.column(1).to_pylist():
