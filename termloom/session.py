@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 import termloom
 
-# Functions of this package travel to the workers with their code: executors need not have it installed.
+# Functions of this package travel to the workers with their code: executors need not have it installed. Functions that users
+# hand to operators may name the package's functions and classes, not its modules.
 cloudpickle.register_pickle_by_value(termloom)
 
 #: Largest side, in estimated bytes, that an operator of this package broadcasts on its own.

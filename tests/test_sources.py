@@ -4,6 +4,7 @@ import pytest
 
 from termloom.operators import network
 from termloom.sources import graph_json, search, vocab_files
+from termloom.sources.search import SearchError
 from termloom.sources.tables import validate_columns
 
 FIRST = date(2024, 1, 1)
@@ -93,7 +94,7 @@ def test_fetching_in_batches(spark):
     def make():
         def call(ids):
             if 13 in ids:
-                raise search.SearchError("gone", 400)
+                raise SearchError("gone", 400)
             return {i: None if i % 2 else f"t{i}" for i in ids if i != 4}
 
         return call
