@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.config import Config
 from termloom.functions import scalars
 from termloom.functions.terms import heading_of, parse_terms
 from termloom.operators import figures, graph, ingest, network, relevance, sampler, vocabulary
@@ -20,6 +21,8 @@ from termloom.sources.tables import table, validate_columns
 
 #: Edges of the extracted subgraphs and the weight their likelihood is linearised at.
 SUB_EDGES, SUB_TOTAL = 500, 1000.0
+#: Pivots and seed of betweenness, and the rest of a full run's settings.
+FULL = Config()
 
 
 # ------------------------------------------------------------------------------------------------ base tables
@@ -250,22 +253,31 @@ def consensus_edges(spark: SparkSession, folder: str) -> DataFrame:
     return consensus(a, b).select("source", "target")
 
 
+def full_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """All co-occurrence edges, uncut."""
+    return edges_of(spark, folder)[3]
+
+
+def lcc_graph(e: DataFrame) -> DataFrame:
+    """The edges of the largest component of ``e``."""
+    return written(graph.induced(e, written(graph.largest_component(graph.components(e)), "lcc")), "lcc-edges")
+
+
 def components_query(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.components(subs(spark, folder)[2])
+    return graph.components(full_graph(spark, folder))
 
 
 def lcc_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.largest_component(graph.components(subs(spark, folder)[2]))
+    return graph.largest_component(graph.components(full_graph(spark, folder)))
 
 
 def lcc_edges(spark: SparkSession, folder: str) -> DataFrame:
-    b = subs(spark, folder)[2]
-    return graph.induced(b, written(graph.largest_component(graph.components(b)), "lcc")).select("source", "target")
+    return lcc_graph(full_graph(spark, folder)).select("source", "target")
 
 
 def lcc_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Stand-ins where centralities are switched off: 1.0 inside the largest component, else 0.0."""
-    labels = written(graph.components(subs(spark, folder)[2]), "labels")
+    labels = written(graph.components(full_graph(spark, folder)), "labels")
     inside = graph.largest_component(labels).withColumn("one", F.lit(1.0))
     v = F.coalesce(F.col("one"), F.lit(0.0))
     return labels.select("id").join(inside, "id", "left").select("id", v.alias("betweenness_centrality"), v.alias("eigenvector_centrality"), F.lit(0.0).alias("clustering_coefficient"), F.lit(-1).alias("community"))
@@ -278,24 +290,31 @@ def induced_subgraph(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def triangles(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.triangles(subs(spark, folder)[2])
+    return graph.triangles(full_graph(spark, folder))
 
 
 def clustering_coefficient(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.clustering(subs(spark, folder)[2]).select("id", "degree", "n_triangles", F.round("clustering", 9).alias("clustering"))
+    return graph.clustering(full_graph(spark, folder)).select("id", "degree", "n_triangles", F.round("clustering", 9).alias("clustering"))
 
 
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Inside the largest component of the second subgraph: the distances the embedding of the final network is drawn from."""
     b = subs(spark, folder)[2]
     return graph.shortest_paths(graph.induced(b, written(graph.largest_component(graph.components(b)), "lcc")))
 
 
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.betweenness(subs(spark, folder)[2])[0]
+    """Of every node of the full graph, from pivots inside its largest component; 0.0 outside."""
+    e = full_graph(spark, folder)
+    found = graph.betweenness(lcc_graph(e), FULL.pivots, FULL.seed)[0]
+    return graph.endpoints(e).join(found, "id", "left").na.fill(0.0, ["betweenness"])
 
 
 def edge_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.betweenness(subs(spark, folder)[2])[1]
+    """Of every edge of the full graph, from pivots inside its largest component; 0.0 outside."""
+    e = full_graph(spark, folder)
+    found = graph.betweenness(lcc_graph(e), FULL.pivots, FULL.seed)[1]
+    return e.select("source", "target").join(found, ["source", "target"], "left").na.fill(0.0, ["edge_betweenness"])
 
 
 def eigenvector(spark: SparkSession, folder: str) -> DataFrame:
@@ -303,7 +322,10 @@ def eigenvector(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def louvain(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.louvain(subs(spark, folder)[2])
+    """Communities of the largest component of the full graph; nodes outside -1."""
+    e = full_graph(spark, folder)
+    found = graph.louvain(lcc_graph(e), FULL.seed)
+    return graph.endpoints(e).join(found, "id", "left").na.fill(-1, ["community"])
 
 
 def glf_subgraph(spark: SparkSession, folder: str) -> DataFrame:
@@ -512,7 +534,7 @@ def tsne_coords(spark: SparkSession, folder: str) -> DataFrame:
 
 def community_hulls(spark: SparkSession, folder: str) -> DataFrame:
     points = tsne_coords(spark, folder)
-    return figures.convex_hulls(points.join(louvain(spark, folder), "id"), "community")
+    return figures.convex_hulls(points.join(graph.louvain(subs(spark, folder)[2]), "id"), "community")
 
 
 def node_vectors(spark: SparkSession, folder: str) -> DataFrame:
