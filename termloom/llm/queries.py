@@ -97,8 +97,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs sharing five records or more with counts, lift and log-likelihood ratio."""
-    got = _pairs(spark, folder, 5, None)
+    """All pairs sharing a record with counts, lift and log-likelihood ratio."""
+    got = _pairs(spark, folder, 1, None)
     return got.withColumn("lift", F.round("lift", 6)).withColumn("llr", F.round("llr", 4))
 
 
