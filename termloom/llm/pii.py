@@ -42,7 +42,7 @@ STREET_BEFORE = "rue|avenue|boulevard|place|chemin|calle|avenida|plaza|via"
 _given = frozenset(GIVEN)
 _endings = tuple(ENDINGS)
 _gap = re.compile(r"[   ]{1,2}$")
-_word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*\.?")
+_word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ]|(?<=[ODLo])(?<![^\W\d_][ODLo])['’](?=[^\W\d_]{2}))*\.?")
 _at = re.compile(r"@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?")
 _local = re.compile(r"[\w.+\-]{1,64}$")
 _domain = re.compile(r"[\w\-]+(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?)[\w\-]+)*")
@@ -62,6 +62,7 @@ _id_cue = re.compile(r"(?i)(ssn|\bni|soc\.? sec\.?|social security|nhs|insurance
 _other_cue = re.compile(r"(?i)(accession|plates?|cat\. no\.|grant|lot|protocol|section|doi:[\w./]*|item/|calibrated on|from|to|ci|fold|version|record:)\W{0,2}$")
 _title = re.compile(r"(?i)(?:^|\W)(dr|prof|mr|mrs|ms|frau|herr|mme|sra?)\.? $")
 _name_cue = re.compile(r"(?i)(name: |signed by |next of kin |technician |it's |sister, |interview with |ask for |patiente?, |contact ?: |correspondence: |stammt von |es de |volunteer \d+ \(|ok, |thanks to |late - |reporter\": \"|<td>|\| |written \")$")
+_general_cue = re.compile(r"(?i)\b(name|named|called|patient|participant|signed|signature|attn|dear|regards|sincerely|nurse|doctor|investigator|author|husband|wife|mother|father|brother|sister|daughter|spouse|colleague)(?: is)?[ :,.\n]{1,3}$")
 _after_bad = re.compile(r"(?i)\s?(et al|et coll|und mitarb|y otros|institute|reaction|syndrome|disease|road|street|lane|close|drive|ave|blvd|st\.|str\.|–)")
 
 
@@ -109,12 +110,21 @@ def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
 
     def family_from(i: int) -> Iterator[tuple[int, bool]]:
         """Last word and whether compound, of a family name starting at word i."""
-        if len(low[i]) < 3 or initial[i]:
+        if len(low[i]) < 2 or initial[i] or len(low[i]) == 2 and not words[i][2][0].isupper():
             return
         yield i, False
         if i + 1 < n and not dotted[i] and gap(i) == "-" and len(low[i + 1]) >= 3:
             yield i + 1, True
 
+    def given_from(i: int) -> Iterator[tuple[int, str, bool]]:
+        """Word after the given names starting at word i, their form (initial, one, hyphenated, two), whether one is known."""
+        yield i + 1, "I" if initial[i] else "G", named[i]
+        if i + 2 < n and not initial[i] and not dotted[i + 1] and words[i][2][0].isupper() and words[i + 1][2][0].isupper() and len(low[i + 1]) > 1:
+            if gap(i) == "-":
+                yield i + 2, "H", named[i] or named[i + 1]
+            elif words[i + 2][2][0].isupper() and not initial[i + 1] and low[i + 1] not in PARTICLES and _gap.match(gap(i)):
+                yield i + 2, f"G{named[i + 1]:d}G", named[i]
+
     for i in range(n):
         upper = words[i][2][0].isupper()
         if not (upper or named[i] or family[i] or (initial[i] and i + 1 < n and family[i + 1])):
@@ -123,23 +133,23 @@ def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
             continue
         if not (words[i + 1][2][0].isupper() or named[i] or named[i + 1] or family[i + 1] or initial[i + 1] or low[i + 1] in PARTICLES):
             continue
-        # given name or initial, middle initials, particles, family name
+        # given names or initial, middle initials, particles, family name
         if (initial[i] or len(low[i]) >= 2) and not (dotted[i] and not initial[i]):
-            j = i + 1
-            middle = 0
-            while j < n and initial[j] and _gap.match(gap(j - 1)) and middle < 2:
-                j += 1
-                middle += 1
-            particles = 0
-            while j < n and low[j] in PARTICLES and not dotted[j] and _gap.match(gap(j - 1)) and particles < 2:
-                j += 1
-                particles += 1
-            if j < n and _gap.match(gap(j - 1)):
-                for last, compound in family_from(j):
-                    if not (words[j][2][0].isupper() or named[i] or family[last]):
-                        continue
-                    form = ("I" if initial[i] else "G") + ("I" if middle else "") + ("P" if particles else "") + "F"
-                    yield words[i][0], end_of(last), "person_name", _name_features(text, words[i][0], end_of(last), form, named[i], family[last], named[last] or named[j], compound, [words[k][2].rstrip(".") for k in range(i, last + 1) if not (low[k] in PARTICLES and particles)])
+            for j, first, known in given_from(i):
+                middle = 0
+                while j < n and initial[j] and _gap.match(gap(j - 1)) and middle < 2:
+                    j += 1
+                    middle += 1
+                particles = 0
+                while j < n and low[j] in PARTICLES and not dotted[j] and _gap.match(gap(j - 1)) and particles < 2:
+                    j += 1
+                    particles += 1
+                if j < n and _gap.match(gap(j - 1)):
+                    for last, compound in family_from(j):
+                        if not (words[j][2][0].isupper() or named[i] or family[last]):
+                            continue
+                        form = first + ("I" if middle else "") + ("P" if particles else "") + "F"
+                        yield words[i][0], end_of(last), "person_name", _name_features(text, words[i][0], end_of(last), form, known, family[last], named[last] or named[j], compound, [words[k][2].rstrip(".") for k in range(i, last + 1) if not (low[k] in PARTICLES and particles)])
         # family name, comma, given name, middle initial
         if not initial[i]:
             for last, compound in family_from(i):
@@ -147,14 +157,20 @@ def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                     g = last + 1
                     if len(low[g]) < 2 and not initial[g]:
                         continue
-                    ends = [(g, False)]
-                    if g + 1 < n and initial[g + 1] and not dotted[g] and _gap.match(gap(g)):
-                        ends.append((g + 1, True))
+                    ends = [(g, "")]
+                    if g + 1 < n and not dotted[g]:
+                        if initial[g + 1] and _gap.match(gap(g)):
+                            ends.append((g + 1, "I"))
+                        elif words[g][2][0].isupper() and words[g + 1][2][0].isupper() and len(low[g + 1]) > 1 and not initial[g]:
+                            if gap(g) == "-":
+                                ends.append((g + 1, "H"))
+                            elif _gap.match(gap(g)):
+                                ends.append((g + 1, f"{named[g + 1]:d}G"))
                     for e, more in ends:
                         if not (words[g][2][0].isupper() or named[g]):
                             continue
                         end = words[e][1] if initial[e] else end_of(e)
-                        form = "Fc" + ("I" if initial[g] else "G") + ("I" if more else "")
+                        form = "Fc" + ("I" if initial[g] else "G") + more
                         yield words[i][0], end, "person_name", _name_features(text, words[i][0], end, form, named[g], family[last], named[i] or named[last], compound, [words[k][2].rstrip(".") for k in range(i, e + 1)])
 
 
@@ -176,6 +192,16 @@ def _name_features(text: str, s: int, e: int, form: str, given: bool, family: bo
         f.append("n:title before")
     if _name_cue.search(left):
         f.append("n:cue before")
+    if m := _general_cue.search(left):
+        f.append("n:general cue,bare" if m[0].endswith(m[1] + " ") else "n:general cue")
+    if left.endswith("| "):
+        f.append("n:after bar")
+    if not (given or family):
+        f += _unknown(f)
+    if (s == 0 or left[-1:] == "\n") and (not right or right[0] == "\n"):
+        f.append("n:alone on its line")
+    if min(map(len, words)) == 2 and words[0][-1] != ".":
+        f.append("n:two letters")
     if _after_bad.match(right):
         f.append("n:wrong word after")
     if right[:1] == "-" or right[:1].isalnum():
@@ -189,6 +215,14 @@ def _name_features(text: str, s: int, e: int, form: str, given: bool, family: bo
     return f
 
 
+def _unknown(f: list[str]) -> list[str]:
+    """Features of a name of which no word is listed, from its others: what stands before it counts for more."""
+    bar = "n:after bar" in f
+    cue = not bar and any(x in f for x in ("n:title before", "n:cue before", "n:general cue", "n:general cue,bare"))
+    form = next(x for x in f if x.startswith("n:form="))[7:]
+    return [f"n:unknown,cue={cue:d}", f"n:unknown,bar={bar:d},comma={'c' in form:d}"]
+
+
 def number_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     """Runs of up to ``MAX_ATOMS`` groups of digits and capitals, each as a phone and as an identity number."""
     atoms = [(m.start(), m.end()) for m in _atom.finditer(text)]
@@ -282,6 +316,24 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
     return sorted((c for c in found if c[1] - c[0] <= MAX_CHARS), key=lambda c: (c[1], c[0], c[2]))
 
 
+_listed = re.compile(r"n:given=[01],family=[01]$")
+_second_given = re.compile(r"G1G")
+
+
+def without_lists(features: list[str]) -> list[str]:
+    """Features of a span as if none of its words stood in the fixed lists; others than those of names stay."""
+    at = next((i for i, f in enumerate(features) if _listed.match(f)), -1)
+    if at < 0:
+        return features
+    known = features[at] != "n:given=0,family=0"
+    out = [_second_given.sub("G0G", f) for f in features if f != "n:family is a given name"]
+    out[out.index(features[at])] = "n:given=0,family=0"
+    case = next(f for f in out if f.startswith("n:case="))
+    if features[at].endswith("family=1"):
+        out.append(f"{case},family=0")
+    return out + _unknown(out) if known else out
+
+
 class SemiCrf:
     """Weights of whole-span features; decoding, likelihood and gradient over a segment lattice."""
 
@@ -318,9 +370,12 @@ class SemiCrf:
             out.append((s, e, k))
         return out[::-1]
 
-    def gradient(self, text: str, gold: set[tuple[int, int, str]]) -> tuple[float, dict[str, float]]:
-        """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums over the lattice."""
-        spans = candidates(text)
+    def gradient(self, text: str, gold: set[tuple[int, int, str]], unlisted: bool = False) -> tuple[float, dict[str, float]]:
+        """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums over the lattice.
+
+        ``unlisted`` takes the features as if no name stood in the fixed lists.
+        """
+        spans = [(s, e, k, without_lists(f)) for s, e, k, f in candidates(text)] if unlisted else candidates(text)
         marks = sorted({0, len(text), *(c[0] for c in spans), *(c[1] for c in spans)})
         place = {m: i for i, m in enumerate(marks)}
         scores = [self.score(c[3]) for c in spans]

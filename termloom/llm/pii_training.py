@@ -13,6 +13,14 @@ import random
 from termloom.llm.pii import ENDINGS, GIVEN, WEIGHTS, SemiCrf
 
 N_TEXTS, ROUNDS, RATE, L2, SEED = 4000, 5, 0.15, 1e-4, 11
+#: Share of the texts that are fitted as if no name stood in the fixed lists.
+UNLISTED = 0.35
+
+#: Names of many languages to measure with; none stands in the fixed lists.
+OUTSIDE_GIVEN = """Marek Wei Sean Aisha Priya Yuki Chidi Fatima Oleksandr Ngozi Dmitri Siobhan Rajesh Mei Giulia Matteo Agnieszka Zoltan Eszter Amara
+Kwame Leila Omar Hiroshi Thandiwe Bogdan Ewa Ibrahim Catarina Joao Pekka Aino Tuan Linh Nasrin Farid Gareth Rhys Bronwen Tariq""".split()
+OUTSIDE_FAMILY = """Novotny Li O'Brien Okafor Sharma Tanaka Wu Haddad Kovalenko Nwosu Volkov D'Angelo Patel Ng Rossi Ferrari Kowalski Nagy Szabo Mensah
+Boateng Tehrani Farouk Yamamoto Dlamini Ionescu Wozniak Diallo Sousa Pereira Virtanen Nguyen Tran Rahman Akhtar Davies Pugh Llewellyn Yu Qureshi""".split()
 
 WITH = [
     "Name: {person_name}\nAddress: {street_address}, {town} {code}\nPhone: {phone}\nE-mail: {email}",
@@ -31,6 +39,7 @@ WITH = [
     "Thanks to {person_name}, {person_name} and {person_name} for help with sectioning.", 'On the label someone had written "{person_name} {phone}".',
     "La patiente, {person_name}, demeurant {street_address}, {code} {town}, a été revue.", "Die Probe stammt von {person_name}, wohnhaft {street_address}, {code} {town}.",
     "La muestra es de {person_name}, con domicilio en {street_address}, {code} {town}.", "Rückfragen an Frau {person_name}, Tel. {phone}.", "Escriba a {email} o llame al {phone}.",
+    "Patient: {person_name}", "Dear {person_name},", "Attn: {person_name}", "Her husband, {person_name}, called twice.", "Signed: {person_name}", "Investigator: {person_name}, {phone}", "Her name is {person_name}.", "Regards,\n{person_name}\n",
     "{person_name}", "The keys are with {person_name} until Monday.", "{person_name} and {person_name} left early.",
 ]
 WITHOUT = [
@@ -45,6 +54,7 @@ WITHOUT = [
     "Here We Show That {cap} Survey Binds {up}{d} With A Constant Of {d}.{n}.", "SUPPOSE {up}{d} IS SILENCED IN THE KIDNEY OF LINE {UPCAP} {n}.", "From curve {cap} {n} one reads a half-life of {n}.{d} days.", "Sinus, {cap}, Lower and Dermatosis, {cap} were annotated together.",
     "No se confirmó una asociación clara entre {cap} y {low}.", "Die Klara Lösung blieb klar.", "With grace and {low}, paul {low} it.", "Una evolución clara y estable.", "{bignum}\n{bignum}", "the george {low} of {low}", "{bignum} {cap} was kept.", "{bignum} A single point was kept.",
     "Home | Browse | Terms | Help", "Home | Browse | Terms | Help  Related articles ({n})", "{n} while Dr. {family} disagreed with it.", "| {low} | The {family} Institute agreed.", "| {n} | Whether {cap} vesicles grow is open.",
+    "Patient Safety {cap} met on day {n}.", "Dear {cap} members,", "Name: {low} {low}", "{cap} {cap} Assay was used.", "The {cap} {cap} Protein binds {cap} {cap} at pH {d}.", "{cap} {cap}, {cap} was annotated.",
     "Missing values ({n}%) were imputed; see Fig. {n} and Table S{d}.", "Both groups walked along the road for {n} weeks.", "In {n} cases the close contact was lost.", "Receptors, {cap} | Ligases, {cap}, Type II | Dyes, {cap}",
 ]
 IDS = {
@@ -73,8 +83,17 @@ class Maker:
     def person(self) -> str:
         r = self.r
         given = r.choice(GIVEN).title() if r.random() < 0.93 else self.word().capitalize()
+        extra = r.random()
+        if extra < 0.04:
+            given += " " + r.choice(GIVEN).title()
+        elif extra < 0.08:
+            given += "-" + r.choice(GIVEN).title()
         initial = r.choice("ABCDEFGHJKLMNOPRST") + "."
         family = self.family()
+        if 0.08 <= extra < 0.11:
+            family = r.choice(["O'", "D'", "O’"]) + family
+        elif 0.11 <= extra < 0.14:
+            family = r.choice("LWNHGXY") + r.choice("iueoga")
         if r.random() < 0.08:
             family += "-" + self.family()
         if r.random() < 0.07:
@@ -136,6 +155,20 @@ class Maker:
         return out, spans
 
 
+class Outside(Maker):
+    """Makes the same texts with names that stand in no list."""
+
+    def person(self) -> str:
+        r = self.r
+        given, family = r.choice(OUTSIDE_GIVEN), r.choice(OUTSIDE_FAMILY)
+        kind = r.random()
+        if kind < 0.1:
+            given += " " + r.choice(OUTSIDE_GIVEN)
+        elif kind < 0.2:
+            given += "-" + r.choice(OUTSIDE_GIVEN)
+        return f"{family}, {given}" if 0.2 <= kind < 0.3 else f"{given} {r.choice('ABCDEFGH')}. {family}" if 0.3 <= kind < 0.4 else f"{given} {family}"
+
+
 def fit(n_texts: int = N_TEXTS, rounds: int = ROUNDS, seed: int = SEED) -> SemiCrf:
     maker = Maker(seed)
     data = [maker.text() for _ in range(n_texts)]
@@ -145,14 +178,14 @@ def fit(n_texts: int = N_TEXTS, rounds: int = ROUNDS, seed: int = SEED) -> SemiC
         maker.r.shuffle(data)
         rate = RATE / (1 + turn)
         for text, gold in data:
-            for f, g in model.gradient(text, gold)[1].items():
+            for f, g in model.gradient(text, gold, maker.r.random() < UNLISTED)[1].items():
                 weights[f] = weights.get(f, 0.0) * (1 - rate * L2) + rate * g
     return SemiCrf({f: round(v, 3) for f, v in sorted(weights.items()) if abs(v) >= 0.1})
 
 
-def accuracy(model: SemiCrf, n_texts: int = 400, seed: int = SEED + 1) -> dict[str, tuple[float, float]]:
+def accuracy(model: SemiCrf, n_texts: int = 400, seed: int = SEED + 1, make: type[Maker] = Maker) -> dict[str, tuple[float, float]]:
     """Precision and recall by kind on texts made with another seed."""
-    maker = Maker(seed)
+    maker = make(seed)
     right, said, true = {}, {}, {}
     for _ in range(n_texts):
         text, gold = maker.text()
@@ -167,3 +200,4 @@ if __name__ == "__main__":
     fitted = fit()
     WEIGHTS.write_text(json.dumps(fitted.weights, ensure_ascii=False, indent=0) + "\n", encoding="utf-8")
     print(len(fitted.weights), {k: tuple(round(x, 4) for x in v) for k, v in accuracy(fitted).items()})
+    print("names outside the lists", tuple(round(x, 4) for x in accuracy(fitted, make=Outside)["person_name"]))

@@ -1,6 +1,6 @@
 import pytest
 
-from termloom.llm import pii
+from termloom.llm import pii, pii_training
 
 
 def said(text):
@@ -12,3 +12,20 @@ def test_letter_groups_behind_a_separator_belong_to_the_number(number):
     text = f"see passport {number}, please"
     assert number in {text[s:e] for s, e, k, _ in pii.number_candidates(text) if k == "id_number"}
     assert said(text) == [("id_number", number)]
+
+
+@pytest.mark.parametrize("name", ["Marek Novotny", "Wei Li", "Sean O'Brien", "Anna Maria Schmidt", "Jean-Pierre Martin"])
+def test_names_outside_the_lists(name):
+    assert said(f"Name: {name}\nPhone: (617) 555-0177") == [("person_name", name), ("phone", "(617) 555-0177")]
+    assert not set(pii_training.OUTSIDE_GIVEN) & {x.title() for x in pii.GIVEN}
+
+
+def test_recall_of_names_outside_the_lists():
+    precision, recall = pii_training.accuracy(pii.SemiCrf.load(), 200, seed=99, make=pii_training.Outside)["person_name"]
+    assert precision > 0.85 and recall > 0.7
+
+
+def test_unlisted_features_are_those_of_an_unknown_name():
+    text = "Thanks to Anna Maria Lindovik and Ruth Lindovik."
+    for *_, f in pii.name_candidates(text):
+        assert not any("given=1" in x or "family=1" in x or "listed" in x or "G1G" in x for x in pii.without_lists(f))
