@@ -329,16 +329,17 @@ def louvain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def glf_subgraph(spark: SparkSession, folder: str) -> DataFrame:
-    return sampler.subgraph(scored(spark, folder), "glf", SUB_EDGES, 200_000, 4)
+    return sampler.subgraph(scored(spark, folder), "glf", FULL.target_edges, FULL.iterations, FULL.chains, FULL.seed)
 
 
 def sa_subgraph(spark: SparkSession, folder: str) -> DataFrame:
-    return sampler.subgraph(scored(spark, folder), "sa", SUB_EDGES, 200_000, 4, cooling=0.9999)
+    return sampler.subgraph(scored(spark, folder), "sa", FULL.target_edges, FULL.iterations, FULL.chains, FULL.seed, FULL.temperature, FULL.cooling)
 
 
 def sampler_trajectory(spark: SparkSession, folder: str) -> DataFrame:
     s = scored(spark, folder)
-    return sampler.trajectory(s, "glf", SUB_EDGES, 100_000).unionByName(sampler.trajectory(s, "sa", SUB_EDGES, 100_000, cooling=0.9999))
+    glf = sampler.trajectory(s, "glf", FULL.target_edges, FULL.iterations, seed=FULL.seed)
+    return glf.unionByName(sampler.trajectory(s, "sa", FULL.target_edges, FULL.iterations, seed=FULL.seed, start=FULL.temperature, cooling=FULL.cooling))
 
 
 def communities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -538,7 +539,7 @@ def community_hulls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def node_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return figures.node_vectors(subs(spark, folder)[2], dims=16, length=10, per_node=10, window=5)
+    return figures.node_vectors(subs(spark, folder)[2])
 
 
 def ward_linkage(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Queries of the full network against independent results; none of them may stop at the subgraph's 500 edges."""
 
+import inspect
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from termloom.operators import sampler
 from termloom.plans import network_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,3 +41,29 @@ def test_centralities_cover_the_full_graph(spark):
     eb = entry.queries()["edge_betweenness"](spark, FOLDER)
     assert b.count() == c.count() == n and eb.count() == e.count()
     assert b.where("betweenness > 0").count() > 0 and eb.where("edge_betweenness > 0").count() > network_queries.SUB_EDGES
+
+
+def test_samplers_and_vectors_run_at_full_length(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(network_queries, "scored", lambda *_: None)
+    monkeypatch.setattr(network_queries, "subs", lambda *_: (None, None, None))
+    monkeypatch.setattr(sampler, "_chains", lambda s, method, m, iterations, chains, seed, start, cooling, *_: calls.append((method, m, iterations, start if method == "sa" else None, cooling)) or spark.range(1))
+    monkeypatch.setattr(sampler, "subgraph", lambda *a, **k: sampler._chains(*bound(subgraph, a, k), 0, False))
+    subgraph = SUBGRAPH
+    network_queries.glf_subgraph(spark, FOLDER), network_queries.sa_subgraph(spark, FOLDER), network_queries.sampler_trajectory(spark, FOLDER)
+    assert [c[:3] for c in calls] == [(m, 500, 5_000_000) for m in ("glf", "sa", "glf", "sa")]
+    assert all(c[3:] == (5000.0, 0.999995) for c in calls if c[0] == "sa")
+    monkeypatch.setattr(network_queries.figures, "random_walks", lambda e, length, per_node, **_: calls.append((length, per_node)) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        network_queries.node_vectors(spark, FOLDER)
+    assert calls[-1] == (30, 200)
+
+
+SUBGRAPH = sampler.subgraph
+
+
+def bound(f, a, k):
+    """The arguments of a call with the defaults filled in."""
+    b = inspect.signature(f).bind(*a, **k)
+    b.apply_defaults()
+    return b.arguments.values()
