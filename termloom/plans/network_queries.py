@@ -455,26 +455,41 @@ def crs_scores(spark: SparkSession, folder: str) -> DataFrame:
     return seeds.select("term").join(c, "term", "left").select("term", F.round(F.coalesce("CRS_strength", F.lit(0.0)), 6).alias("crs_strength"), F.round(F.coalesce("CRS_degree", F.lit(0.0)), 6).alias("crs_degree"))
 
 
-def _scored_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """The given score table, once per article: its highest score, and its first list of seeds in code-point order."""
+def _score_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The given score table: every scored row with its own list of seeds."""
     t = table(spark, folder, "article_relevance_scores").where(F.col("score_betweenness_centrality").isNotNull() & ~F.isnan("score_betweenness_centrality"))
-    return t.groupBy("pmid").agg(F.max("score_betweenness_centrality").alias("score"), F.min("contributing_seeds").alias("contributing_seeds"))
+    return t.select("pmid", F.col("score_betweenness_centrality").alias("score"), "contributing_seeds")
+
+
+def _once(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """``rows`` once per article: the article's highest score in ``best``, and its first list of seeds in code-point order."""
+    return rows.groupBy("pmid").agg(F.min("contributing_seeds").alias("contributing_seeds")).join(best, "pmid").select("pmid", "score", "contributing_seeds")
+
+
+def _best_scores(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("pmid").agg(F.max("score").alias("score"))
 
 
 def node_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return relevance.node_articles(_scored_articles(spark, folder), "assay", "score", 20, like=True)
+    rows = _score_rows(spark, folder)
+    return _once(relevance.node_articles(rows, "assay", "score", like=True), _best_scores(rows)).orderBy(F.desc("score"), "pmid").limit(20)
 
 
 def node_articles_exact(spark: SparkSession, folder: str) -> DataFrame:
-    return relevance.node_articles(_scored_articles(spark, folder), "Quinanax Assay", "score")
+    rows = _score_rows(spark, folder)
+    return _once(relevance.node_articles(rows, "Quinanax Assay", "score"), _best_scores(rows))
 
 
 def edge_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return relevance.edge_articles(_scored_articles(spark, folder), "quinanax assay", "messenger", "score", 20, like=True)
+    rows = _score_rows(spark, folder)
+    ends = [relevance.node_articles(rows, x, "score", like=True) for x in ("quinanax assay", "messenger")]
+    both = ends[0].join(ends[1].select("pmid").distinct(), "pmid", "left_semi")
+    return _once(both, _best_scores(rows)).orderBy(F.desc("score"), "pmid").limit(20)
 
 
 def top_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return relevance.top_articles(_scored_articles(spark, folder), "score", 20)
+    rows = _score_rows(spark, folder)
+    return relevance.top_articles(_once(rows, _best_scores(rows)), "score", 20)
 
 
 def _rounded(c: DataFrame) -> DataFrame:
