@@ -76,12 +76,14 @@ def batch_bounds(df: DataFrame, order: str, n_batches: int) -> list[int]:
 def seen_before(feed: DataFrame, key: str, order: str, n_batches: int = 4, buckets: int | None = None) -> DataFrame:
     """``feed`` with ``seen``: whether the row's key arrived in an earlier row, batch by batch through a :class:`KeyLedger`.
 
-    Rows with a null key are not seen. Other columns pass through; ``feed`` must not have columns ``seen`` or ``__first``.
+    Rows with a null key are not seen. Rows with a null order arrived at no known time: they are not seen, and no other row is
+    seen because of them. Other columns pass through; ``feed`` must not have columns ``seen`` or ``__first``.
     """
     spark = feed.sparkSession
     ledger = KeyLedger(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = batch_bounds(feed, order, n_batches)
-    done = None
+    done = feed.where(F.col(order).isNull()).withColumn("seen", F.lit(False))
+    feed = feed.where(F.col(order).isNotNull())
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         batch = feed
         if low is not None:
@@ -91,6 +93,5 @@ def seen_before(feed: DataFrame, key: str, order: str, n_batches: int = 4, bucke
         new = ledger.absorb(batch, key, order)
         got = ledger.answers(batch.where(F.col(key).isNotNull()), order, new)
         unkeyed = batch.where(F.col(key).isNull()).withColumn("seen", F.lit(False))
-        part = got.unionByName(unkeyed)
-        done = part if done is None else done.unionByName(part)
+        done = done.unionByName(got.unionByName(unkeyed))
     return done

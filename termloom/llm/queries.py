@@ -31,7 +31,7 @@ def p1_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     said = ledger.seen_before(feed, "pmid", "record_no")
     firsts = feed.where(F.col("pmid").isNotNull()).groupBy("pmid").agg(F.min("record_no").alias("first_no")).select("first_no", F.lit(True).alias("is_first"))
     judged = said.join(firsts, said["record_no"] == firsts["first_no"], "left")
-    true = F.col("pmid").isNotNull() & F.col("is_first").isNull()
+    true = F.col("pmid").isNotNull() & F.col("record_no").isNotNull() & F.col("is_first").isNull()
     wrong = F.sum((F.col("seen") != true).cast("bigint"))
     return judged.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col("seen").cast("bigint")), F.lit(0)).alias("n_seen"), F.coalesce(wrong, F.lit(0)).alias("n_wrong")).withColumn("error_rate", F.when(F.col("n_rows") > 0, F.col("n_wrong") / F.col("n_rows")).otherwise(0.0))
 
