@@ -4,12 +4,22 @@ A text is a sequence of segments: stretches without personal details (score 0) a
 characters. Candidate entities are proposed generously, with every boundary alternative; each is scored as a whole from
 features of the span and of what stands around it; dynamic programming over the boundaries chooses the best-scoring
 non-overlapping set, so boundaries and types are settled jointly. The weights are fitted by ``pii_training``.
+
+No list of names is used. A word counts as common or proper by what a public tokenizer's vocabulary says of it: whether it
+became a token in lower case or with a capital first. What stands before and after a span, and its shape, do the rest.
+
+Bounds of a candidate: ``MAX_CHARS`` characters; numbers of at most ``MAX_ATOMS`` groups and ``MAX_DIGITS`` digits (telephone numbers
+have 15 at most, bank and insurance numbers 24 or so); names of at most ``MAX_WORDS`` capitalised words; street names of at most
+four words. Names in small letters are looked for only behind a title, a relation, a role or a
+label, and where they begin with a word known as proper.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import math
+import os
 import re
 import unicodedata
 from bisect import bisect_left
@@ -17,232 +27,330 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 import termloom.session  # noqa: F401
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-MAX_CHARS, MAX_ATOMS = 90, 7
+MAX_CHARS, MAX_ATOMS, MAX_DIGITS, MAX_WORDS = 90, 12, 24, 4
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
-
-#: Given names, endings of family names, particles of family names.
-GIVEN = """sorrel felix irene jürgen tomas josé jonas quenna tavin haldric mirvan elena orlesa david maria helen odile ruth paul nina
-renée clara ingrid lenka łucja bram íñigo ysolde peter keziah simon amélie zoë oscar anna dorven søren laura lukas sofia
-john james robert michael william thomas mary jennifer linda susan karen lisa emma olivia noah liam lucas hugo louis jean pierre
-marie claire julie sophie camille hans klaus karl heinrich stefan andreas markus petra sabine monika heike carlos juan luis miguel
-javier pablo carmen lucía pilar ana marta isabel george henry alice grace eva erik lars nils kristina""".split()
-ENDINGS = "abury ottola ingvost ikovem iander arssel aquez oskem enholt umari evane ebrink elmar ovik eswick".split()
-FUNCTION_WORDS = frozenset("""the a an this that these whether here how both each dr mr mrs prof im in on at of ob die der das ein eine el la los las un
-una le les aucune no not help home back skip related after before and und y et dear best samples moved delivery ring name contact""".split())
-PARTICLES = frozenset("de van von der den di da du del la le".split())
+#: Public vocabularies (paths, or names of the installed public tokenizers) that tell common from proper words.
+VOCABULARIES = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
+
+#: A word is proper when its form in small letters came this many times later than that with a capital, or never.
+PROPER = 3
+#: Particles of family names; words that stand before names, by what they are; words that follow names.
+PARTICLES = "de van von der den di da du del la le dos das el ben bin al ter ten zu".split()
+BEFORE = {
+    "title": "dr prof professor mr mrs ms miss sir frau herr herrn mme mlle monsieur madame sr sra srta señor señora don doña doktor doctor docteur rev fr sig dra",
+    "kin": "mother father sister brother wife husband son daughter spouse partner uncle aunt cousin parent guardian kin relative mutter vater schwester bruder ehefrau ehemann tochter sohn mère père sœur soeur frère épouse mari fille fils madre padre hermana hermano esposa esposo marido hija hijo",
+    "role": "patient patiente patientin paciente participant volunteer subject proband probandin donor nurse physician surgeon technician pharmacist investigator author assistant secretary colleague student researcher supervisor coordinator manager director teacher witness reviewer editor reporter client tenant employee applicant caller neighbour neighbor midwife therapist carer infirmière médecin enfermera médico krankenschwester arzt ärztin",
+    "label": "name names nom nombre contact kontakt contacto attn attention correspondence signed signature sender recipient from to cc bcc applicant holder owner",
+    "and": "and und et y e & or oder ou o",
+    "greet": "dear hello hi hey liebe lieber cher chère estimado estimada querido querida regards wishes sincerely faithfully yours thanks cheers greetings grüßen grüße cordialement saludos atentamente",
+    "self": "it's i'm am named called heiße heißt m'appelle s'appelle llamo llama",
+    "ask": "ask asks asked call calls called ring phone speak spoke spoken meet met see interview interviewed thank thanked contact write wrote letter mail",
+    "article": "the a an this that these der die das ein eine le la les un une el los las",
+}
+PREPOSITIONS = "by with from for to of de von par durch bei an con por mit avec pour für para at in on into al du des del zur zum".split()
+AFTER = {
+    "bio": "born aged age geb geboren né née nacido nacida wohnhaft demeurant domiciliado domiciliada domicilio living residing lives tel telephone phone mobile fax email mail passport ssn nhs id mrn insurance who whose con",
+    "article": "the a an this der die das ein eine le la les un une el los las our his her my your",
+    "verb": "will would can could has have had is was are were does did said says wrote writes called calls asked asks signed came left lives works told gave took brings sent again hat ist war wird sagte schrieb est était dit es fue dijo tiene",
+    "and": "and und et y &",
+}
+INSTITUTIONS = "institute institut instituto foundation society group committee atlas board office university hospital clinic trust agency council ministry journal company union museum school college association laboratory department centre center bank church library gallery airport station river lake mountain tower bridge street road lane avenue survey report survey project programme program database registry disease syndrome reaction test kinase receptor protein gene cell cells tissue acid model method type phase".split()
+ENDINGS_OF_TERMS = "ine ase ide ate one itis osis oma emia phagy gen cyte cytes ium ous tion tions ing ment ments ness ity ism ology ies ics ions".split()
 STREET_AFTER = "road|rd|lane|ln|close|drive|dr|street|st|avenue|ave|boulevard|blvd|court|ct|way|terrace|crescent|square|place"
 STREET_BEFORE = "rue|avenue|boulevard|place|chemin|calle|avenida|plaza|via"
 
-_given = frozenset(GIVEN)
-_endings = tuple(ENDINGS)
-_gap = re.compile(r"[   ]{1,2}$")
-_word = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ]|(?<=[ODLo])(?<![^\W\d_][ODLo])['’](?=[^\W\d_]{2}))*\.?")
-_at = re.compile(r"@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?")
+_before = {w: k for k, v in BEFORE.items() for w in v.split()} | {w: f"by:{w}" for w in PREPOSITIONS if w not in "from to"}
+_after = {w: k for k, v in AFTER.items() for w in v.split()}
+_asking = frozenset([*BEFORE["ask"].split(), "signed", "written", "reviewed", "checked", "thanks", "care", "talked", "talk", "name", "names", "case", "visit"])
+_institutions = frozenset(INSTITUTIONS)
+_term_endings = tuple(ENDINGS_OF_TERMS)
+_particles = "|".join(PARTICLES)
+_capital = regex.compile(r"(?<![\w@_])\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{L}{2}))*(?![\p{L}\p{M}\d_@])\.?")
+_small_name = re.compile(rf"([^\W\d_]{{2,}}|[^\W\d_]\.)( [^\W\d_]\.)?((?: (?:{_particles})){{0,2}}) ([^\W\d_]{{2,}}(?:-[^\W\d_]{{2,}})?)(?![\w@])")
+_cues = frozenset(f(w) for k in ("title", "kin", "role") for w in [*BEFORE[k].split(), "name", "contact"] for f in (str, str.capitalize, str.upper))
+_cue_gap = re.compile(r"(?:\. |, | \(| ?: | )(?=[^\W\d_])")
+_letters = re.compile(r"[^\W\d_]+")
+_gap = re.compile(rf"[ \xa0\u2009\u202f]{{1,2}}((?:(?:{_particles}) ){{0,2}})$")
+_marks = " \t\r\n.,:;!?()[]{}<>|\"'“”„«»‘’*-–—/&\xa0\u2009\u202f"
+_at = re.compile(r"@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?|\s(?i:at)\s(?=[\w\-]+\s(?i:dot)\s)")
 _local = re.compile(r"[\w.+\-]{1,64}$")
-_domain = re.compile(r"[\w\-]+(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?)[\w\-]+)*")
-_dot = re.compile(r"\.|\s?[\[({]\s?[dD][oO][tT]\s?[\])}]\s?")
-_atom = re.compile(r"\d+|[A-Z]+(?![a-z])")
+_dot_form = r"(?:\.|\s?[\[({]\s?[dD][oO][tT]\s?[\])}]\s?|\s[dD][oO][tT]\s)"
+_domain = re.compile(rf"[\w\-]+(?:{_dot_form}[\w\-]+)*")
+_dot = re.compile(_dot_form)
+_at_forms = ("at)", "at]", "at}", "at )", "at ]", "at }", " dot ")
+_group = r"(?:\d+|[A-Z]{1,2}(?![A-Za-z]))"
+_region = re.compile(rf"(?:\d+|(?<![A-Za-z])[A-Z]{{1,2}}(?![A-Za-z]))(?:(?:\) | \(|-\(|[ .\-/()\xa0\u2009\u202f])?{_group})*")
+_atom = re.compile(r"\d+|[A-Z]+")
 _name_part = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)*"
+_of = r"(?:(?:de la|de los|de|du|des|del) )?"
 _street = [
-    ("after", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-z]? (?:[NSEW]\. )?({_name_part}(?: {_name_part})?) ({STREET_AFTER})\b\.?", re.I)),
-    ("before", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-z]?,? ({STREET_BEFORE}) (?:(?:de|du|des|del|de la|de los) )?({_name_part})", re.I)),
-    ("number_last", re.compile(rf"(?<![\w.\-])({STREET_BEFORE}) (?:(?:de|du|des|del|de la|de los) )?({_name_part}) \d{{1,4}}[a-z]?\b", re.I)),
+    ("after", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-zA-Z]? (?:[NSEW]\. )?({_name_part}(?: {_name_part}){{0,3}}?) ({STREET_AFTER})\b\.?", re.I)),
+    ("before", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-z]?,? ({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}})", re.I)),
+    ("number_last", re.compile(rf"(?<![\w.\-])({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}}?),? \d{{1,4}}[a-z]?\b", re.I)),
     ("compound", re.compile(rf"(?<![\w.\-])({_name_part}(?:straße|strasse|weg|gasse|allee|platz)|{_name_part} (?:Str\.|Straße|Strasse|Weg|Allee|Platz)) \d{{1,4}}[a-z]?\b", re.I)),
 ]
-_hints = {"before": tuple(f"{w} " for w in STREET_BEFORE.split("|")), "number_last": tuple(f"{w} " for w in STREET_BEFORE.split("|")), "compound": ("straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "str. ")}
-_next_to = frozenset([" ", "  ", "\xa0", "\u2009", "\u202f", ", ", "-", ""])
-_phone_cue = re.compile(r"(?i)(tel|phone|fax|call|ring|mobile|telephone|reachable under|kontakt|oder|al|appel|tél)\b[\W_]{0,8}(?:me )?[\W_]{0,3}$")
-_id_cue = re.compile(r"(?i)(ssn|\bni|soc\.? sec\.?|social security|nhs|insurance|versicherungs|pension|passport|mrn|medical record|hospital|patient|national|member|steuer|identity)[ .\-]{0,2}(?:no|number|nummer|id|card)?[ .:#]{0,3}$")
-_other_cue = re.compile(r"(?i)(accession|plates?|cat\. no\.|grant|lot|protocol|section|doi:[\w./]*|item/|calibrated on|from|to|ci|fold|version|record:)\W{0,2}$")
-_title = re.compile(r"(?i)(?:^|\W)(dr|prof|mr|mrs|ms|frau|herr|mme|sra?)\.? $")
-_name_cue = re.compile(r"(?i)(name: |signed by |next of kin |technician |it's |sister, |interview with |ask for |patiente?, |contact ?: |correspondence: |stammt von |es de |volunteer \d+ \(|ok, |thanks to |late - |reporter\": \"|<td>|\| |written \")$")
-_general_cue = re.compile(r"(?i)\b(name|named|called|patient|participant|signed|signature|attn|dear|regards|sincerely|nurse|doctor|investigator|author|husband|wife|mother|father|brother|sister|daughter|spouse|colleague)(?: is)?[ :,.\n]{1,3}$")
-_after_bad = re.compile(r"(?i)\s?(et al|et coll|und mitarb|y otros|institute|reaction|syndrome|disease|road|street|lane|close|drive|ave|blvd|st\.|str\.|–)")
-
-
-def _case(words: list[str]) -> str:
-    if all(w.isupper() for w in words):
-        return "upper"
-    if all(w.islower() for w in words):
-        return "lower"
-    return "title" if all(w[0].isupper() for w in words) else "mixed"
-
-
-def _lower(word: str) -> str:
-    return unicodedata.normalize("NFC", word).lower()
-
-
-_kinds: dict[str, tuple[str, bool, bool, bool, bool]] = {}
+_before_hints = tuple(f"{w} " for w in STREET_BEFORE.split("|"))
+_after_hints = tuple(f" {w}" for w in STREET_AFTER.split("|"))
+_compound_hints = ("straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "str. ")
+_phone_cue = re.compile(r"(?i)\b(tel|tél|telefon|teléfono|téléphone|telephone|phone|fax|call|ring|dial|mobile|cell|reach\w*|under|unter|rufen?|llam[ea]r?|al|appel\w*|at|number)\b[\W_]{0,8}(?:me |us |on |at )?[\W_]{0,3}$")
+_id_cue = re.compile(r"(?i)(ssn|\bni|soc\.? sec\.?|social security|nhs|insurance|versicherungs|sozialversicherungs|pension|passport|reisepass|passeport|pasaporte|mrn|medical record|hospital|patient|national|member|steuer|identity|\bdni|\bnir|sécu\w*|licen[cs]e)[ .\-]{0,2}(?:no|number|nummer|número|numéro|nr|id|card)?[ .:#]{0,3}$")
+_other_cue = re.compile(r"(?i)\b(accession|plates?|cat\. no\.|catalogu?e?|grant|lot|batch|serial|order|invoice|isbn|ref|protocol|section|item|record|doi:[\w./]*|from|to|ci|fold|version|on|between|figure|table)\W{0,2}$")
+_id_label = re.compile(r"(?:ID|NI|NO|NR|MR|NHS|SSN) ")
+_after_bad = re.compile(r"(?i)\s?(et al|et coll|u\. ?a\.|und mitarb|y otros|y col|institut|reaction|syndrom|disease|test\b|road\b|street\b|lane\b|close\b|drive\b|ave\b|avenue\b|blvd\b|st\.|str\.|–|['’]s (?:disease|syndrome))")
 
 
-def _kind_of(word: str) -> tuple[str, bool, bool, bool, bool]:
-    """(lower case, initial, given name, family ending, full stop at its end) of a word, kept for the next time."""
-    low = _lower(word).rstrip(".")
-    kind = (low, len(word) == 2 and word[1] == ".", low in _given, len(low) >= 5 and low.endswith(_endings), word[-1] == ".")
-    if len(_kinds) > 200_000:
-        _kinds.clear()
-    _kinds[word] = kind
-    return kind
+class Words:
+    """Common (``c``) or proper (``p``) by what became a token of a public vocabulary first; other words are unknown (``u``)."""
 
+    def __init__(self, kinds: dict[str, str]):
+        self.kinds = kinds
+        self.proper = frozenset(w for w, k in kinds.items() if k == "p")
+        self.hot = self.proper | _cues
+        self.seen: dict[str, tuple[str, bool, str, bool, bool]] = {}
 
-def name_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
-    """Spans that may be a given name or initial with a family name, in either order, with their features."""
-    words = [(m.start(), m.end(), m[0]) for m in _word.finditer(text)]
-    n = len(words)
-    if n < 2:
-        return
-    start = [w[0] for w in words]
-    low, initial, named, family, dotted = zip(*[_kinds.get(w[2]) or _kind_of(w[2]) for w in words], strict=True)
-
-    def gap(i: int) -> str:
-        """Between word i and the next; a full stop counts to the gap unless it ends an initial."""
-        end = words[i][1] - (dotted[i] and not initial[i])
-        return text[end : start[i + 1]] if i + 1 < n else "\n"
-
-    def end_of(i: int) -> int:
-        return words[i][1] - dotted[i]
-
-    def family_from(i: int) -> Iterator[tuple[int, bool]]:
-        """Last word and whether compound, of a family name starting at word i."""
-        if len(low[i]) < 2 or initial[i] or len(low[i]) == 2 and not words[i][2][0].isupper():
-            return
-        yield i, False
-        if i + 1 < n and not dotted[i] and gap(i) == "-" and len(low[i + 1]) >= 3:
-            yield i + 1, True
-
-    def given_from(i: int) -> Iterator[tuple[int, str, bool]]:
-        """Word after the given names starting at word i, their form (initial, one, hyphenated, two), whether one is known."""
-        yield i + 1, "I" if initial[i] else "G", named[i]
-        if i + 2 < n and not initial[i] and not dotted[i + 1] and words[i][2][0].isupper() and words[i + 1][2][0].isupper() and len(low[i + 1]) > 1:
-            if gap(i) == "-":
-                yield i + 2, "H", named[i] or named[i + 1]
-            elif words[i + 2][2][0].isupper() and not initial[i + 1] and low[i + 1] not in PARTICLES and _gap.match(gap(i)):
-                yield i + 2, f"G{named[i + 1]:d}G", named[i]
-
-    for i in range(n):
-        upper = words[i][2][0].isupper()
-        if not (upper or named[i] or family[i] or (initial[i] and i + 1 < n and family[i + 1])):
-            continue
-        if i + 1 == n or text[words[i][1] : start[i + 1]] not in _next_to or i and text[words[i][0] - 1] in "@.+_":
-            continue
-        if not (words[i + 1][2][0].isupper() or named[i] or named[i + 1] or family[i + 1] or initial[i + 1] or low[i + 1] in PARTICLES):
+    @classmethod
+    def load(cls, names: tuple[str, ...] = VOCABULARIES) -> Words:
+        """From vocabulary files: the first decides, the others add common words that it lacks."""
+        kinds: dict[str, str] = {}
+        for n, name in enumerate(names):
+            rank = _ranks(name)
+            for w, at in rank.items():
+                low = w.lower()
+                if low in kinds or len(low) < 2:
+                    continue
+                small, capital = rank.get(low), rank.get(low.capitalize())
+                if small is not None and (capital is None or small < PROPER * capital):
+                    kinds[low] = "c"
+                elif capital is not None and not n and len(low) > 3:
+                    kinds[low] = "p"
+        return cls(kinds)
+
+    def of(self, word: str) -> tuple[str, bool, str, bool, bool]:
+        """(lower case, initial, kind, ending of a technical or derived word, full stop at its end), kept for the next time."""
+        got = self.seen.get(word)
+        if got is None:
+            dotted = word[-1] == "."
+            low = unicodedata.normalize("NFC", word).lower().rstrip(".")
+            kind = "f" if low in _before or low in _after else self.kinds.get(low, "u")
+            got = (low, len(low) == 1, kind, len(low) > 4 and low.endswith(_term_endings), dotted)
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[word] = got
+        return got
+
+
+def _ranks(name: str) -> dict[str, int]:
+    """Words of a vocabulary file that begin a word, with their place: earlier is more frequent."""
+    if not os.path.exists(name):
+        import public_tokenizers
+
+        name = public_tokenizers.path(name)
+    out: dict[str, int] = {}
+    with open(name, encoding="utf-8") as f:
+        if name.endswith(".json"):
+            for w, at in json.load(f)["model"]["vocab"].items():
+                if w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha():
+                    out[w[1:]] = at
+        else:
+            for line in f:
+                piece, at = line.split()
+                w = base64.b64decode(piece).decode("utf-8", "ignore")
+                if w[:1] == " " and w[1:].isalpha():
+                    out[w[1:]] = int(at)
+    return out
+
+
+_punct = {" ": "_", "": "", ", ": ",", ": ": ":", " (": "(", ' "': "q", '": "': "json", " - ": "-", " – ": "-", " — ": "-", "| ": "bar", " | ": "bar", ". ": ".", "; ": ";"}
+
+
+def _mark(marks: str) -> str:
+    """What stands between a word and a span."""
+    got = _punct.get(marks)
+    if got is not None:
+        return got
+    if "\n" in marks:
+        return "nl"
+    bare = marks.strip()
+    return "_" if not bare else "tag" if ">" in bare or "<" in bare else "bar" if "|" in bare else bare[-1] if marks[-1] != bare[0] else bare[0]
+
+
+def _context_before(text: str, s: int, words: Words) -> str:
+    left = text[max(0, s - 32) : s]
+    bare = left.rstrip(_marks)
+    mark = _mark(left[len(bare) :])
+    if not bare:
+        return f"start{mark}"
+    at = max(bare.rfind(" "), bare.rfind("\n"), bare.rfind('"'), bare.rfind(">"), bare.rfind("("), bare.rfind("."))
+    word = bare[at + 1 :].lstrip(_marks)
+    low, _, kind, _, _ = words.of(word) if word else ("", False, "u", False, False)
+    group = _before.get(low)
+    if mark == "." and group != "title":
+        return "sentence"
+    if mark == "nl" and group not in ("greet", "label"):
+        return "line"
+    if word.isdigit():
+        group = "num"
+    elif group and group[:3] == "by:" and mark == "_":
+        earlier = bare[: max(at, 0)].rstrip(_marks)
+        verb = earlier[earlier.rfind(" ") + 1 :].lstrip(_marks).lower()
+        if verb in _asking:
+            group = "ask+by"
+    return f"{group or (word[:1].isupper() and 'Cap' or kind)}|{'_' if group == 'title' else mark}"
+
+
+def _context_after(text: str, e: int, words: Words) -> str:
+    right = text[e : e + 28]
+    bare = right.lstrip(_marks)
+    mark = _mark(right[: len(right) - len(bare)])
+    if not bare:
+        return f"{mark}|end"
+    if mark in ("nl", "tag", "bar"):
+        return mark
+    token = bare.split(None, 1)[0]
+    if token[0].isdigit() or token[0] == "+":
+        return f"{mark}|num"
+    if "@" in token:
+        return f"{mark}|mail"
+    word = token.rstrip(_marks)
+    low = word.lower()
+    group = _after.get(low)
+    if group is None:
+        group = "title" if _before.get(low) in ("title", "role", "kin") else "cap" if word[:1].isupper() else "ed" if low.endswith(("ed", "te", "ó")) else "low"
+    return f"{mark}|{group}"
+
+
+def name_candidates(text: str, words: Words) -> Iterator[tuple[int, int, str, tuple]]:
+    """Spans that may be a given name or initial with a family name, in either order, with their facts."""
+    found = [(m.start(), m.end(), m[0]) for m in _capital.finditer(text)]
+    n = len(found)
+    about = [words.of(w[2]) for w in found]
+    # how each capitalised word is tied to the next: space, particles, hyphen, comma, or not at all
+    ties: list[str] = []
+    for i in range(n - 1):
+        end = found[i][1] - (about[i][4] and not about[i][1])
+        gap = text[end : found[i + 1][0]]
+        if gap == " ":
+            ties.append("s")
+        elif gap == ", ":
+            ties.append("c")
+        elif gap == "-":
+            ties.append("-")
+        elif len(gap) > 16 or not gap:
+            ties.append("s" if not gap and about[i][1] else "")
+        else:
+            m = _gap.match(gap)
+            ties.append("" if not m else "p" if m[1] else "w")
+    ties.append("")
+    tied = ["", *(t and t + about[i][2] for i, t in enumerate(ties))]
+    for i in range(n - 1):
+        if not ties[i]:
             continue
-        # given names or initial, middle initials, particles, family name
-        if (initial[i] or len(low[i]) >= 2) and not (dotted[i] and not initial[i]):
-            for j, first, known in given_from(i):
-                middle = 0
-                while j < n and initial[j] and _gap.match(gap(j - 1)) and middle < 2:
-                    j += 1
-                    middle += 1
-                particles = 0
-                while j < n and low[j] in PARTICLES and not dotted[j] and _gap.match(gap(j - 1)) and particles < 2:
-                    j += 1
-                    particles += 1
-                if j < n and _gap.match(gap(j - 1)):
-                    for last, compound in family_from(j):
-                        if not (words[j][2][0].isupper() or named[i] or family[last]):
-                            continue
-                        form = first + ("I" if middle else "") + ("P" if particles else "") + "F"
-                        yield words[i][0], end_of(last), "person_name", _name_features(text, words[i][0], end_of(last), form, known, family[last], named[last] or named[j], compound, [words[k][2].rstrip(".") for k in range(i, last + 1) if not (low[k] in PARTICLES and particles)])
-        # family name, comma, given name, middle initial
-        if not initial[i]:
-            for last, compound in family_from(i):
-                if last + 1 < n and not dotted[last] and gap(last) == ", ":
-                    g = last + 1
-                    if len(low[g]) < 2 and not initial[g]:
-                        continue
-                    ends = [(g, "")]
-                    if g + 1 < n and not dotted[g]:
-                        if initial[g + 1] and _gap.match(gap(g)):
-                            ends.append((g + 1, "I"))
-                        elif words[g][2][0].isupper() and words[g + 1][2][0].isupper() and len(low[g + 1]) > 1 and not initial[g]:
-                            if gap(g) == "-":
-                                ends.append((g + 1, "H"))
-                            elif _gap.match(gap(g)):
-                                ends.append((g + 1, f"{named[g + 1]:d}G"))
-                    for e, more in ends:
-                        if not (words[g][2][0].isupper() or named[g]):
-                            continue
-                        end = words[e][1] if initial[e] else end_of(e)
-                        form = "Fc" + ("I" if initial[g] else "G") + more
-                        yield words[i][0], end, "person_name", _name_features(text, words[i][0], end, form, named[g], family[last], named[i] or named[last], compound, [words[k][2].rstrip(".") for k in range(i, e + 1)])
-
-
-def _name_features(text: str, s: int, e: int, form: str, given: bool, family: bool, swapped: bool, compound: bool, words: list[str]) -> list[str]:
-    left, right = text[max(0, s - 24) : s], text[e : e + 14]
-    case = _case(words)
-    f = ["n", f"n:form={form}", f"n:given={given:d},family={family:d}", f"n:case={case}"]
-    if not family:
-        f.append(f"n:case={case},family=0")
-    if swapped:
-        f.append("n:family is a given name")
-    if compound:
-        f.append("n:compound")
-    if _lower(words[0]) in FUNCTION_WORDS or _lower(words[-1]) in FUNCTION_WORDS:
-        f.append("n:function word")
-    if text[s:e].count("  "):
-        f.append("n:wide gap")
-    if _title.search(left):
-        f.append("n:title before")
-    if _name_cue.search(left):
-        f.append("n:cue before")
-    if m := _general_cue.search(left):
-        f.append("n:general cue,bare" if m[0].endswith(m[1] + " ") else "n:general cue")
-    if left.endswith("| "):
-        f.append("n:after bar")
-    if not (given or family):
-        f += _unknown(f)
-    if (s == 0 or left[-1:] == "\n") and (not right or right[0] == "\n"):
-        f.append("n:alone on its line")
-    if min(map(len, words)) == 2 and words[0][-1] != ".":
-        f.append("n:two letters")
-    if _after_bad.match(right):
-        f.append("n:wrong word after")
-    if right[:1] == "-" or right[:1].isalnum():
-        f.append("n:goes on after")
-    if left[-1:] in "-–'" or left[-1:].isalnum():
-        f.append("n:goes on before")
-    if re.search(r"\d[a-z]?,? $", left):
-        f.append("n:number before")
-    if left.endswith(". ") or not left.strip(" -—\t"):
-        f.append("n:sentence start")
-    return f
-
-
-def _unknown(f: list[str]) -> list[str]:
-    """Features of a name of which no word is listed, from its others: what stands before it counts for more."""
-    bar = "n:after bar" in f
-    cue = not bar and any(x in f for x in ("n:title before", "n:cue before", "n:general cue", "n:general cue,bare"))
-    form = next(x for x in f if x.startswith("n:form="))[7:]
-    return [f"n:unknown,cue={cue:d}", f"n:unknown,bar={bar:d},comma={'c' in form:d}"]
-
-
-def number_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+        tokens, form, real, commas = [i], "I" if about[i][1] else "W", not about[i][1], 0
+        for j in range(i + 1, min(n, i + MAX_WORDS + 1)):
+            tie = ties[j - 1]
+            if not tie:
+                break
+            if tie == "c":
+                commas += 1
+                if commas > 1 or not real or len(tokens) > 2:
+                    break
+            tokens.append(j)
+            form += {"s": " ", "w": "_", "p": " p ", "-": "-", "c": ", "}[tie] + ("I" if about[j][1] else "W")
+            real = real or not about[j][1]
+            if len(tokens) > MAX_WORDS:
+                break
+            if not real or form in ("W-W", "I-W", "W-I") or (about[j][1] and not commas):
+                continue
+            s, e = found[i][0], found[j][1] - (about[j][4] and not about[j][1])
+            yield s, e, "person_name", _name_facts(text, s, e, form, [found[k][2].rstrip(".") for k in tokens], [about[k] for k in tokens], tied[i], ties[j] and ties[j] + about[j + 1][2], words)
+    starts = set()
+    for word in words.hot.intersection(_letters.findall(text)):
+        at = text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not (text[end : end + 1].isalpha() or at and text[at - 1].isalpha()):
+                if word in words.proper:
+                    starts.add(at)
+                elif gap := _cue_gap.match(text, end):
+                    starts.add(gap.end())
+            at = text.find(word, end)
+    for at in starts:
+        m = _small_name.match(text, at)
+        if m and not m[1][0].isupper() and not m[4][0].isupper():
+            parts = [m[1].rstrip("."), m[4]]
+            form = ("I" if len(parts[0]) == 1 else "W") + (" I" if m[2] else "") + (" p " if m[3] else " ") + "W"
+            yield m.start(), m.end(), "person_name", _name_facts(text, m.start(), m.end(), form, parts, [words.of(p) for p in parts], "", "", words)
+
+
+def _name_facts(text: str, s: int, e: int, form: str, parts: list[str], about: list, before: str, after: str, words: Words) -> tuple:
+    """What the features of a name are made of. ``before`` and ``after`` tell how it is tied to the words beside it, and their kind."""
+    real = [a for a in about if not a[1]]
+    case = "T"
+    if parts[0][-1].isupper() or len(parts[0]) == 1:
+        long = [p for p in parts if len(p) > 1]
+        if all(map(str.isupper, long)) and max(map(len, long)) > 2:
+            case = "U"
+    elif not parts[0][0].isupper() and all(map(str.islower, parts)):
+        case = "l"
+    first, last = real[0], real[-1]
+    edge = text[e : e + 14]
+    return (
+        "n", form, case, first[2] if len(real) > 1 else "-", last[2], _context_before(text, s, words), _context_after(text, e, words), before, after,
+        (first[3] and first[2] != "p") + 2 * (last[3] and last[2] != "p"), len(real) > 2 and any(a[2] in "cf" for a in real[1:-1]), not _institutions.isdisjoint([a[0] for a in real]), min(len(a[0]) for a in real) == 2,
+        (_after_bad.match(edge) is not None) + 2 * (edge[:1] == "-" or edge[:1].isalnum()) + 4 * (s > 0 and (text[s - 1] in "-–'’" or text[s - 1].isalnum())),
+    )
+
+
+def _name_features(facts: tuple) -> list[str]:
+    _, form, case, first, last, left, right, before, after, terms, inside, institution, short, edges = facts
+    kinds = first + last
+    strong = left.partition("|")[0] in ("title", "kin", "role", "label", "self", "greet", "ask") or left.startswith(("by:by", "ask+by")) or left.endswith(("|q", "|json", "|-"))
+    f = ["n", f"n:form={form}", f"n:form={form},last={last}", f"n:case={case}", f"n:kinds={kinds}", f"n:kinds={kinds},case={case}", f"n:left={left}", f"n:right={right}", f"n:strong={strong:d},kinds={kinds}", f"n:strong={strong:d},case={case}"]
+    f += [x for x, bit in (("n:first ends like a term", 1), ("n:last ends like a term", 2)) if terms & bit]
+    f += [x for x, yes in (("n:common word inside", inside), (f"n:institution,strong={strong:d}", institution), ("n:function word at an end", "f" in kinds), ("n:two letters", short)) if yes]
+    if before:
+        f.append(f"n:tied before={before}")
+    if after:
+        f += [f"n:tied after={after}", f"n:tied after={after},strong={strong:d}"]
+    if "," in form:
+        f += [f"n:comma,strong={strong:d}", f"n:comma,right={right}"]
+    if left in ("sentence", "line") or left.startswith("start"):
+        f += [f"n:begins,right={right}", f"n:begins,kinds={kinds}"]
+        if right.partition("|")[0] in ("nl", "") and right != "|cap":
+            f.append("n:alone on its line")
+    return f + [x for x, bit in (("n:wrong word after", 1), ("n:goes on after", 2), ("n:goes on before", 4)) if edges & bit]
+
+
+def number_candidates(text: str) -> Iterator[tuple[int, int, str, tuple]]:
     """Runs of up to ``MAX_ATOMS`` groups of digits and capitals, each as a phone and as an identity number."""
-    atoms = [(m.start(), m.end()) for m in _atom.finditer(text)]
-    for i, (s, _) in enumerate(atoms):
-        if not (text[s].isdigit() or atoms[i][1] - s <= 2):
+    for m in _region.finditer(text):
+        s, e = m.span()
+        if e - s >= 6 and sum(map(str.isdigit, m[0])) >= 6:
+            atoms = [x.span() for x in _atom.finditer(text, s, e)]
+            yield from _numbers_in(text, atoms, [text[a].isdigit() for a, _ in atoms])
+
+
+def _numbers_in(text: str, atoms: list[tuple[int, int]], digit: list[bool]) -> Iterator[tuple[int, int, str, tuple]]:
+    for i, (s, first_end) in enumerate(atoms):
+        if not digit[i] and (first_end - s > 2 or _id_label.match(text, s)):
             continue
         digits = letters = 0
         for j in range(i, min(i + MAX_ATOMS, len(atoms))):
             a, b = atoms[j]
-            if j > i:
-                between = text[atoms[j - 1][1] : a]
-                if between not in ("", " ", ".", "-", "/", ") ", ")", " (", "(", "-(", "\xa0"):
-                    break
-            if text[a].isdigit():
+            if digit[j]:
                 digits += b - a
             else:
                 letters += 1
-                if b - a > 2 or letters > 2:
+                if b - a > 2 or letters > 3:
                     break
-            if digits > 15:
+            if digits > MAX_DIGITS:
                 break
             if digits < 6 + (letters == 0):
                 continue
@@ -254,26 +362,32 @@ def number_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
             span = text[start:b]
             if span.count("(") != span.count(")"):
                 continue
-            sig = re.sub(r"\d", "9", re.sub(r"[A-Z]", "A", span)).replace("\xa0", " ")
             left, before, after = text[max(0, start - 30) : start], text[start - 1 : start] if start else "", text[b : b + 2]
-            f = ["plain"] if span.isdigit() else []
-            if letters:
-                f.append("letters")
-            if before and (before.isalnum() or before in "+-/.@_" or before == "," and text[start - 2 : start - 1].isdigit()):
-                f.append("goes on before")
-            if re.search(r"\d[ .\-/]$", left):
-                f.append("digits before")
-            if after[:1].isalnum() or after[:1] in "@_" or (after[:1] in "-/." and after[1:2].isalnum()):
-                f.append("goes on after")
-            if re.match(r"[ \-/.]?\d", after):
-                f.append("digits after")
+            flags = span.isdigit() + 2 * (letters > 0) + 4 * bool(before and (before.isalnum() or before in "+-/.@_" or before == "," and text[start - 2 : start - 1].isdigit())) + 8 * (i > 0 and re.search(r"\d[ .\-/]$", left) is not None)
+            flags += 16 * (after[:1].isalnum() or after[:1] in ("@", "_") or (after[:1] in ("-", "/", ".") and after[1:2].isalnum())) + 32 * (re.match(r"[ \-/.]?\d", after) is not None)
             cue = "phone" if _phone_cue.search(left) else "id" if _id_cue.search(left) else "other" if _other_cue.search(left) else "none"
-            first = "+" if sig[0] == "+" else "00" if span.startswith("00") else "0" if span[0] == "0" else "(" if sig[0] == "(" else "A" if sig[0] == "A" else "9"
-            for kind, k in (("phone", "p"), ("id_number", "i")):
-                yield start, b, kind, [k, f"{k}:sig={sig}", f"{k}:cue={cue}", f"{k}:first={first}", f"{k}:digits={min(digits, 14)}", *(f"{k}:{x}" for x in f)]
+            sig = span.translate(_shapes)
+            for kind in ("phone", "id_number"):
+                yield start, b, kind, (kind, sig, cue, "00" if span.startswith("00") else "0" if span[0] == "0" else sig[0], min(digits, 17), min(j - i + 1, 6), flags)
+
+
+_flags = ("plain", "letters", "goes on before", "digits before", "goes on after", "digits after")
+
+
+def _number_features(facts: tuple) -> list[str]:
+    kind, sig, cue, first, digits, groups, flags = facts
+    k = kind[0]
+    return [k, f"{k}:sig={sig}", f"{k}:cue={cue}", f"{k}:first={first}", f"{k}:digits={digits}", f"{k}:groups={groups},cue={cue}", *(f"{k}:{x}" for n, x in enumerate(_flags) if flags >> n & 1)]
+
+
+_shapes = {ord(c): "9" for c in "0123456789"} | {ord(c): "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {0xA0: " ", 0x2009: " ", 0x202F: " "}
 
 
-def email_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+def email_candidates(text: str) -> Iterator[tuple[int, int, str, tuple]]:
+    """Addresses, also with the at sign or the dots written out."""
+    low = text.lower()
+    if "@" not in text and not any(x in low for x in _at_forms):
+        return
     for at in _at.finditer(text):
         domain = _domain.match(text, at.end())
         if not domain:
@@ -282,75 +396,76 @@ def email_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         labels = [x for x in _dot.split(domain[0]) if x]
         tld = labels[-1] if labels else ""
         start = local.start() if local else at.start()
-        f = ["e", f"e:at={'@' if at[0] == '@' else 'word'}", f"e:local={'none' if not local else 'digits' if local[0].isdigit() else 'text'}", f"e:labels={min(len(labels), 4)}", f"e:tld={'alpha' if tld.isalpha() and len(tld) > 1 else 'other'}"]
+        f = [f"e:at={'@' if at[0] == '@' else 'plain word' if at[0].strip().lower() == 'at' else 'word'}", f"e:local={'none' if not local else 'digits' if local[0].isdigit() else 'text'}", f"e:labels={min(len(labels), 4)}", f"e:tld={'alpha' if tld.isalpha() and len(tld) > 1 else 'other'}"]
         if "://" in text[max(0, start - 12) : start]:
             f.append("e:url before")
-        yield start, domain.end(), "email", f
+        yield start, domain.end(), "email", ("e", *f)
 
 
-def street_candidates(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+def street_candidates(text: str) -> Iterator[tuple[int, int, str, tuple]]:
+    """Street names with a house number; of names of several words every shorter reading too."""
     low = text.lower()
+    after, before, compound = (any(map(low.__contains__, hints)) for hints in (_after_hints, _before_hints, _compound_hints))
     for form, pattern in _street:
-        if form in _hints and not any(w in low for w in _hints[form]):
+        if not (after if form == "after" else compound if form == "compound" else before):
             continue
         for m in pattern.finditer(text):
-            capital = m[1][0].isupper() or (form in ("before", "number_last") and m[2][0].isupper())
-            f = ["s", f"s:form={form}", f"s:capital={capital:d}"]
-            if form == "after":
-                f.append(f"s:word={m[2].lower()}")
-                f.append(f"s:dot={m[0].endswith('.'):d},{'short' if len(m[2]) < 5 else 'long'}")
-                f.append(f"s:names={m[1].count(' ') + 1}")
-                name = m[1].split(" ")[-1]
-                f.append(f"s:name capital={name[0].isupper():d}")
-                if m[2][0].islower() and name[0].isupper():
-                    f.append("s:word small")
-            yield m.start(), m.end(), "street_address", f
-            if form == "after" and m[0].endswith("."):
-                f = [x for x in f if not x.startswith("s:dot")] + [f"s:dot=0,{'short' if len(m[2]) < 5 else 'long'}", "s:dot left out"]
-                yield m.start(), m.end() - 1, "street_address", f
-
-
-def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
-    """All proposed entities as (start, end, kind, features), by end."""
-    found = [*email_candidates(text), *number_candidates(text), *street_candidates(text), *name_candidates(text)]
+            name = m[2] if form in ("before", "number_last") else m[1]
+            parts = name.split(" ")
+            kind_word = m[1] if form in ("before", "number_last") else ""
+            ends = [m.end()] if form != "before" else [m.start(2) + len(" ".join(parts[:k])) for k in range(1, len(parts) + 1)]
+            for k, end in enumerate(ends, 1):
+                used = parts[:k] if form == "before" else parts
+                capital = used[0][0].isupper() or kind_word[:1].isupper()
+                f = [f"s:form={form}", f"s:capital={capital:d}", f"s:names={len(used)}", f"s:all capital={all(p[0].isupper() for p in used):d}"]
+                if form == "before" and k < len(parts):
+                    f.append(f"s:next capital={parts[k][0].isupper():d}")
+                if form == "after":
+                    f += [f"s:word={m[2].lower()}", f"s:dot={m[0].endswith('.'):d},{m[2].lower() if len(m[2]) < 5 else 'long'}"]
+                    if m[2][0].islower() and used[-1][0].isupper():
+                        f.append("s:word small")
+                yield m.start(), end, "street_address", ("s", *f)
+                if form == "after" and m[0].endswith("."):
+                    f = [x for x in f if not x.startswith("s:dot")] + [f"s:dot=0,{m[2].lower() if len(m[2]) < 5 else 'long'}", "s:dot left out"]
+                    yield m.start(), end - 1, "street_address", ("s", *f)
+
+
+def candidates(text: str, words: Words) -> list[tuple[int, int, str, tuple]]:
+    """All proposed entities as (start, end, kind, facts), by end."""
+    found = [*email_candidates(text), *number_candidates(text), *street_candidates(text), *name_candidates(text, words)]
     return sorted((c for c in found if c[1] - c[0] <= MAX_CHARS), key=lambda c: (c[1], c[0], c[2]))
 
 
-_listed = re.compile(r"n:given=[01],family=[01]$")
-_second_given = re.compile(r"G1G")
-
-
-def without_lists(features: list[str]) -> list[str]:
-    """Features of a span as if none of its words stood in the fixed lists; others than those of names stay."""
-    at = next((i for i, f in enumerate(features) if _listed.match(f)), -1)
-    if at < 0:
-        return features
-    known = features[at] != "n:given=0,family=0"
-    out = [_second_given.sub("G0G", f) for f in features if f != "n:family is a given name"]
-    out[out.index(features[at])] = "n:given=0,family=0"
-    case = next(f for f in out if f.startswith("n:case="))
-    if features[at].endswith("family=1"):
-        out.append(f"{case},family=0")
-    return out + _unknown(out) if known else out
+def features(facts: tuple) -> list[str]:
+    """The names of the features of a span."""
+    return _name_features(facts) if facts[0] == "n" else _number_features(facts) if facts[0] in KINDS else list(facts)
 
 
 class SemiCrf:
     """Weights of whole-span features; decoding, likelihood and gradient over a segment lattice."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], words: Words):
+        self.weights, self.words = weights, words
+        self.known: dict[tuple, float] = {}
 
     @classmethod
     def load(cls, path: Path = WEIGHTS) -> SemiCrf:
-        return cls(json.loads(path.read_text(encoding="utf-8")))
-
-    def score(self, features: list[str]) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in features)
+        return cls(json.loads(path.read_text(encoding="utf-8")), Words.load())
+
+    def score(self, facts: tuple) -> float:
+        """The weights of a span added up; spans with the same facts are worked out once."""
+        got = self.known.get(facts)
+        if got is None:
+            get = self.weights.get
+            got = sum(get(f, 0.0) for f in features(facts))
+            if len(self.known) > 300_000:
+                self.known.clear()
+            self.known[facts] = got
+        return got
 
     def decode(self, text: str) -> list[tuple[int, int, str]]:
         """The best segmentation: its entities as (start, end, kind), in order."""
-        scored = [(s, e, k, v) for s, e, k, f in candidates(text) if (v := self.score(f)) > 0]
+        scored = [(s, e, k, v) for s, e, k, f in candidates(text, self.words) if (v := self.score(f)) > 0]
         ends: list[int] = []
         best: list[float] = []
         back: list[tuple[int, int, str, int] | None] = []
@@ -370,15 +485,13 @@ class SemiCrf:
             out.append((s, e, k))
         return out[::-1]
 
-    def gradient(self, text: str, gold: set[tuple[int, int, str]], unlisted: bool = False) -> tuple[float, dict[str, float]]:
-        """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums over the lattice.
-
-        ``unlisted`` takes the features as if no name stood in the fixed lists.
-        """
-        spans = [(s, e, k, without_lists(f)) for s, e, k, f in candidates(text)] if unlisted else candidates(text)
+    def gradient(self, text: str, gold: set[tuple[int, int, str]]) -> tuple[float, dict[str, float]]:
+        """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums over the lattice."""
+        spans = candidates(text, self.words)
         marks = sorted({0, len(text), *(c[0] for c in spans), *(c[1] for c in spans)})
         place = {m: i for i, m in enumerate(marks)}
-        scores = [self.score(c[3]) for c in spans]
+        named, get = [features(c[3]) for c in spans], self.weights.get
+        scores = [sum(get(f, 0.0) for f in x) for x in named]
         add = lambda a, b: b if a == -math.inf else a if b == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
         ahead, behind = [-math.inf] * len(marks), [-math.inf] * len(marks)
         ahead[0] = behind[-1] = 0.0
@@ -395,28 +508,33 @@ class SemiCrf:
             for n in starting.get(i, ()):
                 behind[i] = add(behind[i], behind[place[spans[n][1]]] + scores[n])
         z, like, grad = ahead[-1], 0.0, {}
-        for n, (s, e, k, f) in enumerate(spans):
+        for n, (s, e, k, _) in enumerate(spans):
             p = math.exp(min(0.0, ahead[place[s]] + scores[n] + behind[place[e]] - z))
             d = -p
             if (s, e, k) in gold:
                 like += scores[n]
                 d += 1.0
             if abs(d) > 1e-9:
-                for x in f:
+                for x in named[n]:
                     grad[x] = grad.get(x, 0.0) + d
         return like - z, grad
 
 
+def _shared(df: DataFrame):
+    model = SemiCrf.load()
+    return df.sparkSession.sparkContext.broadcast((model.weights, model.words.kinds))
+
+
 def find(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, start, length, kind, val``: every personal detail with its place (code points from 0). Null and empty: none.
 
     Map-only, whole texts, rows in any order; repeated rows give repeated results.
     """
     key_type = df.schema[key].dataType.simpleString()
-    weights = df.sparkSession.sparkContext.broadcast(SemiCrf.load().weights)
+    shared = _shared(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SemiCrf(weights.value)
+        model = SemiCrf(shared.value[0], Words(shared.value[1]))
         for batch in batches:
             rows, hits = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -434,10 +552,10 @@ def find(df: DataFrame, key: str, text: str) -> DataFrame:
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, text, n_redacted``: every text with a typed placeholder in place of each detail; null stays null."""
     key_type = df.schema[key].dataType.simpleString()
-    weights = df.sparkSession.sparkContext.broadcast(SemiCrf.load().weights)
+    shared = _shared(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SemiCrf(weights.value)
+        model = SemiCrf(shared.value[0], Words(shared.value[1]))
         for batch in batches:
             texts, counts = [], []
             for t in batch.column(1).to_pylist():
