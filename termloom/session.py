@@ -23,10 +23,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) a local one is made."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local one is made, but only for a local master (tests): on a cluster every executor would write to a
+    disk of its own, so ``RuntimeError`` is raised there.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="termloom-")
@@ -34,11 +41,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _place(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _place(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _place(spark, path)
+    fs.delete(p, True)
+
+
+def read_small_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file, or None where there is none."""
+    fs, p = _place(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_small_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside and renamed, so that readers see the old or the new content."""
+    fs, p = _place(spark, f"{path}.new")
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    _, q = _place(spark, path)
+    fs.delete(q, False)
+    if not fs.rename(p, q):
+        raise OSError(f"cannot write {path}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete_path(spark, path)
     except Exception:  # the session may already be gone
         pass
 
