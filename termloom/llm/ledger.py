@@ -3,95 +3,165 @@
 from __future__ import annotations
 
 import atexit
-import re
+import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from termloom.session import scratch
+from termloom.session import delete_path, read_small_text, scratch, write_small_text, written
+
+#: Most keys that are treated as hot (so their first arrivals are broadcast), files of a bucket before the ledger is compacted.
+HOT_KEYS, FILES_PER_BUCKET = 64, 8
 
 
 class KeyLedger:
     """History of first arrivals, hash-partitioned into buckets on disk; no key is held in memory.
 
-    The ledger is an external table ``(key, first_order)`` bucketed by ``key``. Each batch is folded to one row per key (its
-    rank-1 arrival, combined map-side, so a key with a third of all rows costs one row per task), sort-merge left-joined with
-    the ledger bucket by bucket (the history is never shuffled again), and the keys without match are appended. Answers:
-    a row has been seen unless it is itself the first arrival of its key. The answer therefore joins on the arrival order,
-    which is unique, never on the key: no skew. Both answers are exact; the rate of wrong answers is zero.
+    The ledger is a table ``(key, first_order)`` bucketed by ``key`` below ``path``, where ``_ledger.json`` keeps its bucket
+    count, types and generation: a ledger opened on the path of an earlier one goes on where that stopped. Keys and orders may
+    have any type Spark can hash and sort; later batches must bring the same types (``TypeError`` otherwise).
+
+    A batch is taken in with one shuffle: its rows are hash-partitioned by key as the ledger is, ranked by arrival within
+    their key, and sort-merge left-joined with the ledger bucket by bucket (the history is never shuffled); keys without
+    match are appended. A row has been seen unless it is the first of its key in the batch and the ledger has no earlier
+    arrival. Keys that hold a large share of a batch (at most ``HOT_KEYS``, named by a bounded sketch that only balances the
+    load) send one row per task, their first arrival, through that stage; their other rows are answered in place from these
+    few first arrivals. Every append adds a file per bucket; after ``FILES_PER_BUCKET`` appends the ledger is rewritten with
+    one file per bucket as a new generation, without a shuffle.
 
-    Null keys are never seen and never enter the ledger. The order must be unique; of rows sharing key and order all count
+    Answers are exact: the rate of wrong answers is zero. A batch that is taken in again (after a failure) gets the same
+    answers and appends nothing. Null keys are never seen and never enter the ledger; of rows sharing key and order all count
     as the first. An empty batch changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, path: str | None = None):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or scratch(spark, "ledger")
-        self.name = "ledger_" + re.sub(r"\W", "_", self.path)[-60:]
-        self.started = False
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.path = (path or scratch(spark, "ledger")).rstrip("/")
+        found = read_small_text(spark, f"{self.path}/_ledger.json")
+        self.meta: dict | None = json.loads(found) if found else None
+        self.buckets = self.meta["buckets"] if self.meta else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"ledger_{uuid.uuid4().hex[:16]}"
         atexit.register(self.drop)
-        self.n_batches = 0
+        if self.meta:
+            self._attach()
 
     def drop(self) -> None:
-        """Takes the ledger's table out of the catalog; its files go with the shared folder's."""
+        """Takes the ledger's table out of the catalog; its files stay."""
         try:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         except Exception:  # the session may already be gone
             pass
 
-    def _read(self) -> DataFrame:
+    def _place(self, generation: int) -> str:
+        return f"{self.path}/g{generation}"
+
+    def _attach(self) -> None:
+        m = self.meta
+        self.drop()
+        place = self._place(m["generation"]).replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {self.name} (key {m['key']}, first_order {m['order']}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+
+    def _save(self, **changes) -> None:
+        self.meta = {**self.meta, **changes}
+        write_small_text(self.spark, f"{self.path}/_ledger.json", json.dumps(self.meta))
+
+    def keys(self) -> DataFrame:
+        """``key, first_order`` of all keys so far."""
         return self.spark.table(self.name)
 
+    def _start(self, batch: DataFrame, key: str, order: str) -> None:
+        types = {"key": batch.schema[key].dataType.simpleString(), "order": batch.schema[order].dataType.simpleString()}
+        if self.meta is None:
+            self.meta = {"buckets": self.buckets, **types, "generation": 0, "appends": 0}
+            self._save()
+            self._attach()
+        elif any(self.meta[k] != t for k, t in types.items()):
+            raise TypeError(f"the ledger holds {self.meta['key']} by {self.meta['order']}, the batch {types['key']} by {types['order']}")
+
+    def _hot(self, keyed: DataFrame, key: str) -> list[int]:
+        """Hashes of keys that may hold more than one in ``HOT_KEYS`` of the rows; a bounded sketch, one row to the driver."""
+        got = keyed.select(F.xxhash64(key).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_KEYS}, 10000)").alias("top")).first()
+        return [t["item"] for t in got["top"] or [] if t["count"] * HOT_KEYS > got["n"] and t["count"] > 1000]
+
     def absorb(self, batch: DataFrame, key: str, order: str) -> DataFrame:
-        """Takes in one batch, later than all before; returns its new first arrivals ``(key, first_order)``, written."""
-        ranked = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(order).alias("first_order"))
-        ranked = ranked.repartition(self.buckets, "key")
-        new = ranked
-        if self.started:
-            old = self._read().select("key", F.lit(True).alias("__old")).hint("merge")
-            new = ranked.join(old, "key", "left").where(F.col("__old").isNull()).select("key", "first_order")
-        at = scratch(self.spark, f"ledger-batch{self.n_batches}")
-        new.write.parquet(at)
-        new = self.spark.read.schema("key bigint, first_order bigint").parquet(at)
-        put = new.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").mode("append").format("parquet")
-        put.option("path", self.path).saveAsTable(self.name)
-        self.started, self.n_batches = True, self.n_batches + 1
-        return new
-
-    def answers(self, batch: DataFrame, order: str, new: DataFrame) -> DataFrame:
-        """The rows of ``batch`` with ``seen`` (false for first arrivals and null keys are the caller's to leave out)."""
-        firsts = new.select(F.col("first_order").alias("__first"))
-        return batch.join(firsts, batch[order] == F.col("__first"), "left").withColumn("seen", F.col("__first").isNull()).drop("__first")
-
-
-def batch_bounds(df: DataFrame, order: str, n_batches: int) -> list[int]:
-    """Upper bounds (inclusive) cutting the arrival order into batches of about equal numbers of rows; the last is open."""
-    if n_batches < 2:
+        """Takes in one batch, later than all before; returns its rows with ``seen``. Rows without key or order are not seen."""
+        self._start(batch, key, order)
+        clash = {"seen", "__new", "__hot", "__key", "__first", "__rank"} & set(batch.columns)
+        if clash:
+            raise ValueError(f"columns {sorted(clash)} are taken")
+        k, o = F.col(key), F.col(order)
+        keyed = batch.where(k.isNotNull() & o.isNotNull())
+        hot = self._hot(keyed, key)
+        is_hot = F.xxhash64(key).isin(hot) if hot else F.lit(False)
+        rows = keyed.where(~is_hot).withColumn("__hot", F.lit(False)) if hot else keyed.withColumn("__hot", F.lit(False))
+        if hot:
+            firsts = keyed.where(is_hot).groupBy(k.alias(key)).agg(F.min(o).alias(order))
+            rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema if f.name not in (key, order)]
+            rows = rows.unionByName(firsts.select(key, order, *rest, F.lit(True).alias("__hot")))
+        ranked = rows.repartition(self.buckets, key).withColumn("__rank", F.rank().over(Window.partitionBy(key).orderBy(order)))
+        old = self.keys().select(F.col("key").alias("__key"), F.col("first_order").alias("__first")).hint("merge")
+        joined = ranked.join(old, k == F.col("__key"), "left")
+        earlier = F.coalesce(F.col("__first") < o, F.lit(False))
+        told = written(joined.withColumn("seen", (F.col("__rank") > 1) | earlier).withColumn("__new", (F.col("__rank") == 1) & F.col("__first").isNull()).drop("__key", "__first", "__rank"), "ledger-answers")
+        self._append(told.where("__new").select(k.alias("key"), o.alias("first_order")))
+        out = told.where(~F.col("__hot")).select(*batch.columns, "seen")
+        if hot:
+            known = F.broadcast(told.where("__hot").select(k.alias("__key"), o.alias("__first"), F.col("seen").alias("__old")))
+            answered = keyed.where(is_hot).join(known, k == F.col("__key")).withColumn("seen", F.col("__old") | (o > F.col("__first")))
+            out = out.unionByName(answered.select(*batch.columns, "seen"))
+        return out.unionByName(batch.where(k.isNull() | o.isNull()).withColumn("seen", F.lit(False)))
+
+    def _append(self, new: DataFrame) -> None:
+        if new.isEmpty():
+            return
+        put = new.repartition(self.buckets, "key").dropDuplicates(["key"]).write.bucketBy(self.buckets, "key").sortBy("key").mode("append").format("parquet")
+        put.option("path", self._place(self.meta["generation"])).saveAsTable(self.name)
+        self._save(appends=self.meta["appends"] + 1)
+        if self.meta["appends"] >= FILES_PER_BUCKET:
+            self.compact()
+
+    def compact(self) -> None:
+        """One file per bucket again, as a new generation; the old one is removed once the new one is named in the ledger's file."""
+        old = self.meta["generation"]
+        name = f"{self.name}_new"
+        whole = self.keys().groupBy("key").agg(F.min("first_order").alias("first_order"))  # asks for the buckets' partitioning
+        whole.write.bucketBy(self.buckets, "key").sortBy("key").mode("overwrite").format("parquet").option("path", self._place(old + 1)).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        self._save(generation=old + 1, appends=1)
+        self._attach()
+        delete_path(self.spark, self._place(old))
+
+
+def batch_bounds(df: DataFrame, order: str, n_batches: int) -> list:
+    """Upper bounds (inclusive) cutting the arrival order into batches of about equal numbers of rows; the last is open.
+
+    Orders that are no numbers or times make one batch.
+    """
+    kind = df.schema[order].dataType
+    if n_batches < 2 or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
         return []
     at = [i / n_batches for i in range(1, n_batches)]
     got = df.agg(F.percentile_approx(order, at, 1000).alias("q")).first()["q"]
     return sorted(set(got or []))
 
 
-def seen_before(feed: DataFrame, key: str, order: str, n_batches: int = 4, buckets: int | None = None) -> DataFrame:
+def seen_before(feed: DataFrame, key: str, order: str, n_batches: int = 4, buckets: int | None = None, path: str | None = None) -> DataFrame:
     """``feed`` with ``seen``: whether the row's key arrived in an earlier row, batch by batch through a :class:`KeyLedger`.
 
-    Rows with a null key are not seen. Rows with a null order arrived at no known time: they are not seen, and no other row is
-    seen because of them. Other columns pass through; ``feed`` must not have columns ``seen`` or ``__first``.
+    With ``path`` the ledger kept there is read and carried on: keys of earlier calls count as seen. The feed is read twice,
+    for the bounds of the batches and to lay it down batch by batch. Rows with a null key are not seen. Rows with a null
+    order arrived at no known time: they are not seen, and no other row is seen because of them. Other columns pass through;
+    ``feed`` must not have a column ``seen`` or one of the names that :meth:`KeyLedger.absorb` takes.
     """
-    spark = feed.sparkSession
-    ledger = KeyLedger(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ledger = KeyLedger(feed.sparkSession, path, buckets)
     bounds = batch_bounds(feed, order, n_batches)
-    done = feed.where(F.col(order).isNull()).withColumn("seen", F.lit(False))
-    feed = feed.where(F.col(order).isNotNull())
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        batch = feed
-        if low is not None:
-            batch = batch.where(F.col(order) > low)
-        if high is not None:
-            batch = batch.where(F.col(order) <= high)
-        new = ledger.absorb(batch, key, order)
-        got = ledger.answers(batch.where(F.col(key).isNotNull()), order, new)
-        unkeyed = batch.where(F.col(key).isNull()).withColumn("seen", F.lit(False))
-        done = done.unionByName(got.unionByName(unkeyed))
-    return done
+    number = sum(((F.col(order) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    landed = written(feed.withColumn("__batch", F.coalesce(number, F.lit(0))), "ledger-feed", ["__batch"]) if bounds else feed
+    out = None
+    for n in range(len(bounds) + 1):
+        batch = landed.where(F.col("__batch") == n).drop("__batch") if bounds else feed
+        got = ledger.absorb(batch, key, order)
+        out = got if out is None else out.unionByName(got)
+    return out
