@@ -6,7 +6,7 @@ import atexit
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,25 +80,24 @@ class KeyLedger:
         elif any(self.meta[k] != t for k, t in types.items()):
             raise TypeError(f"the ledger holds {self.meta['key']} by {self.meta['order']}, the batch {types['key']} by {types['order']}")
 
-    def _hot(self, keyed: DataFrame, key: str) -> list[int]:
-        """Hashes of keys that may hold more than one in ``HOT_KEYS`` of the rows; a bounded sketch, one row to the driver."""
-        got = keyed.select(F.xxhash64(key).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_KEYS}, 10000)").alias("top")).first()
-        return [t["item"] for t in got["top"] or [] if t["count"] * HOT_KEYS > got["n"] and t["count"] > 1000]
-
     def absorb(self, batch: DataFrame, key: str, order: str) -> DataFrame:
         """Takes in one batch, later than all before; returns its rows with ``seen``. Rows without key or order are not seen."""
-        self._start(batch, key, order)
-        clash = {"seen", "__new", "__hot", "__key", "__first", "__rank"} & set(batch.columns)
+        keyed = batch.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+        out = self._absorb(keyed, key, order, hot_keys(keyed.agg(*sketch(key)).first()))
+        return out.unionByName(batch.where(F.col(key).isNull() | F.col(order).isNull()).withColumn("seen", F.lit(False)))
+
+    def _absorb(self, keyed: DataFrame, key: str, order: str, hot: list[int]) -> DataFrame:
+        """:meth:`absorb` for rows that have key and order."""
+        self._start(keyed, key, order)
+        clash = {"seen", "__new", "__hot", "__key", "__first", "__old", "__rank"} & set(keyed.columns)
         if clash:
             raise ValueError(f"columns {sorted(clash)} are taken")
         k, o = F.col(key), F.col(order)
-        keyed = batch.where(k.isNotNull() & o.isNotNull())
-        hot = self._hot(keyed, key)
         is_hot = F.xxhash64(key).isin(hot) if hot else F.lit(False)
         rows = keyed.where(~is_hot).withColumn("__hot", F.lit(False)) if hot else keyed.withColumn("__hot", F.lit(False))
         if hot:
             firsts = keyed.where(is_hot).groupBy(k.alias(key)).agg(F.min(o).alias(order))
-            rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema if f.name not in (key, order)]
+            rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in keyed.schema if f.name not in (key, order)]
             rows = rows.unionByName(firsts.select(key, order, *rest, F.lit(True).alias("__hot")))
         ranked = rows.repartition(self.buckets, key).withColumn("__rank", F.rank().over(Window.partitionBy(key).orderBy(order)))
         old = self.keys().select(F.col("key").alias("__key"), F.col("first_order").alias("__first")).hint("merge")
@@ -106,12 +105,12 @@ class KeyLedger:
         earlier = F.coalesce(F.col("__first") < o, F.lit(False))
         told = written(joined.withColumn("seen", (F.col("__rank") > 1) | earlier).withColumn("__new", (F.col("__rank") == 1) & F.col("__first").isNull()).drop("__key", "__first", "__rank"), "ledger-answers")
         self._append(told.where("__new").select(k.alias("key"), o.alias("first_order")))
-        out = told.where(~F.col("__hot")).select(*batch.columns, "seen")
+        out = told.where(~F.col("__hot")).select(*keyed.columns, "seen")
         if hot:
             known = F.broadcast(told.where("__hot").select(k.alias("__key"), o.alias("__first"), F.col("seen").alias("__old")))
             answered = keyed.where(is_hot).join(known, k == F.col("__key")).withColumn("seen", F.col("__old") | (o > F.col("__first")))
-            out = out.unionByName(answered.select(*batch.columns, "seen"))
-        return out.unionByName(batch.where(k.isNull() | o.isNull()).withColumn("seen", F.lit(False)))
+            out = out.unionByName(answered.select(*keyed.columns, "seen"))
+        return out
 
     def _append(self, new: DataFrame) -> None:
         if new.isEmpty():
@@ -134,34 +133,33 @@ class KeyLedger:
         delete_path(self.spark, self._place(old))
 
 
-def batch_bounds(df: DataFrame, order: str, n_batches: int) -> list:
-    """Upper bounds (inclusive) cutting the arrival order into batches of about equal numbers of rows; the last is open.
+def sketch(key: str) -> list[Column]:
+    """Aggregates from which :func:`hot_keys` reads: rows with a key, and a bounded sketch of its most frequent hashes."""
+    h = F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    return [F.count(h).alias("n"), F.call_function("approx_top_k", h, F.lit(HOT_KEYS), F.lit(10_000)).alias("top")]
 
-    Orders that are no numbers or times make one batch.
-    """
-    kind = df.schema[order].dataType
-    if n_batches < 2 or not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
-        return []
-    at = [i / n_batches for i in range(1, n_batches)]
-    got = df.agg(F.percentile_approx(order, at, 1000).alias("q")).first()["q"]
-    return sorted(set(got or []))
+
+def hot_keys(sketched: Row) -> list[int]:
+    """Hashes of keys that may hold more than one in ``HOT_KEYS`` of the rows. A miss or a false one only moves load."""
+    return [t["item"] for t in sketched["top"] or [] if t["item"] is not None and t["count"] * HOT_KEYS > sketched["n"] and t["count"] > 1000]
 
 
 def seen_before(feed: DataFrame, key: str, order: str, n_batches: int = 4, buckets: int | None = None, path: str | None = None) -> DataFrame:
     """``feed`` with ``seen``: whether the row's key arrived in an earlier row, batch by batch through a :class:`KeyLedger`.
 
-    With ``path`` the ledger kept there is read and carried on: keys of earlier calls count as seen. The feed is read twice,
-    for the bounds of the batches and to lay it down batch by batch. Rows with a null key are not seen. Rows with a null
+    With ``path`` the ledger kept there is read and carried on: keys of earlier calls count as seen. The feed is read twice:
+    once for the bounds of the batches (about equal numbers of rows; orders that are no numbers or times make one batch) and
+    the sketch of hot keys, once to lay it down batch by batch. Rows with a null key are not seen. Rows with a null
     order arrived at no known time: they are not seen, and no other row is seen because of them. Other columns pass through;
     ``feed`` must not have a column ``seen`` or one of the names that :meth:`KeyLedger.absorb` takes.
     """
     ledger = KeyLedger(feed.sparkSession, path, buckets)
-    bounds = batch_bounds(feed, order, n_batches)
+    at = [i / n_batches for i in range(1, n_batches)] if isinstance(feed.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType)) else []
+    told = feed.agg(*sketch(key), *([F.percentile_approx(order, at, 1000).alias("q")] if at else [])).first()
+    hot, bounds = hot_keys(told), sorted(set((told["q"] or []) if at else []))
     number = sum(((F.col(order) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
-    landed = written(feed.withColumn("__batch", F.coalesce(number, F.lit(0))), "ledger-feed", ["__batch"]) if bounds else feed
-    out = None
+    landed = written(feed.withColumn("__batch", F.when(F.col(key).isNull() | F.col(order).isNull(), -1).otherwise(number)), "ledger-feed", ["__batch"])
+    out = landed.where(F.col("__batch") == -1).drop("__batch").withColumn("seen", F.lit(False))
     for n in range(len(bounds) + 1):
-        batch = landed.where(F.col("__batch") == n).drop("__batch") if bounds else feed
-        got = ledger.absorb(batch, key, order)
-        out = got if out is None else out.unionByName(got)
+        out = out.unionByName(ledger._absorb(landed.where(F.col("__batch") == n).drop("__batch"), key, order, hot))
     return out

@@ -56,7 +56,6 @@ def test_compaction_keeps_every_key(spark, tmp_path):
 
 def test_a_key_with_a_third_of_all_rows(spark):
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("o"))
-    one = ledger.KeyLedger(spark, buckets=4)
-    assert one._hot(rows, "k")
+    assert ledger.hot_keys(rows.agg(*ledger.sketch("k")).first())
     got = ledger.seen_before(rows, "k", "o", 3, 4)
     assert got.where("seen").count() == 9_999 and got.where("seen and k <> -1").count() == 0 and got.count() == 30_000
