@@ -47,66 +47,75 @@ def bits_to_double(b: Column) -> Column:
 def radix_select(df: DataFrame, groups: list[str], value: str, pcts: list[int]) -> DataFrame:
     """``groups``, ``pct`` and ``value``: exact percentiles per group, interpolated linearly between the two nearest ranks.
 
-    Values become order-preserving integers; digit by digit (``DIGITS`` bits) a histogram per group tells the digit in which
-    each wanted rank lies, and only rows below that digit go on to the next. Every histogram is a count per (group, digit),
-    combined map-side: a group with a third of all rows costs one state per task and digit. Hashes of the wanted
-    prefixes (at most two per group and percentile) are broadcast when counted small, else joined by a salted shuffle. Null and NaN values are
-    ignored; a group without values gives no row. ``df`` must not have columns named ``pct``, ``bits`` or ``rank``.
+    Values become order-preserving integers; digit by digit (``DIGITS`` bits) a histogram per group, with the least and the
+    greatest value of every digit, tells the digit in which each wanted rank lies. A digit that holds one value only settles
+    its ranks at once (so do integers, mostly after one or two digits). Rows below the other digits are written and are all that
+    the next digit reads. Every histogram is a count per (group, digit), combined map-side: a group with a third of all rows
+    costs one state per task and digit. Hashes of the wanted prefixes (at most two per group and percentile) are broadcast when
+    counted small, else joined by a salted shuffle. Null and NaN values are ignored; a group without values gives no row.
+    ``df`` must not have columns named ``pct``, ``bits``, ``rank``, ``prefix`` or ``digit``.
     """
     data = written(df.select(*groups, ordered_bits(F.col(value)).alias("bits")).where(F.col("bits").isNotNull()), "radix-values")
-    shift = 64
-    wanted = None
+    settled: list[DataFrame] = []
+    wanted, shift = None, 64
     for width in DIGITS:
         shift -= width
         if wanted is None:
-            prefix = F.shiftright("bits", shift)
-            rows = data.select(*groups, prefix.alias("digit"))
-            hist = rows.groupBy(*groups, "digit").agg(F.count(F.lit(1)).alias("n"))
-            total = hist.groupBy(*groups).agg(F.sum("n").alias("n_all"))
-            place = [F.struct(F.lit(p).alias("pct"), (F.lit(p) * (F.col("n_all") - 1) / F.lit(100.0)).alias("at")) for p in pcts]
-            wanted = total.withColumn("q", F.explode(F.array(*place)))
-            ranks = F.array_distinct(F.array(F.floor("q.at").cast("bigint"), F.ceil("q.at").cast("bigint")))
-            wanted = wanted.select(*groups, F.col("q.pct").alias("pct"), F.col("q.at").alias("at"), F.explode(ranks).alias("rank"), F.lit(None).cast("bigint").alias("prefix"))
-            wanted = wanted.withColumn("rest", F.col("rank"))
-            keys = groups
-            hist = hist.withColumn("prefix", F.lit(None).cast("bigint"))
+            hist = _histogram(data, groups, F.shiftright("bits", shift))
+            wanted, keys = _wanted_ranks(hist, groups, pcts), groups
         else:
             above = F.shiftright("bits", shift + width)
-            mask = (1 << width) - 1
-            rows = data.select(*groups, above.alias("prefix"), F.shiftright("bits", shift).bitwiseAND(F.lit(mask)).alias("digit"))
-            hist = _filtered_histogram(rows, wanted, groups)
+            data = written(_rows_below(data.withColumn("prefix", above), wanted, [*groups, "prefix"]).drop("prefix"), f"radix-rows-{shift}")
             keys = [*groups, "prefix"]
+            hist = _histogram(data.withColumn("prefix", above), keys, F.shiftright("bits", shift).bitwiseAND(F.lit((1 << width) - 1)))
         w = Window.partitionBy(*keys).orderBy("digit")
         hist = hist.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
-        h = hist.select(*[F.col(k).alias(f"h_{k}") for k in keys], "digit", "before", "upto")
+        h = hist.select(*[F.col(k).alias(f"h_{k}") for k in keys], "digit", "before", "upto", "least", "greatest")
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys]) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("upto"))
-        joined = wanted.join(h, on)
         new = F.col("digit") if shift + width == 64 else F.shiftleft("prefix", width).bitwiseOR(F.col("digit"))
-        wanted = joined.select(*groups, "pct", "at", "rank", new.alias("prefix"), (F.col("rest") - F.col("before")).alias("rest"))
-        wanted = written(wanted, f"radix-{shift}")
-    v = bits_to_double(F.col("prefix"))
+        found = wanted.join(h, on).select(*groups, "pct", "at", "rank", new.alias("prefix"), (F.col("rest") - F.col("before")).alias("rest"), "least", "greatest")
+        found = written(found, f"radix-{shift}")
+        settled.append(found.where(F.col("least") == F.col("greatest")))
+        wanted = found.where(F.col("least") < F.col("greatest")).drop("least", "greatest")
+        if wanted.isEmpty():
+            break
+    done = reduce(DataFrame.unionByName, settled)
+    v = bits_to_double(F.col("least"))
     low = F.min_by(v, F.col("rank"))
     high = F.max_by(v, F.col("rank"))
     part = F.max("at") - F.min("rank")
-    out = wanted.groupBy(*groups, "pct").agg(low.alias("lo"), high.alias("hi"), part.alias("part"))
+    out = done.groupBy(*groups, "pct").agg(low.alias("lo"), high.alias("hi"), part.alias("part"))
     return out.select(*groups, "pct", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
-def _filtered_histogram(rows: DataFrame, alive: DataFrame, groups: list[str]) -> DataFrame:
-    """Counts per (group, prefix, digit) of the rows whose prefix is wanted.
+def _histogram(rows: DataFrame, keys: list[str], digit: Column) -> DataFrame:
+    """Count, least and greatest value per key and digit."""
+    return rows.groupBy(*keys, digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("least"), F.max("bits").alias("greatest"))
 
-    Only 64-bit hashes of the wanted (group, prefix) pairs are sent to the rows: eight bytes each, whatever the groups'
-    texts. A row let through by a collision does no harm, as its histogram meets no wanted rank.
+
+def _wanted_ranks(hist: DataFrame, groups: list[str], pcts: list[int]) -> DataFrame:
+    """Per group and percentile its place ``at`` and the one or two ranks beside it; ``rest`` counts down within the prefix."""
+    total = hist.groupBy(*groups).agg(F.sum("n").alias("n_all"))
+    place = [F.struct(F.lit(p).alias("pct"), (F.lit(p) * (F.col("n_all") - 1) / F.lit(100.0)).alias("at")) for p in pcts]
+    ranks = F.array_distinct(F.array(F.floor("q.at").cast("bigint"), F.ceil("q.at").cast("bigint")))
+    flat = total.withColumn("q", F.explode(F.array(*place)))
+    return flat.select(*groups, F.col("q.pct").alias("pct"), F.col("q.at").alias("at"), F.explode(ranks).alias("rank")).withColumn("rest", F.col("rank"))
+
+
+def _rows_below(rows: DataFrame, alive: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose (group, prefix) is wanted.
+
+    Only 64-bit hashes of the wanted pairs are sent to the rows: eight bytes each, whatever the groups' texts. A row let
+    through by a collision does no harm, as its histogram meets no wanted rank.
     """
-    names = [*groups, "prefix"]
     wanted = written(alive.select(F.xxhash64(*names).alias("alive")).distinct(), "alive")
     side = maybe_broadcast(wanted, wanted.count())
-    rows = rows.withColumn("hash", F.xxhash64(*names))
+    hashed = rows.withColumn("hash", F.xxhash64(*names))
     if side is wanted:  # too many: salt the rows and repeat the hashes
         salts = 16
-        rows = rows.withColumn("hash", F.xxhash64("hash", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
+        hashed = hashed.withColumn("hash", F.xxhash64("hash", F.pmod(F.monotonically_increasing_id(), F.lit(salts))))
         side = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).select(F.xxhash64("alive", "salt").alias("alive"))
-    return rows.join(side, F.col("hash") == F.col("alive"), "left_semi").groupBy(*names, "digit").agg(F.count(F.lit(1)).alias("n"))
+    return hashed.join(side, F.col("hash") == F.col("alive"), "left_semi").drop("hash")
 
 
 def sketch(df: DataFrame, groups: list[str], value: str) -> DataFrame:
