@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import written
+from termloom.session import maybe_broadcast, written
 
-#: Most pairs and item names a task holds before it hands on its stripes, and the number of segments a stripe is cut into.
+#: Most pairs and items a task holds before it hands on its stripes, and the number of segments a stripe is cut into.
 HELD_PAIRS, HELD_NAMES, SEGMENTS = 2_000_000, 500_000, 64
 
 
-def segment_of(word: str) -> int:
-    """A segment number from the text alone, the same in every process."""
-    return zlib.crc32(word.encode()) % SEGMENTS
+def vocabulary(records: DataFrame, items: str) -> tuple[DataFrame, int, int]:
+    """(``code, term`` of every distinct item, their number, the seed of the codes).
+
+    A code is the 64-bit hash of seed and item: it needs no dictionary where records are read. The first seed is taken under
+    which no two items share a code, so codes are exact.
+    """
+    terms = written(records.select(F.explode(items).alias("term")).where(F.col("term").isNotNull()).distinct(), "items")
+    n, seed = terms.count(), 0
+    while terms.agg(F.count_distinct(code_of(F.col("term"), seed))).first()[0] < n:
+        seed += 1
+    return terms.select(code_of(F.col("term"), seed).alias("code"), "term"), n, seed
+
+
+def code_of(item: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), item)
 
 
-def stripes(records: DataFrame, items: str) -> DataFrame:
+def stripes(records: DataFrame, items: str, seed: int = 0) -> DataFrame:
     """Partial stripes ``(item, segment, neighbours, counts)`` of lists of distinct items, combined within each task.
 
-    The stripe of an item holds the items after it in code-point order and itself; the count with itself is the number of
-    records. A task adds up its pairs as integers (numpy) and emits an associative array per item and neighbour segment
-    whenever it holds ``HELD_PAIRS`` of them, so memory is bounded and no pair of a single record is ever shuffled.
+    Items are their codes. The stripe of an item holds the items of greater code and itself; the count with itself is the
+    number of records. A task adds up its pairs as integers (numpy) and emits an associative array per item and neighbour
+    segment whenever it holds ``HELD_PAIRS`` of them, so memory is bounded and no pair of a single record is ever shuffled.
     """
 
     def pairs_of(codes: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,8 +59,7 @@ def stripes(records: DataFrame, items: str) -> DataFrame:
                         yield np.full(k - x, m[x]), m[x:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        segments: list[int] = []
+        names: dict[int, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held = 0
 
@@ -65,31 +76,25 @@ def stripes(records: DataFrame, items: str) -> DataFrame:
             fold()
             key, total = held[0]
             held, n_held = [], 0
-            words = pa.array(list(names), pa.string())
-            a, b = key >> 32, key & 0xFFFFFFFF
-            segment = np.array(segments, dtype=np.int32)[b]
+            codes = np.fromiter(names, np.int64, len(names))
+            a, b = codes[key >> 32], codes[key & 0xFFFFFFFF]
+            segment = (b & (SEGMENTS - 1)).astype(np.int32)
             order = np.lexsort((b, segment, a))
             a, b, segment, total = a[order], b[order], segment[order], total[order]
             begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (segment[1:] != segment[:-1])]))
             off = pa.array(np.concatenate([begins, [len(a)]]).astype(np.int32))
-            cols = [words.take(pa.array(a[begins])), pa.array(segment[begins]), pa.ListArray.from_arrays(off, words.take(pa.array(b))), pa.ListArray.from_arrays(off, pa.array(total))]
+            cols = [pa.array(a[begins]), pa.array(segment[begins]), pa.ListArray.from_arrays(off, pa.array(b)), pa.ListArray.from_arrays(off, pa.array(total))]
             made = pa.RecordBatch.from_arrays(cols, names=["item", "segment", "neighbours", "counts"])
             for s in range(0, made.num_rows, 4096):
                 yield made.slice(s, 4096)
 
-        def code(word: str) -> int:
-            if word not in names:
-                names[word] = len(names)
-                segments.append(segment_of(word))
-            return names[word]
-
         for batch in batches:
             lists = batch.column(0).drop_null()
             if not len(lists):
                 continue
             off = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
             enc = lists.flatten().dictionary_encode()
-            local = np.array([code(w) for w in enc.dictionary.to_pylist()], dtype=np.int64)
+            local = np.array([names.setdefault(w, len(names)) for w in enc.dictionary.to_pylist()], dtype=np.int64)
             codes = local[enc.indices.to_numpy(zero_copy_only=False)] if len(enc) else np.empty(0, np.int64)
             for a, b in pairs_of(codes, off):
                 key, count = np.unique((a << 32) | b, return_counts=True)
@@ -102,10 +107,10 @@ def stripes(records: DataFrame, items: str) -> DataFrame:
             if len(names) > HELD_NAMES:
                 yield from emit()
                 names.clear()
-                segments.clear()
         yield from emit()
 
-    return records.select(items).mapInArrow(run, "item string, segment int, neighbours array<string>, counts array<bigint>")
+    coded = records.select(F.array_sort(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: code_of(x, seed))).alias("codes"))
+    return coded.mapInArrow(run, "item bigint, segment int, neighbours array<bigint>, counts array<bigint>")
 
 
 def llr(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
@@ -122,32 +127,70 @@ def llr(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
 
 
 def merged_stripes(partial: DataFrame) -> DataFrame:
-    """``(term_a, term_b, n_ab)`` from partial stripes.
+    """Whole stripes: the partial arrays of each item and neighbour segment added up into one, ``(item, segment, neighbours, counts)``.
 
-    Stripes travel as whole arrays, keyed by item and neighbour segment, so the stripe of a frequent item is spread over
-    ``SEGMENTS`` tasks; arrays are added up by key in a hash aggregate on the receiving side, without another shuffle.
+    Arrays travel whole, keyed by item and segment, so the stripe of a frequent item is spread over ``SEGMENTS`` tasks. Each
+    task gets its stripes sorted by key and merges the arrays of a key at a time (numpy), ``HELD_PAIRS`` entries at once.
     """
-    placed = partial.repartition("item", "segment")
-    flat = placed.select("item", "segment", F.inline(F.arrays_zip("neighbours", "counts")))
-    return flat.groupBy("item", "segment", "neighbours").agg(F.sum("counts").alias("n_ab")).select(F.col("item").alias("term_a"), F.col("neighbours").alias("term_b"), "n_ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        kept = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def made(items: np.ndarray, segments: np.ndarray, off: np.ndarray, near: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            off = pa.array(off.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(items), pa.array(segments), pa.ListArray.from_arrays(off, pa.array(near)), pa.ListArray.from_arrays(off, pa.array(n))], names=["item", "segment", "neighbours", "counts"])
+
+        for whole in batches:
+            sizes = np.diff(whole.column(2).offsets.to_numpy())
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // HELD_PAIRS)) + 1
+            for s, e in zip([0, *cuts], [*cuts, whole.num_rows], strict=True):
+                batch = whole.slice(s, e - s)
+                if not batch.num_rows:
+                    continue
+                item, segment = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                near, n, size = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy(), sizes[s:e]
+                new = np.concatenate([[(item[0], segment[0]) != last], (item[1:] != item[:-1]) | (segment[1:] != segment[:-1])])
+                if last is not None and new[0]:
+                    yield made(np.array([last[0]]), np.array([last[1]], np.int32), np.array([0, len(kept[0])]), *kept)
+                elif last is not None:
+                    near, n = np.concatenate([kept[0], near]), np.concatenate([kept[1], n])
+                group = np.repeat(np.cumsum(new), size)
+                group = np.concatenate([np.zeros(len(near) - len(group), np.int64) + (0 if not new[0] else 1), group])
+                order = np.lexsort((near, group))
+                near, group, n = near[order], group[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], (near[1:] != near[:-1]) | (group[1:] != group[:-1])]))
+                near, group, n = near[first], group[first], np.add.reduceat(n, first)
+                begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                keys = np.flatnonzero(new) if new[0] else np.concatenate([[0], np.flatnonzero(new)])
+                if len(begins) > 1:
+                    stop = begins[-1]
+                    yield made(item[keys[:-1]], segment[keys[:-1]], begins, near[:stop], n[:stop])
+                last, kept = (item[-1], segment[-1]), (near[begins[-1] :], n[begins[-1] :])
+        if last is not None:
+            yield made(np.array([last[0]]), np.array([last[1]], np.int32), np.array([0, len(kept[0])]), *kept)
+
+    placed = partial.repartition("item", "segment").sortWithinPartitions("item", "segment")
+    return placed.mapInArrow(run, partial.schema)
 
 
 def pair_statistics(records: DataFrame, items: str, min_pairs: int = 1, min_share: int | None = None) -> DataFrame:
     """``(term_a, term_b, n_ab, n_a, n_b, n, lift, llr)`` of every pair a < b of items sharing ``min_pairs`` records or more.
 
-    ``records`` holds one row per record with ``items``, a sorted list of distinct items; null and empty lists count as
+    ``records`` holds one row per record with ``items``, a list of distinct items; null and empty lists count as
     records without items and form no pair. ``min_share`` keeps pairs in at least one of so many records. ``lift`` is the
     observed count against that under independence.
     """
-    counted = written(merged_stripes(stripes(records, items)), "stripes")
+    terms, n_terms, seed = vocabulary(records, items)
+    whole = written(merged_stripes(stripes(records, items, seed)), "stripes")
+    counted = whole.select(F.col("item").alias("x"), F.inline(F.arrays_zip("neighbours", "counts"))).withColumnsRenamed({"neighbours": "y", "counts": "n_ab"})
     n = records.where(F.size(items) > 0).agg(F.count(F.lit(1)).alias("n"))
-    alone = counted.where(F.col("term_a") == F.col("term_b"))
-    pairs = counted.where((F.col("term_a") < F.col("term_b")) & (F.col("n_ab") >= min_pairs))
-    pairs = pairs.withColumn("n", n.scalar())
+    alone = maybe_broadcast(written(counted.where(F.col("x") == F.col("y")).join(terms, F.col("x") == F.col("code")).select("code", "term", F.col("n_ab").alias("n_own")), "singles"), n_terms)
+    pairs = counted.where((F.col("x") < F.col("y")) & (F.col("n_ab") >= min_pairs)).withColumn("n", n.scalar())
     if min_share:
         pairs = pairs.where(F.col("n_ab") * min_share >= F.col("n"))
-    for side in ("a", "b"):
-        own = alone.select(F.col("term_a").alias(f"term_{side}"), F.col("n_ab").alias(f"n_{side}"))
-        pairs = pairs.join(own, f"term_{side}")
+    pairs = reduce(lambda p, c: p.join(alone.select(F.col("code").alias(c), F.struct("term", "n_own").alias(f"own_{c}")), c), ("x", "y"), pairs)
+    a, b = F.least("own_x", "own_y"), F.greatest("own_x", "own_y")
+    pairs = pairs.select(a["term"].alias("term_a"), b["term"].alias("term_b"), "n_ab", a["n_own"].alias("n_a"), b["n_own"].alias("n_b"), "n")
     expected = F.col("n_a").cast("double") * F.col("n_b")
-    return pairs.select("term_a", "term_b", "n_ab", "n_a", "n_b", "n", (F.col("n_ab").cast("double") * F.col("n") / expected).alias("lift"), llr(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")).alias("llr"))
+    return pairs.withColumn("lift", F.col("n_ab").cast("double") * F.col("n") / expected).withColumn("llr", llr(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")))

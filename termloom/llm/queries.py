@@ -102,9 +102,9 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return got.withColumn("lift", F.round("lift", 6)).withColumn("llr", F.round("llr", 4))
 
 
-def frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    """(grp, term, occurrences, records, weight): headings of the annotation records; headings of the statistics with sums."""
-    master = annotation_records(spark, folder).select(F.lit("master_mesh_annotations").alias("grp"), F.col("headings").alias("terms"), F.lit(0.0).alias("weight"))
+def frequencies(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
+    """(grp, term, occurrences, records, weight): headings of the annotation ``records``; headings of the statistics with sums."""
+    master = records.select(F.lit("master_mesh_annotations").alias("grp"), F.col("headings").alias("terms"), F.lit(0.0).alias("weight"))
     stats = table(spark, folder, "mesh_stats_df").select("stat_id", heading_of(F.col("mesh_term")).alias("h"), "total_pmids")
     stats = once(stats.where(F.col("total_pmids") >= 0), "stat_id", ["h", "total_pmids"])
     stats = stats.select(F.lit("mesh_stats_df").alias("grp"), F.array("h").alias("terms"), F.col("total_pmids").cast("double").alias("weight"))
@@ -113,11 +113,12 @@ def frequencies(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     """Frequency of every heading with its mark: ``rare``, ``common`` or null."""
-    got = written(frequencies(spark, folder), "frequencies")
+    annotated = written(annotation_records(spark, folder), "records")
+    got = written(frequencies(spark, folder, annotated), "frequencies")
     is_master = F.col("grp") == "master_mesh_annotations"
     amount = F.when(is_master, F.col("records")).otherwise(F.col("weight").cast("bigint"))
     rows = got.select(F.col("grp").alias("source_table"), "term", "records", amount.alias("amount"))
-    n_records = annotation_records(spark, folder).agg(F.count(F.lit(1)))
+    n_records = annotated.agg(F.count(F.lit(1)))
     total = rows.where(F.col("source_table") == "mesh_stats_df").agg(F.coalesce(F.sum("amount"), F.lit(0)))
     master = F.col("source_table") == "master_mesh_annotations"
     common = F.when(master, F.col("amount") * 10 >= n_records.scalar()).otherwise(F.col("amount") * 50 >= total.scalar())
@@ -148,7 +149,7 @@ p AS (SELECT source_table, group_key, pct, CASE pct WHEN 50 THEN quantile_cont(v
 _RECORDS = f"""rec AS (SELECT pmid, list_sort(list_distinct(list_filter(list_transform({VALUES_SQL.format(x='mesh_terms')}, lambda w: {HEADING_SQL.format(x='w')}), lambda h: h IS NOT NULL))) AS hs
 FROM (SELECT * FROM master_mesh_annotations WHERE pmid IS NOT NULL QUALIFY record_no = min(record_no) OVER (PARTITION BY pmid)) WHERE {IS_VALUE_SQL.format(x='mesh_terms')}),
 r AS (SELECT pmid, hs FROM rec WHERE len(hs) > 0), h AS (SELECT pmid, unnest(hs) AS term FROM r), n AS (SELECT count(*) AS n FROM r), c AS (SELECT term, count(*) AS n FROM h GROUP BY 1)"""
-_PAIRS = f"""WITH {_RECORDS}, ab AS (SELECT a.term AS term_a, b.term AS term_b, count(*) AS n_ab FROM h a JOIN h b ON a.pmid = b.pmid AND a.term < b.term GROUP BY 1, 2 HAVING count(*) >= 5),
+_PAIRS = f"""WITH {_RECORDS}, ab AS (SELECT a.term AS term_a, b.term AS term_b, count(*) AS n_ab FROM h a JOIN h b ON a.pmid = b.pmid AND a.term < b.term GROUP BY 1, 2),
 q AS (SELECT term_a, term_b, n_ab, ca.n AS n_a, cb.n AS n_b, n.n AS n FROM ab JOIN c ca ON ca.term = term_a JOIN c cb ON cb.term = term_b, n)"""
 _XLX = "CASE WHEN {x} > 0 THEN ({x}) * ln(({x})::DOUBLE) ELSE 0 END"
 _LLR = "greatest(0, 2 * (" + " + ".join(_XLX.format(x=x) for x in ("n_ab", "n_a - n_ab", "n_b - n_ab", "n - n_a - n_b + n_ab", "n")) + " - (" + " + ".join(_XLX.format(x=x) for x in ("n_a", "n - n_a", "n_b", "n - n_b")) + ")))"
@@ -161,7 +162,7 @@ ORACLES = {
     "p1_error_rate": f"WITH {_FEED}, {_SEEN} SELECT count(*) AS n_rows, coalesce(sum(seen::BIGINT), 0)::BIGINT AS n_seen, 0::BIGINT AS n_wrong, 0::DOUBLE AS error_rate FROM seen",
     "p3_percentiles": f"WITH {_VALUES} SELECT * FROM p",
     "p3_found": f"WITH {_VALUES} SELECT source_table, group_key, pct FROM p WHERE value >= CASE pct WHEN 50 THEN 40 WHEN 90 THEN 150 ELSE 600 END",
-    "p4_found": _PAIRS + " SELECT term_a, term_b FROM q WHERE n_ab * 1000 >= n AND n_ab * n >= 4 * n_a * n_b",
+    "p4_found": _PAIRS + " SELECT term_a, term_b FROM q WHERE n_ab >= 5 AND n_ab * 1000 >= n AND n_ab * n >= 4 * n_a * n_b",
     "p4_pairs": _PAIRS + f" SELECT term_a, term_b, n_ab, n_a, n_b, n, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift, round({_LLR}, 4) AS llr FROM q",
     "p5_frequencies": _FREQ + " SELECT * FROM f",
     "p5_found": _FREQ + " SELECT source_table, term, mark FROM f WHERE mark IS NOT NULL",
