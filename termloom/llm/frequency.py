@@ -12,12 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import scratch
+from termloom.session import maybe_broadcast, scratch, written
 
-#: Rows of a partial table a task holds before it adds them up; digit width in bits; rows of a partition that one DuckDB
-#: process aggregates (beyond that the next hash digit splits it); memory of that process.
-HELD_ROWS, RADIX_BITS, PART_ROWS, DUCKDB_MEMORY = 500_000, 5, 4_000_000, "512MB"
-MAX_LEVELS = 60 // RADIX_BITS
+#: Rows of a partial table a task holds before it adds them up; least digit width in bits; rows of a partition that one DuckDB
+#: process aggregates (beyond that the next hash digit splits it), where it can spill and where it cannot; memory of that process.
+HELD_ROWS, RADIX_BITS, PART_ROWS, PART_ROWS_IN_MEMORY, DUCKDB_MEMORY = 500_000, 5, 4_000_000, 500_000, "512MB"
+#: Bits of the hash that may be used up, and partitions of the first level at most (as a power of two).
+MAX_BITS, MAX_FIRST_BITS = 60, 12
 PARTIAL = "grp string, term string, occurrences bigint, records bigint, weight double"
 
 
@@ -58,11 +59,6 @@ def partial_counts(df: DataFrame, group: str, terms: str, weight: str | None) ->
     return df.select(group, terms, *([weight] if weight else [])).mapInArrow(run, PARTIAL)
 
 
-def _digit(level: int):
-    h = F.xxhash64("grp", "term")
-    return F.shiftrightunsigned(h, level * RADIX_BITS).bitwiseAND(F.lit((1 << RADIX_BITS) - 1)).cast("int")
-
-
 def _filesystem(path: str):
     """(pyarrow file system, path in it) of a folder that all executors reach."""
     from pyarrow import fs
@@ -75,7 +71,10 @@ def _filesystem(path: str):
 
 
 def _aggregate_with_duckdb(paths: DataFrame, temp: str) -> DataFrame:
-    """Adds up each partition folder in its own DuckDB process, out of core below ``temp`` when memory runs short."""
+    """Adds up each partition folder in its own DuckDB process, out of core below ``temp`` when memory runs short.
+
+    Spilling needs a shared folder that is mounted; elsewhere partitions are split until they fit in memory.
+    """
     shared = _filesystem(temp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +91,7 @@ def _aggregate_with_duckdb(paths: DataFrame, temp: str) -> DataFrame:
                 con.execute(f"SET memory_limit='{DUCKDB_MEMORY}'")
                 con.execute("SET threads=1")
                 con.execute("SET preserve_insertion_order=false")
+                con.execute("SET temp_directory=''")  # nothing below a folder of this machine alone
                 if isinstance(shared[0], fs.LocalFileSystem):
                     os.makedirs(shared[1], exist_ok=True)
                     con.execute(f"SET temp_directory='{tempfile.mkdtemp(dir=shared[1])}'")
@@ -103,41 +103,43 @@ def _aggregate_with_duckdb(paths: DataFrame, temp: str) -> DataFrame:
     return paths.mapInArrow(run, PARTIAL)
 
 
-def term_frequencies(df: DataFrame, group: str, terms: str, weight: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+def term_frequencies(df: DataFrame, group: str, terms: str, weight: str | None = None, part_rows: int | None = None) -> DataFrame:
     """``(grp, term, occurrences, records, weight)`` for every distinct term of the lists in ``terms``, per ``group``.
 
     ``occurrences`` counts every listing, ``records`` the rows that list the term, ``weight`` adds the row's weight (null
     counts 0) once per listing. Null lists, empty lists and null terms count nothing; empty input gives no row.
 
     Rows are added up in the task that reads them, so a term in a third of all rows is one row per task from there on. The
-    partial counts are partitioned on disk by the low bits of their hash; every partition above ``part_rows`` is split again
-    by the next bits, as often as needed; each partition is then aggregated out of core by one DuckDB process.
+    partial counts are partitioned on disk by the low bits of their hash, one task per partition (at least as many as shuffle
+    partitions); all partitions above ``part_rows`` are split again by the next bits in one job, as often as needed; each
+    partition is then aggregated out of core by one DuckDB process. Sizes and paths of partitions stay in tables.
     """
+    from pyarrow import fs
+
     spark = df.sparkSession
-    part = partial_counts(df, group, terms, weight)
     root = scratch(spark, "radix")
-    done: list[str] = []
-    level, source = 0, part
+    spills = isinstance(_filesystem(f"{root}/duckdb")[0], fs.LocalFileSystem)
+    limit = part_rows or (PART_ROWS if spills else PART_ROWS_IN_MEMORY)
+    bits = min(MAX_FIRST_BITS, max(RADIX_BITS, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    low_bits = lambda n: F.xxhash64("grp", "term").bitwiseAND(F.lit((1 << n) - 1))
+    spread = partial_counts(df, group, terms, weight).withColumn("part", low_bits(bits)).repartitionById(1 << bits, F.col("part").cast("int"))
+    done = None
     while True:
-        n = 1 << RADIX_BITS
-        spread = source.withColumn("part", _digit(level)).repartition(n, "part") if level == 0 else source.withColumn("part", _digit(level)).repartition("prefix", "part")
-        keys = ["part"] if level == 0 else ["prefix", "part"]
-        at = f"{root}/level{level}"
-        spread.write.partitionBy(*keys).parquet(at)
+        at = f"{root}/bits{bits}"
+        spread.write.partitionBy("part").parquet(at)
         back = spark.read.schema(spread.schema).parquet(at)
-        sizes = back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2^RADIX_BITS per split partition
-        name = lambda r: f"part={r['part']}" if level == 0 else f"prefix={r['prefix']}/part={r['part']}"
-        large = [r for r in sizes if r["n"] > part_rows and level + 1 < MAX_LEVELS]
-        done += [f"{at}/{name(r)}" for r in sizes if r not in large]
-        if not large:
+        sizes = written(back.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "radix-sizes")
+        split = (F.col("n") > limit) if bits + RADIX_BITS <= MAX_BITS else F.lit(False)
+        small = sizes.where(~split).select(F.concat(F.lit(f"{at}/part="), F.col("part").cast("string")).alias("path"))
+        done = small if done is None else done.unionByName(small)
+        large = sizes.where(split).select("part")
+        n_large = large.count()
+        if not n_large:
             break
-        again = None
-        for r in large:
-            prefix = str(r["part"]) if level == 0 else f"{r['prefix']}-{r['part']}"
-            one = spark.read.schema(PARTIAL).parquet(f"{at}/{name(r)}").withColumn("prefix", F.lit(prefix))
-            again = one if again is None else again.unionByName(one)
-        source, level = again, level + 1
-    if not done:
+        bits += RADIX_BITS
+        again = back.join(maybe_broadcast(large, n_large), "part", "left_semi").withColumn("part", low_bits(bits))
+        spread = again.select(*[c for c in spread.columns]).repartition("part")
+    n_done = done.count()
+    if not n_done:
         return spark.createDataFrame([], PARTIAL)
-    paths = spark.createDataFrame([(p,) for p in done], "path string").repartition(len(done), "path")
-    return _aggregate_with_duckdb(paths, f"{root}/duckdb")
+    return _aggregate_with_duckdb(done.repartition(n_done), f"{root}/duckdb")
