@@ -181,14 +181,26 @@ def p8_word_table(spark: SparkSession, folder: str) -> DataFrame:
 
     As the words of a text joined give the text, no differing word means that the whole corpus comes back unchanged.
     """
-    words = written(tokens.distinct_words(table(spark, folder, "documents"), "text", tokens.vocabulary()), "p8-words")
+    split = table(spark, folder, "documents").select(tokens.words_of(F.col("text")).alias("words"))
+    words = written(tokens.distinct_words(split, "words", tokens.vocabulary()), "p8-words")
     back = tokens.decode_corpus(words.select("word", "ids"), "word", "ids").withColumnRenamed("word", "w")
     both = words.join(back, F.col("word") == F.col("w"))
     differ = F.sum((F.coalesce(F.col("text"), F.lit("")) != F.col("word")).cast("bigint"))
     return both.agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_occurrences"), F.sum(F.col("n") * F.size("ids")).alias("n_tokens"), differ.alias("n_differing"))
 
 
-QUERIES |= {f.__name__: f for f in (p8_ids, p8_word_table)}
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again: documents, those with a text, characters, and texts that come back changed."""
+    docs = table(spark, folder, "documents")
+    back = tokens.decode_corpus(p8_ids(spark, folder), "doc_id", "ids").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n_back"), F.count("text").alias("t_back"), F.sum(F.length("text")).alias("c_back"))
+    there = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    both = there.join(back, there["doc_id"].eqNullSafe(back["doc_id"]) & (there["h"] == back["h"]), "full")
+    changed = F.sum(F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("n_back", F.lit(0))))
+    return both.agg(F.coalesce(F.sum("n_back"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("t_back"), F.lit(0)).alias("n_texts"), F.coalesce(F.sum("c_back"), F.lit(0)).alias("n_chars"), F.coalesce(changed, F.lit(0)).alias("n_changed"))
+
+
+QUERIES |= {f.__name__: f for f in (p8_ids, p8_word_table, p8_decoded)}
+ORACLES["p8_decoded"] = "SELECT count(*) AS n_docs, count(text) AS n_texts, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, 0::BIGINT AS n_changed FROM documents"
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:

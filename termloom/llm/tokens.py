@@ -19,8 +19,8 @@ from termloom.session import written
 
 #: Fixed value: the byte-level split into words, with Unicode classes. Every character of a text belongs to one word.
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most words, and most characters of each, in the part of the word table that every task holds.
-HEAD_WORDS, HEAD_CHARS = 32_768, 128
+#: Most words in the part of the word table that every task holds, and its most bytes (words and ids).
+HEAD_WORDS, HEAD_BYTES = 32_768, 16 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -51,9 +51,9 @@ def words_of(text: Column) -> Column:
     return F.coalesce(_words_by_tokenizer(F.when(odd, text)), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
 
 
-def distinct_words(df: DataFrame, text: str, vocab: str) -> DataFrame:
-    """``(word, n, ids)``: each distinct word of the corpus once, how often it stands there, and its ids."""
-    counted = df.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def distinct_words(df: DataFrame, words: str, vocab: str) -> DataFrame:
+    """``(word, n, ids)``: each distinct word of the lists ``words`` once, how often it stands there, and its ids."""
+    counted = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     model = df.sparkSession.sparkContext.broadcast(vocab)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,17 +76,37 @@ def _joined(pool: pa.Array, index: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     return (inner[off] - inner[0]).astype(np.int32), taken.flatten()
 
 
+def head_of(table: DataFrame) -> DataFrame:
+    """The most frequent words that fit into ``HEAD_WORDS`` and ``HEAD_BYTES``: those above a power of two.
+
+    Only the number and size of the words of each power of two reach the driver (at most 63 rows), so tasks send nothing but
+    words of the head.
+    """
+    power = F.floor(F.log2("n")).cast("int")
+    size = F.octet_length("word") + 4 * F.size("ids") + 16
+    steps = table.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes")).orderBy(F.desc("power")).collect()
+    words = taken = 0
+    least = 64
+    for step in steps:
+        words, taken = words + step["words"], taken + step["bytes"]
+        if words > HEAD_WORDS or taken > HEAD_BYTES:
+            break
+        least = step["power"]
+    return table.where(power >= least)
+
+
 def encode_corpus(df: DataFrame, key: str, text: str, vocab: str | None = None) -> DataFrame:
     """``key, ids`` of every row: the ids of ``text``, an empty list for an empty text, null for a null text.
 
-    Words are split in Spark; each distinct word is encoded once. The most frequent words (at most ``HEAD_WORDS`` of at most
-    ``HEAD_CHARS`` characters, so of proven size) are looked up where the text is read; only the other occurrences are joined
-    with the word table and put back by position. Rows are told apart by their place, so repeated keys do no harm.
+    Texts are split in Spark once, and the lists of words written; each distinct word is encoded once. The most frequent words
+    (:func:`head_of`, so of proven size, whatever their length) are looked up where the lists are read; only the other occurrences
+    are joined with the word table and put back by position. Rows are told apart by their place, so repeated keys do no harm.
     """
     spark = df.sparkSession
     vocab = vocab or vocabulary()
-    table = written(distinct_words(df, text, vocab), "words")
-    head = table.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
+    split = written(df.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("words")), "split")
+    table = written(distinct_words(split, "words", vocab), "words")
+    head = head_of(table).collect()
     shared = spark.sparkContext.broadcast(([r["word"] for r in head], [r["ids"] for r in head]))
     key_type = df.schema[key].dataType.simpleString()
 
@@ -106,15 +126,14 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocab: str | None = None)
             others = pa.ListArray.from_arrays(pa.array(rare_off), words.filter(pa.array(rare)).cast(pa.string()))
             rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pc.if_else(valid, codes, pa.scalar(None, codes.type)), others], names=["row", key, "codes", "others"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pc.if_else(valid, codes, pa.scalar(None, codes.type)), others], names=["row", "__key", "codes", "others"])
 
-    split = df.select(F.col(key), words_of(F.col(text)).alias("words"))
-    coded = written(split.mapInArrow(look_up, f"row bigint, {key} {key_type}, codes array<int>, others array<string>"), "coded")
+    coded = written(split.mapInArrow(look_up, f"row bigint, __key {key_type}, codes array<int>, others array<string>"), "coded")
     rare = coded.select("row", F.posexplode("others").alias("pos", "word")).join(table.select("word", "ids"), "word")
     back = rare.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"]).alias("rest"))
     empty = F.array().cast("array<array<int>>")
-    whole = coded.where(F.size("others") <= 0).select(key, "codes", empty.alias("rest"))
-    mixed = coded.where(F.size("others") > 0).join(back, "row").select(key, "codes", "rest")
+    whole = coded.where(F.size("others") <= 0).select("__key", "codes", empty.alias("rest"))
+    mixed = coded.where(F.size("others") > 0).join(back, "row").select("__key", "codes", "rest")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.array(shared.value[1], pa.list_(pa.int32()))
@@ -135,23 +154,44 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocab: str | None = None)
     return whole.unionByName(mixed).mapInArrow(assemble, f"{key} {key_type}, ids array<int>")
 
 
-def pieces(spark, vocab: str | None = None) -> DataFrame:
-    """``(id, piece)``: the bytes of every id of the vocabulary, in hexadecimal."""
+def pieces(vocab: str | None = None) -> list[bytes]:
+    """The bytes of every id of the vocabulary, by id; ids that are not given out have none."""
     model = json.loads(vocab or vocabulary())
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-    rows = [(i, bytes(byte_of[c] for c in p).hex()) for p, i in model["model"]["vocab"].items() if p not in special]
-    return spark.createDataFrame(rows + [(i, p.encode().hex()) for p, i in special.items()], "id int, piece string")
+    by_id = {i: bytes(byte_of[c] for c in p) for p, i in model["model"]["vocab"].items() if p not in special} | {i: p.encode() for p, i in special.items()}
+    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
 
 
 def decode_corpus(df: DataFrame, key: str, ids: str, vocab: str | None = None) -> DataFrame:
-    """``key, text`` of lists of ids, through a join of every id with its piece; null for null, empty for empty lists.
+    """``key, text`` of lists of ids, every id joined with its piece; null for null, empty for empty lists.
 
-    ``key`` must be unique. An id outside the vocabulary adds nothing. The piece table has as many rows as the vocabulary.
+    The piece table (as many rows as the vocabulary) is held by every task and joined in place by position, whole Arrow arrays
+    at a time: no shuffle, and keys may repeat. An id outside the vocabulary, or null, adds nothing; bytes that are no UTF-8
+    become replacement characters.
     """
-    flat = df.select(key, F.posexplode(ids).alias("pos", "id")).join(F.broadcast(pieces(df.sparkSession, vocab)), "id")
-    parts = flat.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "").alias("hex"))
-    text = F.decode(F.unhex("hex"), "UTF-8")
-    return df.join(parts.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"), "left").select(key, F.when(F.size(ids) == 0, "").otherwise(text).alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(pieces(vocab))
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array([*shared.value, b""], pa.large_binary())
+        for batch in batches:
+            lists = batch.column(1)
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = np.where((flat < 0) | (flat >= len(table)), len(table) - 1, flat)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            off = np.concatenate([[0], np.cumsum(sizes)])
+            taken = table.take(pa.array(flat))
+            inner = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+            place = np.ascontiguousarray(inner[off] - inner[0])
+            data = taken.buffers()[2].slice(int(inner[0])) if len(taken) and taken.buffers()[2] is not None else pa.py_buffer(b"")
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(place), data])
+            try:
+                made = texts.cast(pa.string())
+            except pa.ArrowInvalid:
+                made = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pc.is_valid(lists), made, pa.scalar(None, pa.string()))], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"{key} {key_type}, text string")

@@ -37,6 +37,25 @@ def test_decoding(spark, docs):
     assert tokens.encode_corpus(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_decoding_of_any_ids(spark):
+    ids = [tokens.pieces().index(b) for b in ("é".encode()[:1], "é".encode()[1:], b"a")]
+    df = spark.createDataFrame([(1, [ids[0], ids[1], ids[2]]), (1, [ids[0]]), (2, []), (None, None), (3, [10**6, -5, None, ids[2]])], "k long, ids array<int>")
+    assert sorted(((r.k, r.text) for r in tokens.decode_corpus(df, "k", "ids").collect()), key=repr) == sorted([(1, "éa"), (1, "\ufffd"), (2, ""), (None, None), (3, "a")], key=repr)
+
+
+def test_head_is_bounded_and_takes_long_frequent_words(spark, monkeypatch):
+    rule = "-" * 5000
+    df = spark.createDataFrame([(i, f"{rule} w{i}") for i in range(64)], "row long, text string")
+    got = {r.row: r.ids for r in tokens.encode_corpus(df, "row", "text").collect()}
+    assert got == dict(enumerate(whole([f"{rule} w{i}" for i in range(64)])))
+    table = tokens.distinct_words(df.select(tokens.words_of(F.col("text")).alias("w")), "w", tokens.vocabulary()).cache()
+    assert {r.word for r in tokens.head_of(table).collect()} >= {rule, " w"}
+    monkeypatch.setattr(tokens, "HEAD_WORDS", 5)
+    assert {r.word for r in tokens.head_of(table).collect()} == {rule, " w"}
+    monkeypatch.setattr(tokens, "HEAD_BYTES", 100)
+    assert tokens.head_of(table).count() == 0
+
+
 def brute_leaks(text, items, n):
     words = leakage.WORD.findall(leakage.normalised(text))
     mine = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
