@@ -12,28 +12,33 @@ from pyspark.sql import functions as F
 
 from termloom.session import maybe_broadcast, written
 
-#: Most pairs and items a task holds before it hands on its stripes, and the number of segments a stripe is cut into.
-HELD_PAIRS, HELD_NAMES, SEGMENTS = 2_000_000, 500_000, 64
+#: Most pairs and items a task holds before it hands on its stripes; most segments a stripe is cut into, and the share of all
+#: listings (one in so many) from which it is cut at all.
+HELD_PAIRS, HELD_NAMES, SEGMENTS, FREQUENT = 2_000_000, 500_000, 64, 1000
 
 
-def vocabulary(records: DataFrame, items: str) -> tuple[DataFrame, int, int]:
-    """(``code, term`` of every distinct item, their number, the seed of the codes).
+def vocabulary(records: DataFrame, items: str) -> tuple[DataFrame, int, int, dict[int, int]]:
+    """(``code, term`` of every distinct item, their number, the seed of the codes, the segments of frequent items by code).
 
     A code is the 64-bit hash of seed and item: it needs no dictionary where records are read. The first seed is taken under
-    which no two items share a code, so codes are exact.
+    which no two items share a code, so codes are exact. An item with more than one in ``FREQUENT`` of all listings (there are
+    fewer than ``FREQUENT`` of these) has its stripe cut into up to ``SEGMENTS`` parts, in proportion.
     """
-    terms = written(records.select(F.explode(items).alias("term")).where(F.col("term").isNotNull()).distinct(), "items")
-    n, seed = terms.count(), 0
+    terms = written(records.select(F.explode(items).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "items")
+    n, total = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    seed = 0
     while terms.agg(F.count_distinct(code_of(F.col("term"), seed))).first()[0] < n:
         seed += 1
-    return terms.select(code_of(F.col("term"), seed).alias("code"), "term"), n, seed
+    coded = terms.select(code_of(F.col("term"), seed).alias("code"), "term", "n")
+    frequent = {r["code"]: min(SEGMENTS, 2 ** int(r["n"] * FREQUENT / total).bit_length()) for r in coded.where(F.col("n") * FREQUENT > total).collect()}
+    return coded.select("code", "term"), n, seed, frequent
 
 
 def code_of(item: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), item)
 
 
-def stripes(records: DataFrame, items: str, seed: int = 0) -> DataFrame:
+def stripes(records: DataFrame, items: str, seed: int, frequent: dict[int, int]) -> DataFrame:
     """Partial stripes ``(item, segment, neighbours, counts)`` of lists of distinct items, combined within each task.
 
     Items are their codes. The stripe of an item holds the items of greater code and itself; the count with itself is the
@@ -78,7 +83,8 @@ def stripes(records: DataFrame, items: str, seed: int = 0) -> DataFrame:
             held, n_held = [], 0
             codes = np.fromiter(names, np.int64, len(names))
             a, b = codes[key >> 32], codes[key & 0xFFFFFFFF]
-            segment = (b & (SEGMENTS - 1)).astype(np.int32)
+            parts = np.fromiter((frequent.get(c, 1) for c in names), np.int64, len(names))[key >> 32]
+            segment = (b & (parts - 1)).astype(np.int32)
             order = np.lexsort((b, segment, a))
             a, b, segment, total = a[order], b[order], segment[order], total[order]
             begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (segment[1:] != segment[:-1])]))
@@ -129,7 +135,7 @@ def llr(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
 def merged_stripes(partial: DataFrame) -> DataFrame:
     """Whole stripes: the partial arrays of each item and neighbour segment added up into one, ``(item, segment, neighbours, counts)``.
 
-    Arrays travel whole, keyed by item and segment, so the stripe of a frequent item is spread over ``SEGMENTS`` tasks. Each
+    Arrays travel whole, keyed by item and segment, so the stripe of a frequent item is spread over several tasks. Each
     task gets its stripes sorted by key and merges the arrays of a key at a time (numpy), ``HELD_PAIRS`` entries at once.
     """
 
@@ -181,8 +187,8 @@ def pair_statistics(records: DataFrame, items: str, min_pairs: int = 1, min_shar
     records without items and form no pair. ``min_share`` keeps pairs in at least one of so many records. ``lift`` is the
     observed count against that under independence.
     """
-    terms, n_terms, seed = vocabulary(records, items)
-    whole = written(merged_stripes(stripes(records, items, seed)), "stripes")
+    terms, n_terms, seed, frequent = vocabulary(records, items)
+    whole = written(merged_stripes(stripes(records, items, seed, frequent)), "stripes")
     counted = whole.select(F.col("item").alias("x"), F.inline(F.arrays_zip("neighbours", "counts"))).withColumnsRenamed({"neighbours": "y", "counts": "n_ab"})
     n = records.where(F.size(items) > 0).agg(F.count(F.lit(1)).alias("n"))
     alone = maybe_broadcast(written(counted.where(F.col("x") == F.col("y")).join(terms, F.col("x") == F.col("code")).select("code", "term", F.col("n_ab").alias("n_own")), "singles"), n_terms)
