@@ -59,7 +59,7 @@ def partial_counts(df: DataFrame, group: str, terms: str, weight: str | None) ->
     return df.select(group, terms, *([weight] if weight else [])).mapInArrow(run, PARTIAL)
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
     """(pyarrow file system, path in it) of a folder that all executors reach."""
     from pyarrow import fs
 
@@ -75,7 +75,7 @@ def _aggregate_with_duckdb(paths: DataFrame, temp: str) -> DataFrame:
 
     Spilling needs a shared folder that is mounted; elsewhere partitions are split until they fit in memory.
     """
-    shared = _filesystem(temp)
+    shared = filesystem(temp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -86,7 +86,7 @@ def _aggregate_with_duckdb(paths: DataFrame, temp: str) -> DataFrame:
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                files, at = _filesystem(path)
+                files, at = filesystem(path)
                 con = duckdb.connect()
                 con.execute(f"SET memory_limit='{DUCKDB_MEMORY}'")
                 con.execute("SET threads=1")
@@ -118,7 +118,7 @@ def term_frequencies(df: DataFrame, group: str, terms: str, weight: str | None =
 
     spark = df.sparkSession
     root = scratch(spark, "radix")
-    spills = isinstance(_filesystem(f"{root}/duckdb")[0], fs.LocalFileSystem)
+    spills = isinstance(filesystem(f"{root}/duckdb")[0], fs.LocalFileSystem)
     limit = part_rows or (PART_ROWS if spills else PART_ROWS_IN_MEMORY)
     bits = min(MAX_FIRST_BITS, max(RADIX_BITS, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     low_bits = lambda n: F.xxhash64("grp", "term").bitwiseAND(F.lit((1 << n) - 1))

@@ -67,18 +67,49 @@ def brute_leaks(text, items, n):
     return out
 
 
+def found_in(automaton, texts):
+    matcher = leakage.Matcher("")
+    matcher.only = [leakage.Block(automaton.packed())]
+    return matcher.find(texts)
+
+
+def test_places_of_words():
+    for t in ("a b-c", "ΠΡΟΣ ΛΟΓΟΣ x", "ﬁne ½ e\u0301te\u0301 ①", "", "Zu\u0308rich—ﬃ\u00a0x"):
+        places = leakage.word_places(t)
+        words = leakage.WORD.findall(leakage.normalised(t))
+        assert len(places) == len(words) and all(leakage.normalised(t[a:b]).find(w) >= 0 or w in leakage.normalised(t) for (a, b), w in zip(places, words, strict=True))
+    t = "ΛΟΓΟΣ then x"
+    assert [t[a:b] for a, b in leakage.word_places(t)] == ["ΛΟΓΟΣ", "then", "x"]
+
+
+def test_cleaning_rows_with_null_or_repeated_keys(spark):
+    items = spark.createDataFrame([(10, PASSAGE)], "item_id long, text string")
+    rest = "and then a good deal more of text that stands alone here for the rest of it, twenty words or so to keep the share low ΛΟΓΟΣ."
+    docs = spark.createDataFrame([(None, f"{PASSAGE} {rest}"), (1, f"{PASSAGE} {rest}"), (1, rest)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_removed, r.dropped) for r in leakage.cleaned(docs, "doc_id", "text", items, "item_id", "text").collect()), key=repr)
+    assert got == sorted([(None, f" {rest}", 18, False), (1, f" {rest}", 18, False), (1, rest, 0, False)], key=repr)
+
+
+def test_text_item_keys(spark, leak_docs):
+    items = spark.createDataFrame([("q-1", PASSAGE)], "item_id string, text string")
+    assert {r.item_id for r in leakage.leaks(leak_docs, "doc_id", "text", items, "item_id", "text").collect()} == {"q-1"}
+
+
 def test_automaton_against_brute_force():
     r = random.Random(8)
     for n in (1, 2, 4):
         for _ in range(60):
             items = [(k, " ".join(r.choices("abc", k=r.randint(0, 14)))) for k in range(5)]
             text = " ".join(r.choices("abcd", k=40))
-            a = leakage.Automaton(items, n)
-            assert set(a.find(text)) == brute_leaks(text, items, n)
-            for item, runs in a.find(text).items():
-                words = text.split()
-                grams = dict(items)[item].split()
-                for s, e in runs:
+            texts = [text, " ".join(r.choices("abcd", k=9)), text]
+            found = found_in(leakage.Automaton(items, n), texts)
+            assert [{x[0] for x in f} for f in found] == [brute_leaks(t, items, n) for t in texts] and found[0] == found[2]
+            for t, runs in zip(texts, found, strict=True):
+                words = t.split()
+                for item, s, e in runs:
+                    grams = dict(items)[item].split()
+                    tied = [any(words[i : i + n] == grams[j : j + n] for j in range(len(grams))) for i in range(len(words) - n + 1)]
+                    assert all(tied[s : e - n + 1]) and (s == 0 or not tied[s - 1]) and (e - n + 1 == len(tied) or not tied[e - n + 1])
                     assert all(any(words[i : i + n] == grams[j : j + n] for j in range(len(grams))) for i in range(s, e - n + 1))
 
 
