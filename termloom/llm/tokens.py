@@ -98,13 +98,14 @@ def head_of(table: DataFrame) -> DataFrame:
 def encode_corpus(df: DataFrame, key: str, text: str, vocab: str | None = None) -> DataFrame:
     """``key, ids`` of every row: the ids of ``text``, an empty list for an empty text, null for a null text.
 
-    Texts are split in Spark once, and the lists of words written; each distinct word is encoded once. The most frequent words
+    Words are split in Spark (twice: writing the lists of words costs more CPU and disk than splitting again, see the README);
+    each distinct word is encoded once. The most frequent words
     (:func:`head_of`, so of proven size, whatever their length) are looked up where the lists are read; only the other occurrences
     are joined with the word table and put back by position. Rows are told apart by their place, so repeated keys do no harm.
     """
     spark = df.sparkSession
     vocab = vocab or vocabulary()
-    split = written(df.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("words")), "split")
+    split = df.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("words"))
     table = written(distinct_words(split, "words", vocab), "words")
     head = head_of(table).collect()
     shared = spark.sparkContext.broadcast(([r["word"] for r in head], [r["ids"] for r in head]))
