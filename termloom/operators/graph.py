@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import written
+from termloom.session import forget, written
 
 CSR_EDGES = 2_000_000
 
@@ -42,7 +42,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "c").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("up"))
         new = written(least.join(jump, "c").select("id", "old", F.least("c", "up").alias("component")), f"labels{turn + 1}")
-        labels = new.select("id", "component")
+        previous, labels = labels, new.select("id", "component")
+        forget(previous)
         if new.where(F.col("old") != F.col("component")).isEmpty():
             break
     return labels
@@ -213,7 +214,7 @@ def eigenvector(edges: DataFrame, iterations: int = 500, tolerance: float = 1e-6
         return spark.createDataFrame(pd.DataFrame({"id": adj.ids, "eigenvector": x, "converged": done}))
     links = written(both_ways(edges), "links")
     state = written(links.select("id").distinct().withColumn("x", F.lit(1.0)), "x0")
-    n, done = state.count(), False
+    n, done, last = state.count(), False, state
     for turn in range(iterations):
         pulled = links.join(state.select(F.col("id").alias("other"), "x"), "other").groupBy("id").agg(F.sum("x").alias("ax"))
         raw = written(state.join(pulled, "id").select("id", F.col("x").alias("old"), (F.col("x") + F.col("ax")).alias("y")), f"y{turn}")
@@ -221,6 +222,8 @@ def eigenvector(edges: DataFrame, iterations: int = 500, tolerance: float = 1e-6
         state = raw.select("id", (F.col("y") / norm).alias("x"), "old")
         done = float(state.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]) < n * tolerance
         state = state.select("id", "x")
+        forget(last)
+        last = raw
         if done:
             break
     return state.select("id", F.col("x").alias("eigenvector"), F.lit(done).alias("converged"))
@@ -298,9 +301,21 @@ def louvain(edges: DataFrame, seed: int = 42, weight: str | None = None) -> Data
 
 
 def renumbered(members: DataFrame, label: str) -> DataFrame:
-    """``members(id, label)`` with ``community`` from 1 by size, larger first, then by the smallest id of the group."""
+    """``members(id, label)`` with ``community`` from 1 by size, larger first, then by the smallest id of the group.
+
+    The groups are sorted over range partitions and numbered by prefix sums of the partitions' counts; no task sees them all.
+    """
     from pyspark.sql import Window
 
     groups = members.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    numbers = groups.select(label, F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("community"))
+    placed = written(groups.repartitionByRange(F.desc("n"), F.asc("first")).withColumn("part", F.spark_partition_id()), "groups")
+    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    ahead = {r["part"]: r["m"] for r in parts.collect()}  # one row per partition
+    base, total = [], 0
+    for p in sorted(ahead):
+        base.append((p, total))
+        total += ahead[p]
+    before = members.sparkSession.createDataFrame(base, "part int, before long")
+    inside = Window.partitionBy("part").orderBy(F.desc("n"), "first")
+    numbers = placed.join(F.broadcast(before), "part").select(label, (F.col("before") + F.row_number().over(inside)).cast("int").alias("community"))
     return members.join(numbers, label)

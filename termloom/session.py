@@ -108,6 +108,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table made by :func:`written` that nothing will read again (a round before the last)."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/termloom-" in f}:
+        _delete(df.sparkSession, path)
+
+
 def small(df: DataFrame, rows: int, limit_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``rows`` rows of the schema of ``df`` stay below ``limit_bytes`` (64 bytes assumed for each text)."""
     width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 16 for f in df.schema)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
+from itertools import accumulate
 from typing import Protocol
 
 import pandas as pd
@@ -33,6 +35,12 @@ class Search(Protocol):
     def ids(self, term: str, first: date, last: date, limit: int) -> list[int]: ...
 
 
+class PagedSearch(Search, Protocol):
+    """A :class:`Search` that can also give the ids of a range from a place on."""
+
+    def page(self, term: str, first: date, last: date, start: int, limit: int) -> list[int]: ...
+
+
 def with_retries(call: Callable, tries: int = 5, wait: Callable[[float], None] = time.sleep):
     """``call()`` again after 1, 2, 4, ... seconds on transient failures; other codes, and the last failure, are raised."""
     for k in range(tries):
@@ -60,10 +68,11 @@ def bisect_range(count: Callable[[date, date], int], first: date, last: date, li
 
 def bisect_days(days: Iterable[tuple[date, int]], limit: int) -> list[tuple[date, date, int, bool]]:
     """:func:`bisect_range` over counts per day; no days give no range."""
-    known = {d: n for d, n in days if d is not None}
+    known = sorted((d, n) for d, n in days if d is not None)
     if not known:
         return []
-    return bisect_range(lambda a, b: sum(n for d, n in known.items() if a <= d <= b), min(known), max(known), limit)
+    at, upto = [d for d, _ in known], [0, *accumulate(n for _, n in known)]
+    return bisect_range(lambda a, b: upto[bisect_right(at, b)] - upto[bisect_left(at, a)], at[0], at[-1], limit)
 
 
 def fetch_in_batches(ids: DataFrame, key: str, make: Callable[[], Callable[[list[int]], dict[int, str | None]]], size: int = 9999) -> DataFrame:
@@ -97,15 +106,16 @@ def fetch_in_batches(ids: DataFrame, key: str, make: Callable[[], Callable[[list
 
 
 class _Range(InputPartition):
-    def __init__(self, first: date, last: date, n: int):
-        super().__init__((first, last, n))
+    def __init__(self, first: date, last: date, n: int, start: int | None = None):
+        super().__init__((first, last, n, start))
 
 
 class SearchSource(DataSource):
     """``spark.read.format("literature_search")`` with options term, first, last (ISO days), limit, and ``factory``.
 
     ``factory`` names a callable (``module:name``) that makes the :class:`Search`. The ranges are found on the driver, each is
-    read by its own task, ids come as numbers. Register with ``spark.dataSource.register(SearchSource)``.
+    read by its own task, ids come as numbers. No id is lost: a single day with more than ``limit`` ids is read page by page, each
+    its own task, where the search has ``page``; else planning raises :class:`SearchError` naming the days. Register with ``spark.dataSource.register(SearchSource)``.
     """
 
     @classmethod
@@ -132,11 +142,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         s, limit = self._search(), int(self.o.get("limit", 9999))
         found = bisect_range(lambda a, b: with_retries(lambda: s.count(self.o["term"], a, b)), date.fromisoformat(self.o["first"]), date.fromisoformat(self.o["last"]), limit)
-        return [_Range(a, b, n) for a, b, n, _ in found if n] or [_Range(date.fromisoformat(self.o["first"]), date.fromisoformat(self.o["first"]), 0)]
+        over = [(a, n) for a, _, n, o in found if o]
+        if over and not hasattr(s, "page"):
+            raise SearchError(f"more than {limit} ids on " + ", ".join(f"{a} ({n})" for a, n in over))
+        whole = [_Range(a, b, n) for a, b, n, o in found if n and not o]
+        return whole + [_Range(a, a, n, at) for a, n in over for at in range(0, n, limit)] or [_Range(date.fromisoformat(self.o["first"]), date.fromisoformat(self.o["first"]), 0)]
 
     def read(self, partition: InputPartition):
-        a, b, n = partition.value
-        if n:
-            s = self._search()
-            for pmid in sorted({int(x) for x in with_retries(lambda: s.ids(self.o["term"], a, b, int(self.o.get("limit", 9999))))}):
-                yield pmid, a, b
+        a, b, n, start = partition.value
+        if not n:
+            return
+        s, limit = self._search(), int(self.o.get("limit", 9999))
+        ask = (lambda: s.ids(self.o["term"], a, b, limit)) if start is None else (lambda: s.page(self.o["term"], a, b, start, limit))
+        for pmid in sorted({int(x) for x in with_retries(ask)}):
+            yield pmid, a, b

@@ -139,3 +139,24 @@ def test_figures(spark, edges):
     assert np.isfinite(y).all()
     walks = graph_walks = figures.random_walks(edges, 5, 2).collect()
     assert len(walks) == 18 and graph_walks == figures.random_walks(edges, 5, 2).collect()
+
+
+def test_ranks_without_broadcast_keep_hot_values(spark, monkeypatch):
+    from termloom.operators import ranks
+
+    rows = [(i, 0.0 if i % 3 else float(i), None if i % 10 == 0 else float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    want = sorted(map(tuple, ranks.average_ranks(df, ["a", "b"]).collect()))
+    monkeypatch.setattr(ranks, "small", lambda *_: False)
+    monkeypatch.setattr(ranks, "HOT_VALUES", 5)
+    assert sorted(map(tuple, ranks.average_ranks(df, ["a", "b"]).select("id", "a", "b", "rank_a", "rank_b").collect())) == want
+
+
+def test_renumbering_over_many_groups(spark):
+    members = spark.createDataFrame([(f"n{i:03d}", i % 40 if i < 200 else 7) for i in range(260)], "id string, c long")
+    sizes = {}
+    for i in range(260):
+        sizes.setdefault(i % 40 if i < 200 else 7, []).append(f"n{i:03d}")
+    order = sorted(sizes, key=lambda c: (-len(sizes[c]), min(sizes[c])))
+    got = {r.id: r.community for r in graph.renumbered(members, "c").collect()}
+    assert got == {i: order.index(c) + 1 for c, ids in sizes.items() for i in ids}

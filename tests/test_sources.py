@@ -102,3 +102,40 @@ def test_fetching_in_batches(spark):
     ids = spark.createDataFrame([(i,) for i in [*range(20), None]], "pmid long").coalesce(1)
     got = {r.pmid: (r.status, r.val) for r in search.fetch_in_batches(ids, "pmid", make, 5).collect()}
     assert len(got) == 20 and got[0] == ("ok", "t0") and got[1] == ("empty", "") and got[4] == ("failed", None) and got[12] == ("failed", None) and got[15] == ("empty", "")
+
+
+class FullDay:
+    """25 ids on one day, one on the next."""
+
+    def count(self, term, first, last):
+        return len(self._ids(first, last))
+
+    def _ids(self, first, last):
+        return [*(range(25) if first.day <= 3 <= last.day else []), *([99] if first.day <= 4 <= last.day else [])]
+
+    def ids(self, term, first, last, limit):
+        return self._ids(first, last)[:limit]
+
+
+class PagedDay(FullDay):
+    def page(self, term, first, last, start, limit):
+        return self._ids(first, last)[start : start + limit]
+
+
+def full_day(kind):
+    reader = search._Reader({"term": "t", "first": "2024-01-01", "last": "2024-01-09", "limit": "10", "factory": f"{__name__}:{kind}"})
+    return sorted(x[0] for p in reader.partitions() for x in reader.read(p))
+
+
+def test_a_day_over_the_limit_loses_no_id():
+    assert full_day("PagedDay") == [*range(25), 99]
+    with pytest.raises(SearchError, match=r"2024-01-03 \(25\)"):
+        full_day("FullDay")
+
+
+def test_days_are_bisected_by_prefix_sums():
+    from datetime import date
+
+    days = [(date(2024, 1, d), d) for d in range(1, 29)] + [(None, 5)]
+    got = search.bisect_days(days, 40)
+    assert sum(n for *_, n, _ in got) == sum(range(1, 29)) and all(n <= 40 for *_, n, _ in got) and search.bisect_days([], 4) == []
