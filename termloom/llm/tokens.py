@@ -77,22 +77,29 @@ def _joined(pool: pa.Array, index: np.ndarray, off: np.ndarray) -> tuple[np.ndar
 
 
 def head_of(table: DataFrame) -> DataFrame:
-    """The most frequent words that fit into ``HEAD_WORDS`` and ``HEAD_BYTES``: those above a power of two.
+    """The most frequent words that fit into ``HEAD_WORDS`` and ``HEAD_BYTES``: those standing at least so many times.
 
-    Only the number and size of the words of each power of two reach the driver (at most 63 rows), so tasks send nothing but
-    words of the head.
+    The least count is found from the number and size of the words of each power of two, then of each count within one power:
+    at most some thousand rows reach the driver, and tasks send nothing but words of the head.
     """
     power = F.floor(F.log2("n")).cast("int")
     size = F.octet_length("word") + 4 * F.size("ids") + 16
-    steps = table.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes")).orderBy(F.desc("power")).collect()
-    words = taken = 0
-    least = 64
-    for step in steps:
-        words, taken = words + step["words"], taken + step["bytes"]
-        if words > HEAD_WORDS or taken > HEAD_BYTES:
-            break
-        least = step["power"]
-    return table.where(power >= least)
+    room, space, least = HEAD_WORDS, HEAD_BYTES, 1 << 62
+
+    def taken(steps: DataFrame) -> int | None:
+        """Takes steps while they fit; returns the first that does not."""
+        nonlocal room, space, least
+        for step in steps.collect():
+            if step["words"] > room or step["bytes"] > space:
+                return step["step"]
+            room, space, least = room - step["words"], space - step["bytes"], step["least"]
+        return None
+
+    sums = [F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes"), F.min("n").alias("least")]
+    over = taken(table.groupBy(power.alias("step")).agg(*sums).orderBy(F.desc("step")))
+    if over is not None and over <= 12:
+        taken(table.where(power == over).groupBy(F.col("n").alias("step")).agg(*sums).orderBy(F.desc("step")))
+    return table.where(F.col("n") >= least)
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, vocab: str | None = None) -> DataFrame:
