@@ -58,7 +58,8 @@ PARTS = {
     "ars": "SELECT pmid, sum(strength) / (SELECT sum(strength) FROM seeds) AS score_strength, sum(degree) / (SELECT sum(degree) FROM seeds) AS score_degree, string_agg(term, ';' ORDER BY term) AS contributing_seeds FROM pooltok JOIN seeds USING (term) GROUP BY 1",
     "crs": "SELECT term, count(*) AS n_articles, avg(score_strength) * log10(count(*) + 1) AS cs, avg(score_degree) * log10(count(*) + 1) AS cd FROM pooltok JOIN seeds USING (term) JOIN ars USING (pmid) GROUP BY 1",
     "crsr": "SELECT term, strength, degree, round(cs, 6) AS crs_strength, round(cd, 6) AS crs_degree FROM crs JOIN seeds USING (term)",
-    "sart": "SELECT pmid, max(score_betweenness_centrality) AS score, min(contributing_seeds) AS contributing_seeds FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND score_betweenness_centrality::VARCHAR <> 'nan' GROUP BY 1",
+    "srow": "SELECT pmid, score_betweenness_centrality AS score, contributing_seeds FROM article_relevance_scores WHERE score_betweenness_centrality IS NOT NULL AND score_betweenness_centrality::VARCHAR <> 'nan'",
+    "sbest": "SELECT pmid, max(score) AS score FROM srow GROUP BY 1",
     "desc": "SELECT descriptor_name, min(descriptor_ui) AS descriptor_ui FROM mesh_terms WHERE descriptor_name IS NOT NULL AND descriptor_ui IS NOT NULL GROUP BY 1",
     "dnum": "SELECT *, substr(descriptor_ui, 2)::BIGINT AS n FROM \"desc\"",
     "tree": "SELECT descriptor_name, substr('ABCDEFGHIJKLMNVZ', (n % 16 + 1)::INTEGER, 1) AS letter FROM dnum WHERE n % 7 <> 0 UNION SELECT descriptor_name, 'G' FROM dnum WHERE n % 7 <> 0 AND n % 5 = 0",
@@ -72,8 +73,9 @@ PARTS = {
 _ORDER = list(PARTS)
 
 
-def sql(final: str) -> str:
-    """``final`` below the table expressions it uses, directly or through others."""
+def sql(final: str, whole: bool = False) -> str:
+    """``final`` below the table expressions it uses, directly or through others; ``whole`` puts all edges in place of ``subb``."""
+    parts = {n: t.replace("FROM subb", "FROM edges").replace("JOIN subb", "JOIN edges") for n, t in PARTS.items()} if whole else PARTS
     needed: set[str] = set()
     todo = [final]
     while todo:
@@ -81,10 +83,10 @@ def sql(final: str) -> str:
         for name in _ORDER:
             if name not in needed and re.search(rf'(?:FROM|JOIN)\s+"?{name}\b', text):
                 needed.add(name)
-                todo.append(PARTS[name])
+                todo.append(parts[name])
     if not needed:
         return final
-    body = ",\n".join(f'"{n}" AS {"" if n in ("reach", "paths") else "MATERIALIZED "}({PARTS[n]})' for n in _ORDER if n in needed)
+    body = ",\n".join(f'"{n}" AS {"" if n in ("reach", "paths") else "MATERIALIZED "}({parts[n]})' for n in _ORDER if n in needed)
     return f"WITH {'RECURSIVE ' if 'reach' in needed else ''}{body}\n{final}"
 
 
@@ -93,6 +95,9 @@ _OVER = "SELECT {part} AS part, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, n_both::
 _ENDS = "(SELECT source AS id FROM {e} UNION SELECT target FROM {e})"
 _DAYS = "CASE doc_id % 6 WHEN 0 THEN day WHEN 1 THEN day WHEN 2 THEN date_trunc('month', day)::DATE WHEN 3 THEN date_trunc('month', day)::DATE WHEN 4 THEN date_trunc('year', day)::DATE END"
 
+#: Articles with a scored row that fulfils a condition: best score of the article, first of these lists of seeds.
+_HELD = "SELECT pmid, score, contributing_seeds FROM (SELECT pmid, min(contributing_seeds) AS contributing_seeds FROM srow WHERE {where} GROUP BY 1) h JOIN sbest USING (pmid)"
+
 ORACLES = {
     "scan_project": "SELECT record_no, pmid FROM pmids_table WHERE generation = 'G2'",
     "load_articles": sql("SELECT * FROM arts"),
@@ -125,13 +130,13 @@ SELECT record_no, (row_number() OVER (PARTITION BY record_no ORDER BY i, j) - 1)
 SELECT x.term AS id, g, x.generation_weight AS gw, is_major_topic, article_count, n_major, r, coalesce(rank_median_citations, 0) AS rm, coalesce(rank_mean_citations, 0) AS ra, coalesce(rank_total_citations, 0) AS rt, coalesce(degree, 0) AS degree FROM (SELECT *, {_RANK.format(x='article_count')} AS r FROM n) x LEFT JOIN trank ON trank.term = x.term LEFT JOIN k ON k.id = x.term)"""),
     "loglik_topk": sql("SELECT source, target, cooccurrence_count FROM suba"),
     "consensus_edges": sql("SELECT * FROM agreed"),
-    "components": sql("SELECT * FROM comp"),
-    "lcc_nodes": sql("SELECT * FROM lcc"),
-    "lcc_edges": sql("SELECT source, target FROM lcce"),
-    "lcc_flags": sql("SELECT id, (community = 1)::INTEGER::DOUBLE AS betweenness_centrality, (community = 1)::INTEGER::DOUBLE AS eigenvector_centrality, 0::DOUBLE AS clustering_coefficient, -1 AS community FROM mem"),
+    "components": sql("SELECT * FROM comp", whole=True),
+    "lcc_nodes": sql("SELECT * FROM lcc", whole=True),
+    "lcc_edges": sql("SELECT source, target FROM lcce", whole=True),
+    "lcc_flags": sql("SELECT id, (community = 1)::INTEGER::DOUBLE AS betweenness_centrality, (community = 1)::INTEGER::DOUBLE AS eigenvector_centrality, 0::DOUBLE AS clustering_coefficient, -1 AS community FROM mem", whole=True),
     "induced_subgraph": sql(f"SELECT source, target, cooccurrence_count FROM edges WHERE source IN {_ENDS.format(e='agreed')} AND target IN {_ENDS.format(e='agreed')}"),
-    "triangles": sql("SELECT a, b, c FROM tri"),
-    "clustering_coefficient": sql("SELECT id, degree, n_triangles, round(clustering, 9) AS clustering FROM clus"),
+    "triangles": sql("SELECT a, b, c FROM tri", whole=True),
+    "clustering_coefficient": sql("SELECT id, degree, n_triangles, round(clustering, 9) AS clustering FROM clus", whole=True),
     "shortest_paths": sql("SELECT u, v, min(d)::BIGINT AS dist FROM paths GROUP BY 1, 2"),
     "graph_json_roundtrip": sql("SELECT (SELECT count(*) FROM bk)::INTEGER AS n_nodes, (SELECT count(*) FROM subb)::INTEGER AS n_edges"),
     "community_rank": sql("SELECT community, count(*) AS n, min(id) AS first_id FROM mem GROUP BY 1"),
@@ -146,10 +151,10 @@ SELECT x.term AS id, g, x.generation_weight AS gw, is_major_topic, article_count
     "retention_cascade": sql("SELECT stage, n_nodes, n_edges, round(n_nodes / lag(n_nodes) OVER (ORDER BY stage), 9) AS nodes_retained, round(n_edges / lag(n_edges) OVER (ORDER BY stage), 9) AS edges_retained FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS stage, (SELECT count(*) FROM {_ENDS.format(e=e)}) AS n_nodes, (SELECT count(*) FROM {e}) AS n_edges" for name, e in (("1 full", "edges"), ("2 subgraph", "subb"), ("3 component", "lcce"), ("4 consensus", "agreed"))) + ")"),
     "ars_scores": sql("SELECT pmid, round(score_strength, 9) AS score_strength, round(score_degree, 9) AS score_degree, contributing_seeds FROM ars"),
     "crs_scores": sql("SELECT seeds.term, round(coalesce(cs, 0), 6) AS crs_strength, round(coalesce(cd, 0), 6) AS crs_degree FROM seeds LEFT JOIN crs USING (term)"),
-    "node_articles": sql("SELECT * FROM sart WHERE contributing_seeds ILIKE '%assay%' ORDER BY score DESC, pmid LIMIT 20"),
-    "node_articles_exact": sql("SELECT * FROM sart WHERE list_contains(string_split(contributing_seeds, ';'), 'Quinanax Assay')"),
-    "edge_articles": sql("SELECT * FROM sart WHERE contributing_seeds ILIKE '%quinanax assay%' AND contributing_seeds ILIKE '%messenger%' ORDER BY score DESC, pmid LIMIT 20"),
-    "top_articles": sql("SELECT * FROM sart ORDER BY score DESC, pmid LIMIT 20"),
+    "node_articles": sql(_HELD.format(where="contributing_seeds ILIKE '%assay%'") + " ORDER BY score DESC, pmid LIMIT 20"),
+    "node_articles_exact": sql(_HELD.format(where="list_contains(string_split(contributing_seeds, ';'), 'Quinanax Assay')")),
+    "edge_articles": sql(_HELD.format(where="contributing_seeds ILIKE '%quinanax assay%' AND pmid IN (SELECT pmid FROM srow WHERE contributing_seeds ILIKE '%messenger%')") + " ORDER BY score DESC, pmid LIMIT 20"),
+    "top_articles": sql(_HELD.format(where="TRUE") + " ORDER BY score DESC, pmid LIMIT 20"),
     "top_nodes_joint": sql("SELECT * FROM (SELECT *, 'strength' AS \"by\" FROM crsr ORDER BY crs_strength DESC, term LIMIT 5) UNION ALL SELECT * FROM (SELECT *, 'degree' FROM crsr ORDER BY crs_degree DESC, term LIMIT 5)"),
     "crs_gap_top20": sql("SELECT term, crs_strength, crs_degree, round(abs(crs_strength - crs_degree), 6) AS gap FROM crsr ORDER BY gap DESC, term LIMIT 20"),
     "crs_histogram": sql("SELECT least(floor((crs_strength - lo) / (hi - lo) * 10), 9)::BIGINT AS bin, count(*) AS n FROM (SELECT crs_strength, min(crs_strength) OVER () AS lo, max(crs_strength) OVER () AS hi FROM crsr) GROUP BY 1"),
