@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,26 +80,30 @@ def head_of(table: DataFrame) -> DataFrame:
     """The most frequent words that fit into ``HEAD_WORDS`` and ``HEAD_BYTES``: those standing at least so many times.
 
     The least count is found from the number and size of the words of each power of two, then of each count within one power:
-    at most some thousand rows reach the driver, and tasks send nothing but words of the head.
+    at most some thousand rows reach the driver, and tasks send nothing but words of the head. What room is left goes to words
+    of the next count, chosen by their hash.
     """
     power = F.floor(F.log2("n")).cast("int")
     size = F.octet_length("word") + 4 * F.size("ids") + 16
     room, space, least = HEAD_WORDS, HEAD_BYTES, 1 << 62
 
-    def taken(steps: DataFrame) -> int | None:
+    def taken(steps: DataFrame) -> Row | None:
         """Takes steps while they fit; returns the first that does not."""
         nonlocal room, space, least
         for step in steps.collect():
             if step["words"] > room or step["bytes"] > space:
-                return step["step"]
+                return step
             room, space, least = room - step["words"], space - step["bytes"], step["least"]
         return None
 
     sums = [F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes"), F.min("n").alias("least")]
     over = taken(table.groupBy(power.alias("step")).agg(*sums).orderBy(F.desc("step")))
-    if over is not None and over <= 12:
-        taken(table.where(power == over).groupBy(F.col("n").alias("step")).agg(*sums).orderBy(F.desc("step")))
-    return table.where(F.col("n") >= least)
+    if over is None or over["step"] > 12:
+        return table.where(F.col("n") >= least)
+    over = taken(table.where(power == over["step"]).groupBy(F.col("n").alias("step")).agg(*sums).orderBy(F.desc("step")))
+    share = 0 if over is None else int(900 * min(room / over["words"], space / over["bytes"]))
+    sure = table.where(F.col("n") >= least)
+    return sure.unionByName(table.where((F.col("n") == over["step"]) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < share)).limit(room)) if share else sure
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, vocab: str | None = None) -> DataFrame:

@@ -51,7 +51,8 @@ def test_head_is_bounded_and_takes_long_frequent_words(spark, monkeypatch):
     table = tokens.distinct_words(df.select(tokens.words_of(F.col("text")).alias("w")), "w", tokens.vocabulary()).cache()
     assert {r.word for r in tokens.head_of(table).collect()} >= {rule, " w"}
     monkeypatch.setattr(tokens, "HEAD_WORDS", 5)
-    assert {r.word for r in tokens.head_of(table).collect()} == {rule, " w"}
+    some = {r.word for r in tokens.head_of(table).collect()}
+    assert some >= {rule, " w"} and len(some) <= 5
     monkeypatch.setattr(tokens, "HEAD_BYTES", 100)
     assert tokens.head_of(table).count() == 0
 
