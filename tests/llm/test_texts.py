@@ -48,7 +48,7 @@ def test_head_is_bounded_and_takes_long_frequent_words(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{rule} w{i}") for i in range(64)], "row long, text string")
     got = {r.row: r.ids for r in tokens.encode_corpus(df, "row", "text").collect()}
     assert got == dict(enumerate(whole([f"{rule} w{i}" for i in range(64)])))
-    table = tokens.distinct_words(df.select(tokens.words_of(F.col("text")).alias("w")), "w", tokens.vocabulary()).cache()
+    table = tokens.distinct_words(df, "text", tokens.vocabulary()).cache()
     assert {r.word for r in tokens.head_of(table).collect()} >= {rule, " w"}
     monkeypatch.setattr(tokens, "HEAD_WORDS", 5)
     some = {r.word for r in tokens.head_of(table).collect()}
