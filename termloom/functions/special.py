@@ -47,17 +47,20 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.where(x < 10, big - np.log(product), big)
 
 
-def binomial_tail(w: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """P(X >= w) for X ~ Bin(n, p): the regularised incomplete beta function by Lentz's continued fraction."""
+def binomial_tail_log(w: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Natural logarithm of P(X >= w) for X ~ Bin(n, p): the regularised incomplete beta function by Lentz's continued fraction.
+
+    Worked out in logarithms, so tails far below the smallest double keep their digits.
+    """
     w, n, p = (np.asarray(a, dtype=float) for a in (w, n, p))
-    out = np.where(w <= 0, 1.0, np.where((p <= 0) | (w > n), 0.0, np.where(p >= 1, 1.0, np.nan)))
+    out = np.where(w <= 0, 0.0, np.where((p <= 0) | (w > n), -np.inf, np.where(p >= 1, 0.0, np.nan)))
     todo = np.isnan(out) & ~np.isnan(w) & ~np.isnan(n) & ~np.isnan(p)
     if not todo.any():
         return out
     a, b, x = w[todo], n[todo] - w[todo] + 1, p[todo]
     swap = x > (a + 1) / (a + b + 2)
     a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    front = _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x) - np.log(a)
     tiny = 1e-300
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -72,11 +75,18 @@ def binomial_tail(w: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
             h = h * step
         if np.all(np.abs(step - 1) < 1e-14):
             break
-    value = np.clip(front * h, 0.0, 1.0)
-    out[todo] = np.where(swap, 1 - value, value)
+    log = np.minimum(front + np.log(np.maximum(h, tiny)), 0.0)
+    with np.errstate(divide="ignore"):
+        out[todo] = np.where(swap, np.log1p(-np.exp(log)), log)
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def binomial_tail_udf(w: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series(binomial_tail(w.to_numpy(), n.to_numpy(), p.to_numpy()))
+def binomial_tail(w: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X >= w) for X ~ Bin(n, p)."""
+    return np.exp(binomial_tail_log(w, n, p))
+
+
+@F.pandas_udf(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("log10_p", T.DoubleType())]))
+def binomial_tail_udf(w: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
+    log = binomial_tail_log(w.to_numpy(), n.to_numpy(), p.to_numpy())
+    return pd.DataFrame({"p": np.exp(log), "log10_p": log / math.log(10)})

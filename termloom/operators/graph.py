@@ -240,6 +240,18 @@ def modularity(adj: Adjacency, community: np.ndarray) -> float:
     return float(inside / m2 - ((k / m2) ** 2).sum())
 
 
+def quality(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """One row ``n_nodes, n_edges, n_communities, modularity`` of ``members(id, community)`` over unweighted edges, by joins."""
+    label = members.select("id", F.col("community").alias("c"))
+    m = edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    inside = edges.join(label.withColumnsRenamed({"id": "source", "c": "cs"}), "source").join(label.withColumnsRenamed({"id": "target", "c": "ct"}), "target")
+    inside = inside.where(F.col("cs") == F.col("ct")).groupBy(F.col("cs").alias("c")).agg(F.count(F.lit(1)).alias("e"))
+    degree = both_ways(edges).groupBy("id").agg(F.count(F.lit(1)).alias("d")).join(label, "id").groupBy("c").agg(F.sum("d").alias("k"), F.count(F.lit(1)).alias("n"))
+    rows = degree.join(inside, "c", "left").withColumn("m", m.scalar().cast("double"))
+    q = F.sum(F.coalesce("e", F.lit(0)) / F.col("m") - F.pow(F.col("k") / (2 * F.col("m")), F.lit(2.0)))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.max("m").cast("bigint").alias("n_edges"), F.count(F.lit(1)).alias("n_communities"), F.round(q, 9).alias("modularity"))
+
+
 def _louvain(adj: Adjacency, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     n = len(adj.ids)

@@ -72,8 +72,9 @@ def scored_edges(edges: DataFrame) -> DataFrame:
 
 
 def significance(scored: DataFrame) -> DataFrame:
-    """Scored edges with ``mlf_p_value``: chance of at least the observed count among ``t`` draws."""
-    return scored.withColumn("mlf_p_value", binomial_tail_udf(F.col("cooccurrence_count").cast("double"), F.col("t").cast("double"), F.col("p")))
+    """Scored edges with ``mlf_p_value``, the chance of at least the observed count among ``t`` draws, and its logarithm to 10."""
+    tail = binomial_tail_udf(F.col("cooccurrence_count").cast("double"), F.col("t").cast("double"), F.col("p"))
+    return scored.withColumn("__tail", tail).select("*", F.col("__tail.p").alias("mlf_p_value"), F.col("__tail.log10_p").alias("mlf_log10_p")).drop("__tail")
 
 
 def edge_table(scored: DataFrame, bags: DataFrame) -> DataFrame:

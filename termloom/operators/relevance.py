@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.terms import heading_of
+from termloom.operators.packed import packed_lists
+
+
+def pool_tokens(articles: DataFrame, field: str, token_mode: str = "raw") -> DataFrame:
+    """``pmid, term`` of annotated articles: pieces between semicolons as they stand (``raw``), or their headings (``heading``).
+
+    Raw pieces match a seed only when equal to it; stars, qualifiers and spaces stay.
+    """
+    if token_mode == "raw":
+        return articles.select("pmid", F.explode(F.split(field, ";", -1)).alias("term")).where(F.col("term") != "").distinct()
+    lists = packed_lists(articles, field, "terms", ["pmid"])
+    return lists.select("pmid", F.explode("vals").alias("t")).select("pmid", heading_of(F.col("t")).alias("term")).where(F.col("term").isNotNull()).distinct()
+
 
 def article_scores(tokens: DataFrame, seeds: DataFrame, weights: list[str]) -> DataFrame:
     """``pmid, score_<weight>..., contributing_seeds`` of the articles that hold a seed.

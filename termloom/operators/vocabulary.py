@@ -16,6 +16,12 @@ def dedupe_descriptors(df: DataFrame, name: str, ui: str) -> DataFrame:
     return df.where(F.col(name).isNotNull() & F.col(ui).isNotNull()).groupBy(name).agg(F.min(ui).alias(ui))
 
 
+def first_descriptors(df: DataFrame, name: str, ui: str, position: str) -> DataFrame:
+    """One row per name with the identifier of its first record by ``position``; rows lacking either are dropped."""
+    kept = df.where(F.col(name).isNotNull() & F.col(ui).isNotNull())
+    return kept.groupBy(name).agg(F.min_by(ui, position).alias(ui))
+
+
 def categories(tree: DataFrame, name: str, number: str) -> DataFrame:
     """Per heading the sorted distinct first letters, upper case, of its tree numbers; other first characters are ignored."""
     letter = F.upper(F.substring(number, 1, 1))

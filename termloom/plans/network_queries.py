@@ -227,7 +227,7 @@ def edge_loglik(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edge_significance(spark: SparkSession, folder: str) -> DataFrame:
-    return network.significance(scored(spark, folder)).select("source", "target", F.round("mlf_p_value", 5).alias("mlf_p_value"))
+    return network.significance(scored(spark, folder)).select("source", "target", F.round("mlf_p_value", 5).alias("mlf_p_value"), F.round("mlf_log10_p", 5).alias("mlf_log10_p"))
 
 
 def edge_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,7 +318,10 @@ def edge_betweenness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eigenvector(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.eigenvector(edges_of(spark, folder)[3])
+    """Of every node of the full graph, iterated inside its largest component; 0.0 outside."""
+    e = full_graph(spark, folder)
+    found = graph.eigenvector(lcc_graph(e)).select("id", F.round("eigenvector", 9).alias("eigenvector"))
+    return graph.endpoints(e).join(found, "id", "left").na.fill(0.0, ["eigenvector"])
 
 
 def louvain(spark: SparkSession, folder: str) -> DataFrame:
@@ -354,6 +357,14 @@ def community_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def component_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The five components after the largest with their node of highest betweenness in the full graph, of equals the smallest id."""
+    m = communities(spark, folder)[1].where((F.col("community") > 1) & (F.col("community") <= 6))
+    k = m.select("id", "community").join(betweenness(spark, folder).select("id", F.round("betweenness", 9).alias("betweenness")), "id")
+    best = k.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("betweenness")).alias("b"), "id")).alias("top"))
+    return best.select("community", "n", F.col("top.id").alias("top_node"))
+
+
+def component_degrees(spark: SparkSession, folder: str) -> DataFrame:
     """The five components after the largest with their node of highest weighted degree."""
     b, m = communities(spark, folder)
     return top_nodes(b, m).where((F.col("community") > 1) & (F.col("community") <= 6)).select("community", "n", F.col("id").alias("top_node"))
@@ -426,12 +437,16 @@ def retention_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ relevance
+def tokens_of(articles: DataFrame) -> DataFrame:
+    """``pmid, term``: distinct headings of annotated articles."""
+    return relevance.pool_tokens(articles, "mesh_terms", "heading")
+
+
 def scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(seeds of the second subgraph with strength and degree, heading tokens of the annotation pool, article scores)."""
     b = subs(spark, folder)[2]
     seeds = written(network.strengths(b).select(F.col("id").alias("term"), F.col("strength").cast("double").alias("strength"), F.col("degree").cast("double").alias("degree")), "seeds")
-    lists = packed_lists(cache(spark, folder), "mesh_terms", "terms", ["pmid"])
-    toks = written(lists.select("pmid", F.explode("vals").alias("t")).select("pmid", heading_of(F.col("t")).alias("term")).where(F.col("term").isNotNull()).distinct(), "pool")
+    toks = written(tokens_of(cache(spark, folder)), "pool")
     return seeds, toks, written(relevance.article_scores(toks, seeds, ["strength", "degree"]), "scores")
 
 
@@ -568,7 +583,7 @@ QUERIES = {
         scan_project, load_articles, annotate_articles, descriptor_dedup, tree_categories, stopword_classify, stopword_orphans, stopword_tag, citation_lookup, missing_pmids, insert_ignore, prune_generations, citation_expand, date_bisect,
         parse_terms_query, generation_weight, parse_dates, term_citation_stats, article_ranks, cooccurrence_edges, node_strengths, degree, edge_loglik, edge_significance, edge_table, node_table, loglik_topk,
         consensus_edges, components_query, lcc_nodes, lcc_edges, lcc_flags, induced_subgraph, triangles, clustering_coefficient, shortest_paths, betweenness, edge_betweenness, eigenvector, louvain, glf_subgraph, sa_subgraph, sampler_trajectory,
-        community_rank, component_report, annotate_strata, community_composition, community_label, alluvial_flows, edge_histogram, subgraph_overlap, subgraph_metrics, retention_cascade,
+        community_rank, component_report, component_degrees, annotate_strata, community_composition, community_label, alluvial_flows, edge_histogram, subgraph_overlap, subgraph_metrics, retention_cascade,
         ars_scores, crs_scores, node_articles, node_articles_exact, edge_articles, top_articles, top_nodes_joint, crs_gap_top20, crs_histogram, scatter_fit, scatter_panel, nb_dispersion,
         export_nodes, export_edges, graph_json_roundtrip, tsne_coords, community_hulls, node_vectors, ward_linkage,
     )

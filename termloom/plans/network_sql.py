@@ -35,6 +35,7 @@ PARTS = {
     "sc0": "SELECT e.*, s.strength AS ks, t.strength AS kt, (SELECT sum(cooccurrence_count) FROM edges)::DOUBLE AS t FROM edges e JOIN k s ON s.id = source JOIN k t ON t.id = target",
     "sc": "SELECT *, ks::DOUBLE * kt / (2 * t * t) AS p, round(cooccurrence_count * ln(ks::DOUBLE * kt / (2 * t * t)) - lgamma(cooccurrence_count + 1), 6) AS loglik FROM sc0",
     "mlf": "SELECT *, CASE WHEN cooccurrence_count <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, cooccurrence_count), lambda i: exp(lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) + i * ln(p) + (t - i) * ln(1 - p)))) END AS mlf FROM sc",
+    "tail": "SELECT source, target, (lp + ln(list_sum(list_transform(range(cooccurrence_count, least(cooccurrence_count + 600, t::BIGINT) + 1), lambda i: exp(lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) + i * ln(p) + (t - i) * ln(1 - p) - lp))))) / ln(10) AS tail_log10 FROM (SELECT *, lgamma(t + 1) - lgamma(cooccurrence_count + 1) - lgamma(t - cooccurrence_count + 1) + cooccurrence_count * ln(p) + (t - cooccurrence_count) * ln(1 - p) AS lp FROM sc)",
     "n": "SELECT term, count(*) AS article_count, sum(is_major::BIGINT) AS n_major, bool_or(is_major) AS is_major_topic, greatest(max(generation_weight), 0) AS generation_weight, min(generation_no) AS g FROM bags JOIN arts USING (pmid) GROUP BY 1",
     "suba": "SELECT * FROM sc ORDER BY round(loglik + cooccurrence_count * ln(1000.0::DOUBLE), 6), source, target LIMIT 500",
     "subb": "SELECT * FROM sc ORDER BY round(cooccurrence_count * ln(cooccurrence_count / (t * p)), 6) DESC, source, target LIMIT 500",
@@ -47,6 +48,9 @@ PARTS = {
     "lcc": "SELECT id FROM mem WHERE community = 1",
     "paths": "SELECT id AS u, id AS v, 0 AS d FROM lcc UNION SELECT paths.u, links.other, d + 1 FROM paths JOIN links ON links.id = paths.v WHERE d < 40",
     "lcce": "SELECT source, target, cooccurrence_count FROM subb WHERE source IN (SELECT id FROM lcc)",
+    "itl": "SELECT id, other FROM links WHERE id IN (SELECT id FROM lcc) UNION ALL SELECT id, id FROM lcc",
+    "it": "SELECT id, 0 AS k, 1.0::DOUBLE / (SELECT count(*) FROM lcc) AS x FROM lcc UNION ALL SELECT itl.id, k + 1, sum(x) / 16 FROM it JOIN itl ON itl.other = it.id WHERE k < 120 GROUP BY 1, 2",
+    "norm": "SELECT id, k, x, sum(abs(x - before)) OVER (PARTITION BY k) < (SELECT count(*) FROM lcc) * 1e-6 AS small FROM (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY k) AS before FROM (SELECT id, k, CASE WHEN k = 0 THEN x ELSE x / sqrt(sum(x * x) OVER (PARTITION BY k)) END AS x FROM it))",
     "bk": "SELECT id, count(*) AS degree, sum(w)::BIGINT AS strength FROM (SELECT source AS id, cooccurrence_count AS w FROM subb UNION ALL SELECT target, cooccurrence_count FROM subb) GROUP BY 1",
     "tri": "SELECT x.source AS a, x.target AS b, y.target AS c FROM subb x JOIN subb y ON x.target = y.source JOIN subb z ON z.source = x.source AND z.target = y.target",
     "clus": "SELECT bk.id, degree, coalesce(nt, 0)::BIGINT AS n_triangles, CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(nt, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM bk LEFT JOIN (SELECT id, count(*) AS nt FROM (SELECT unnest([a, b, c]) AS id FROM tri) GROUP BY 1) q ON q.id = bk.id",
@@ -86,7 +90,7 @@ def sql(final: str, whole: bool = False) -> str:
                 todo.append(parts[name])
     if not needed:
         return final
-    body = ",\n".join(f'"{n}" AS {"" if n in ("reach", "paths") else "MATERIALIZED "}({parts[n]})' for n in _ORDER if n in needed)
+    body = ",\n".join(f'"{n}" AS {"" if n in ("reach", "paths", "it") else "MATERIALIZED "}({parts[n]})' for n in _ORDER if n in needed)
     return f"WITH {'RECURSIVE ' if 'reach' in needed else ''}{body}\n{final}"
 
 
@@ -112,6 +116,10 @@ ORACLES = {
     "insert_ignore": "SELECT pmid, record_no, mesh_terms FROM master_mesh_annotations WHERE pmid IS NOT NULL QUALIFY record_no = min(record_no) OVER (PARTITION BY pmid)",
     "prune_generations": sql(f"SELECT pmid, generation FROM a0 WHERE coalesce({gno('generation')} < 2, TRUE)"),
     "citation_expand": sql("SELECT pmid, 'P0' AS generation FROM hop0 UNION ALL SELECT pmid, 'G1' FROM hop1 UNION ALL SELECT pmid, 'G2' FROM hop2"),
+    "date_bisect": """WITH RECURSIVE days AS (SELECT fetched_at::DATE AS day, count(*) AS n FROM pmids_table GROUP BY 1), lim AS (SELECT greatest(1, sum(n)::BIGINT // 20) AS most FROM days),
+r AS (SELECT min(day) AS a, max(day) AS b FROM days UNION ALL SELECT * FROM (SELECT unnest([a, a + ((b - a) // 2)::INTEGER + 1]) AS a, unnest([a + ((b - a) // 2)::INTEGER, b]) AS b FROM r WHERE a < b AND (SELECT sum(n) FROM days WHERE day BETWEEN r.a AND r.b) > (SELECT most FROM lim)))
+SELECT a AS "first", b AS "last", n, n > most AS "over" FROM (SELECT a, b, (SELECT coalesce(sum(n), 0) FROM days WHERE day BETWEEN r.a AND r.b)::BIGINT AS n FROM r), lim WHERE n <= most OR a = b""",
+    "eigenvector": sql("""SELECT mem.id, round(coalesce(x, 0), 9) AS eigenvector FROM mem LEFT JOIN (SELECT id, x FROM norm QUALIFY k = min(k) FILTER (small) OVER ()) e ON e.id = mem.id""", whole=True),
     "parse_terms": r"""WITH t AS (SELECT record_no, unnest(string_split(mesh_terms, ';')) AS tok, generate_subscripts(string_split(mesh_terms, ';'), 1) AS i FROM master_mesh_annotations),
 p AS (SELECT record_no, i, unnest(string_split(trim(tok), '/')) AS part, generate_subscripts(string_split(trim(tok), '/'), 1) AS j FROM t WHERE trim(tok) <> '' AND trim(string_split(trim(tok), '/')[1]) <> ''),
 q AS (SELECT record_no, i, j, trim(ltrim(trim(part), '*')) AS name, CASE j WHEN 1 THEN 'mesh_term' ELSE 'subheading' END AS type, starts_with(trim(part), '*') AS is_major FROM p)
@@ -124,7 +132,7 @@ SELECT record_no, (row_number() OVER (PARTITION BY record_no ORDER BY i, j) - 1)
     "node_strengths": sql("SELECT * FROM k"),
     "degree": sql("SELECT id, degree FROM k"),
     "edge_loglik": sql("SELECT source, target, loglik FROM sc"),
-    "edge_significance": sql("SELECT source, target, abs(round(mlf, 5)) AS mlf_p_value FROM mlf"),
+    "edge_significance": sql("SELECT source, target, abs(round(mlf, 5)) AS mlf_p_value, round(CASE WHEN mlf > 0.5 THEN log10(mlf) ELSE tail_log10 END, 5) + 0.0 AS mlf_log10_p FROM mlf JOIN tail USING (source, target)"),
     "edge_table": sql(f"SELECT source, target, cooccurrence_count, round(cumulative_weight, 6) AS cumulative_weight_original, round({_RANK.format(x='cumulative_weight')}, 6) AS weight, round(cooccurrence_count / (a.article_count + b.article_count - cooccurrence_count), 6) AS normalized_cooccurrence, round((ln(1 + cooccurrence_count) - min(ln(1 + cooccurrence_count)) OVER ()) / (max(ln(1 + cooccurrence_count)) OVER () - min(ln(1 + cooccurrence_count)) OVER ()), 6) AS log1p_cooccurrence_minmax, abs(round(mlf, 5)) AS mlf_p_value FROM mlf JOIN n a ON a.term = source JOIN n b ON b.term = target"),
     "node_table": sql(f"""SELECT id, CASE WHEN g = 0 THEN 'P0' WHEN g > 0 THEN 'G' || g ELSE 'Unknown' END AS generation, round(gw, 6) AS generation_weight, is_major_topic, article_count, round(r, 6) AS article_count_rank_normalized, round(n_major / article_count, 6) AS major_topic_proportion, round(rm, 6) AS rank_norm_median_cit, round(ra, 6) AS rank_norm_mean_cit, round(rt, 6) AS rank_norm_total_cit, round(0.45::DOUBLE * gw + 0.15::DOUBLE * r + 0.2::DOUBLE * rm + 0.2::DOUBLE * rt, 6) AS adjusted_node_weight, degree FROM (
 SELECT x.term AS id, g, x.generation_weight AS gw, is_major_topic, article_count, n_major, r, coalesce(rank_median_citations, 0) AS rm, coalesce(rank_mean_citations, 0) AS ra, coalesce(rank_total_citations, 0) AS rt, coalesce(degree, 0) AS degree FROM (SELECT *, {_RANK.format(x='article_count')} AS r FROM n) x LEFT JOIN trank ON trank.term = x.term LEFT JOIN k ON k.id = x.term)"""),
@@ -140,7 +148,7 @@ SELECT x.term AS id, g, x.generation_weight AS gw, is_major_topic, article_count
     "shortest_paths": sql("SELECT u, v, min(d)::BIGINT AS dist FROM paths GROUP BY 1, 2"),
     "graph_json_roundtrip": sql("SELECT (SELECT count(*) FROM bk)::INTEGER AS n_nodes, (SELECT count(*) FROM subb)::INTEGER AS n_edges"),
     "community_rank": sql("SELECT community, count(*) AS n, min(id) AS first_id FROM mem GROUP BY 1"),
-    "component_report": sql("SELECT community, n, id AS top_node FROM top WHERE community BETWEEN 2 AND 6"),
+    "component_degrees": sql("SELECT community, n, id AS top_node FROM top WHERE community BETWEEN 2 AND 6"),
     "annotate_strata": sql("SELECT id, aop_level FROM memlev"),
     "community_composition": sql("SELECT community, " + ", ".join(f"count(*) FILTER (aop_level = '{x}') AS {x.lower().replace(' ', '_')}" for x in ("Stressor", "Molecular", "Cellular", "Tissue", "Organ", "Adverse Outcome", "Uncategorized")) + ", count(*) AS total FROM memlev GROUP BY 1"),
     "community_label": sql("SELECT top.community, top.community || ': ' || top.id || ' (' || aop_level || ')' AS label FROM top JOIN memlev ON memlev.id = top.id"),
