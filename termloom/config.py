@@ -19,3 +19,7 @@ class Config:
     temperature: float = 5000.0
     cooling: float = 0.999995
     prune_from: int | None = None
+    #: Generations collected from given roots, the roots counted.
+    generations: int = 3
+    #: How seeds match articles: by heading, as the network's nodes are headings, or ``raw``, by equal pieces of the packed field.
+    token_mode: str = "heading"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from termloom.functions import scalars
 from termloom.functions.terms import heading_of
 from termloom.operators import graph, ingest, network, relevance, sampler, vocabulary
 from termloom.operators.packed import packed_lists
+from termloom.plans import collection
+from termloom.session import exists, written
 from termloom.sources import graph_json
 from termloom.sources.tables import table
 
@@ -29,8 +32,7 @@ class Stages:
         self.spark, self.out, self.made = spark, out.rstrip("/"), []
 
     def exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, path)
 
     def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.out}/{name}"
@@ -39,6 +41,23 @@ class Stages:
             self.made.append(name)
         return self.spark.read.parquet(path)
 
+    def ledger(self, name: str, progress: str, schema: str, progress_schema: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+        """A result that grows with what was processed: ``step(result, processed)`` gives both anew; stored as a new version of each.
+
+        The version that was finished last counts, so a run cut short goes on from it.
+        """
+        paths = [f"{self.out}/{name}", f"{self.out}/{progress}"]
+        last = max((v for v in range(1000) if all(self.exists(f"{p}/v{v}/_SUCCESS") for p in paths)), default=None) if any(self.exists(p) for p in paths) else None
+        old = [self.spark.createDataFrame([], x) if last is None else self.spark.read.parquet(f"{p}/v{last}") for p, x in zip(paths, (schema, progress_schema), strict=True)]
+        new = step(*old)
+        if last is not None and new[1].count() == old[1].count():
+            return old[0], old[1]
+        at = 0 if last is None else last + 1
+        for df, p in zip(new, paths, strict=True):
+            df.write.mode("overwrite").parquet(f"{p}/v{at}")
+        self.made.append(name)
+        return self.spark.read.parquet(f"{paths[0]}/v{at}"), self.spark.read.parquet(f"{paths[1]}/v{at}")
+
     def id_log(self, ids: DataFrame, name: str) -> None:
         """One id per line below the header PMID; no file when there are none."""
         if not ids.isEmpty():
@@ -47,8 +66,6 @@ class Stages:
 
 def centralities(edges: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     """(``id`` with betweenness, eigenvector and community of the largest component; ``source, target, edge_betweenness``)."""
-    from termloom.session import written
-
     lcc = written(graph.largest_component(graph.components(edges)), "lcc")
     inside = graph.induced(edges, lcc)
     if not c.full_centrality:
@@ -59,12 +76,29 @@ def centralities(edges: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     return out.join(graph.louvain(inside, c.seed), "id"), links
 
 
-def run(spark: SparkSession, folder: str, out: str, c: Config | None = None) -> Stages:
-    """All stages from the tables of ``folder`` to the scored network below ``out``."""
-    c = c or Config()
+@dataclass(frozen=True)
+class Sources:
+    """Where a run gets what its tables lack; what is None is looked up in the tables themselves."""
+
+    search: collection.TermSearch | None = None
+    annotations: collection.Annotations | None = None
+    links: collection.Links | None = None
+
+
+def run(spark: SparkSession, folder: str, out: str, c: Config | None = None, sources: Sources | None = None, roots: DataFrame | None = None) -> Stages:
+    """All stages from the tables of ``folder`` to the scored network below ``out``.
+
+    With ``roots(pmid)`` the articles are collected from these through citations (``c.generations`` of them), their links looked up
+    by ``sources.links`` or in the table of articles; without, the table of articles is taken as it is.
+    """
+    c, sources = c or Config(), sources or Sources()
     s = Stages(spark, out)
     feed = ingest.first_rows(table(spark, folder, "pmids_table"), "pmid", "record_no", ["generation", "cited_by", "cites", "mesh_terms"])
     cache = ingest.first_rows(table(spark, folder, "master_mesh_annotations"), "pmid", "record_no", ["mesh_terms"])
+    if roots is not None:
+        links = sources.links or collection.stored_links(feed.select("pmid", "cited_by", "cites"))
+        got = s.table("collected", lambda: collection.collect_articles(roots, links, c.generations))
+        feed = got.drop("status").join(feed.select("pmid", "mesh_terms"), "pmid", "left")
     if c.prune_from is not None:
         feed = ingest.prune_generations(feed, "generation", c.prune_from)
     arts0 = s.table("annotated", lambda: ingest.annotate(feed, cache, "pmid", "mesh_terms"))
@@ -104,7 +138,18 @@ def run(spark: SparkSession, folder: str, out: str, c: Config | None = None) ->
     members = s.table("communities", lambda: graph.louvain(core, c.seed))
     seeds = nodes.join(members.select("id"), "id", "left_semi").select(F.col("id").alias("term"), "betweenness_centrality", "eigenvector_centrality")
     weights = ["betweenness_centrality", "eigenvector_centrality"]
-    pool = s.table("pool_tokens", lambda: tokens(cache).select("pmid", "term").distinct())
+    stored = relevance.pool_tokens(cache, "mesh_terms", "heading")
+    search = sources.search or (lambda terms: terms.join(stored.withColumnRenamed("term", "query"), "query").select("term", "pmid"))
+    pooled, processed = s.ledger("pool", "processed_terms", "pmid bigint", "term string", lambda pool, done: collection.extend_pool(pool, done, seeds.select("term"), search))
+
+    @lru_cache(None)
+    def populated() -> tuple[DataFrame, DataFrame]:
+        return collection.populate_cache(cache, pooled, sources.annotations or collection.stored_annotations(arts0.select("pmid", "mesh_terms")))
+
+    known, log = s.table("annotation_cache", lambda: populated()[0]), s.table("annotation_log", lambda: populated()[1])
+    for status in ("failed", "empty"):
+        s.id_log(log.where(F.col("status") == status).select("pmid"), status)
+    pool = s.table("pool_tokens", lambda: relevance.pool_tokens(known.join(pooled, "pmid", "left_semi"), "mesh_terms", c.token_mode))
     scores = s.table("article_scores", lambda: relevance.article_scores(pool, seeds, weights))
     crs = s.table("term_scores", lambda: relevance.term_scores(pool, scores, weights, seeds))
     final = nodes.join(members.select("id", F.col("community").alias("filtered_community")), "id").join(crs.withColumnRenamed("term", "id"), "id", "left").na.fill(0.0, [f"CRS_{w}" for w in weights])
