@@ -211,7 +211,9 @@ def node_vectors(edges: DataFrame, dims: int = 64, length: int = 30, per_node: i
 def ward(vectors: np.ndarray) -> np.ndarray:
     """Ward linkage of a small set of vectors: rows (a, b, height, size); new clusters are numbered from n."""
     n = len(vectors)
-    d = ((vectors[:, None] - vectors[None]) ** 2).sum(-1).astype(float)
+    vectors = np.asarray(vectors, float)
+    norm = (vectors**2).sum(1)
+    d = np.maximum(norm[:, None] + norm[None] - 2 * vectors @ vectors.T, 0.0)  # one matrix of n by n, whatever the dimensions
     np.fill_diagonal(d, np.inf)
     name, size, out = list(range(n)), np.ones(n), []
     for k in range(n - 1):

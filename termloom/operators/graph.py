@@ -106,19 +106,26 @@ class Adjacency:
         a, b, ww = a[order], b[order], ww[order]
         return cls(ids, np.searchsorted(a, np.arange(len(ids) + 1)), b, ww)
 
+    def places(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of all neighbours of ``nodes`` in ``to``, and the node each belongs to."""
+        sizes = self.off[nodes + 1] - self.off[nodes]
+        ends = np.cumsum(sizes)
+        return np.repeat(self.off[nodes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), np.repeat(nodes, sizes)
+
     def levels(self, source: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Distances from a node (-1: none), numbers of shortest paths, and the nodes of each level."""
-        dist, paths = np.full(len(self.ids), -1), np.zeros(len(self.ids))
+        """Distances from a node (-1: none), numbers of shortest paths, and the nodes of each level; a whole level at a time."""
+        n = len(self.ids)
+        dist, paths = np.full(n, -1), np.zeros(n)
         dist[source], paths[source] = 0, 1.0
         level, out = np.array([source]), []
         while len(level):
             out.append(level)
-            origin = np.repeat(level, self.off[level + 1] - self.off[level])
-            reach = np.concatenate([self.to[self.off[v] : self.off[v + 1]] for v in level]) if len(level) else level
+            at, origin = self.places(level)
+            reach = self.to[at]
             new = np.unique(reach[dist[reach] < 0])
             dist[new] = len(out)
             step = dist[reach] == len(out)
-            np.add.at(paths, reach[step], paths[origin[step]])
+            paths += np.bincount(reach[step], weights=paths[origin[step]], minlength=n)
             level = new
         return dist, paths, out
 
@@ -143,14 +150,14 @@ def betweenness(edges: DataFrame, k: int | None = None, seed: int = 42) -> tuple
                 dist, paths, levels = g.levels(int(s))
                 delta = np.zeros(len(g.ids))
                 for level in levels[:0:-1]:
-                    for w in level:
-                        lo, hi = g.off[w], g.off[w + 1]
-                        before = g.to[lo:hi]
-                        ok = dist[before] == dist[w] - 1
-                        share = np.where(ok, paths[before] / paths[w] * (1.0 + delta[w]), 0.0)
-                        delta[before] += share
-                        edge[lo:hi] += share
+                    at, origin = g.places(level)
+                    before = g.to[at]
+                    up = dist[before] == dist[origin] - 1
+                    at, origin, before = at[up], origin[up], before[up]
+                    share = paths[before] / paths[origin] * (1.0 + delta[origin])
+                    edge[at] += share
                     node[level] += delta[level]
+                    delta += np.bincount(before, weights=share, minlength=len(delta))
         yield pd.DataFrame({"at": np.arange(len(node)), "edge": False, "v": node})
         keep = np.flatnonzero(edge)
         yield pd.DataFrame({"at": keep, "edge": True, "v": edge[keep]})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.functions.scalars import generation_label
 from termloom.functions.special import binomial_tail_udf, log_likelihood_term, pair_probability
 from termloom.operators.ranks import average_ranks
+from termloom.session import maybe_broadcast, written
 
 #: Shares of generation, article rank, median rank and total rank in a node's weight.
 NODE_SHARES = {"generation": 0.45, "articles": 0.15, "median": 0.20, "total": 0.20}
@@ -61,12 +62,22 @@ def strengths(edges: DataFrame, weight: str = "cooccurrence_count") -> DataFrame
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
 
 
-def scored_edges(edges: DataFrame) -> DataFrame:
-    """Edges with the strengths ``k_source, k_target``, the total ``t``, ``expected`` probability and ``loglik`` term."""
-    k = strengths(edges)
+def scored_edges(edges: DataFrame, bags: DataFrame | None = None) -> DataFrame:
+    """Edges with the strengths ``k_source, k_target``, the total ``t``, ``expected`` probability and ``loglik`` term.
+
+    With ``bags`` also the articles of each end, ``n_source, n_target``: one table of nodes is joined once per end.
+    """
+    k = strengths(edges).select("id", "strength")
+    if bags is not None:
+        k = k.join(bags.groupBy(F.col("term").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id")
+    k = written(k, "node-strengths")
+    n_nodes = k.count()
     total = edges.agg(F.sum("cooccurrence_count"))
-    out = edges.join(k.select(F.col("id").alias("source"), F.col("strength").alias("k_source")), "source")
-    out = out.join(k.select(F.col("id").alias("target"), F.col("strength").alias("k_target")), "target").withColumn("t", total.scalar())
+    out = edges
+    for end in ("source", "target"):
+        one = k.select(F.col("id").alias(end), F.col("strength").alias(f"k_{end}"), *([F.col("n").alias(f"n_{end}")] if bags is not None else []))
+        out = out.join(maybe_broadcast(one, n_nodes), end)
+    out = out.withColumn("t", total.scalar())
     args = F.col("k_source"), F.col("k_target"), F.col("t")
     return out.withColumn("p", pair_probability(*args)).withColumn("loglik", F.round(log_likelihood_term(F.col("cooccurrence_count"), *args), 6))
 
@@ -77,11 +88,17 @@ def significance(scored: DataFrame) -> DataFrame:
     return scored.withColumn("__tail", tail).select("*", F.col("__tail.p").alias("mlf_p_value"), F.col("__tail.log10_p").alias("mlf_log10_p")).drop("__tail")
 
 
-def edge_table(scored: DataFrame, bags: DataFrame) -> DataFrame:
-    """The public edge attributes. A single edge, or all weights equal, ranks 0.5; equal counts scale to 0.5."""
-    n = bags.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    e = significance(scored).join(n.select(F.col("term").alias("source"), F.col("n").alias("n_s")), "source").join(n.select(F.col("term").alias("target"), F.col("n").alias("n_t")), "target")
-    both = F.col("n_s") + F.col("n_t") - F.col("cooccurrence_count")
+def edge_table(scored: DataFrame, bags: DataFrame | None = None) -> DataFrame:
+    """The public edge attributes. A single edge, or all weights equal, ranks 0.5; equal counts scale to 0.5.
+
+    ``bags`` is needed only where the edges were scored without it.
+    """
+    if bags is not None and "n_source" not in scored.columns:
+        n = bags.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        for end in ("source", "target"):
+            scored = scored.join(n.select(F.col("term").alias(end), F.col("n").alias(f"n_{end}")), end)
+    e = significance(scored)
+    both = F.col("n_source") + F.col("n_target") - F.col("cooccurrence_count")
     jaccard = F.when(both > 0, F.col("cooccurrence_count") / both).otherwise(0.0)
     e = average_ranks(e, ["cumulative_weight"])
     log = F.log1p(F.col("cooccurrence_count").cast("double"))

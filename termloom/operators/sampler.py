@@ -25,31 +25,34 @@ def run_chain(w: np.ndarray, term: np.ndarray, m: int, iterations: int, seed: in
     n = len(w)
     m = min(m, n)
     order = rng.permutation(n)
-    on, off = order[:m].copy(), order[m:].copy()
-    total = float(w[on].sum())
-    value = math.lgamma(total + 1) + float(term[on].sum())
-    best, best_value, course = on.copy(), value, [(0, value)]
+    total = float(w[order[:m]].sum())
+    value = math.lgamma(total + 1) + float(term[order[:m]].sum())
+    best, best_value, course = order[:m].copy(), value, [(0, value)]
     if m == n or m == 0:
         return best, best_value, course
+    on, off = order[:m].tolist(), order[m:].tolist()  # plain lists: reading one number of an array costs three times as much
+    weight, terms, lgamma, exp = w.tolist(), term.tolist(), math.lgamma, math.exp
+    held = lgamma(total + 1)
     step = 0
     while step < iterations:
         size = min(65_536, iterations - step)
-        a, b, u = rng.integers(0, m, size), rng.integers(0, n - m, size), rng.random(size)
-        for i in range(size):
-            x, y = on[a[i]], off[b[i]]
-            new_total = total + w[y] - w[x]
-            rise = math.lgamma(new_total + 1) - math.lgamma(total + 1) + term[y] - term[x]
-            if rise < 0 or (temperature is None and u[i] < math.exp(-min(rise, 700.0))) or (temperature is not None and temperature > 1e-9 and u[i] < math.exp(-min(rise / temperature, 700.0))):
-                on[a[i]], off[b[i]] = y, x
-                total, value = new_total, value + rise
+        draws = zip(rng.integers(0, m, size).tolist(), rng.integers(0, n - m, size).tolist(), rng.random(size).tolist(), strict=True)
+        for i, j, u in draws:
+            x, y = on[i], off[j]
+            new_total = total + weight[y] - weight[x]
+            new_held = lgamma(new_total + 1)
+            rise = new_held - held + terms[y] - terms[x]
+            if rise < 0 or (u < exp(-min(rise, 700.0)) if temperature is None else temperature > 1e-9 and u < exp(-min(rise / temperature, 700.0))):
+                on[i], off[j] = y, x
+                total, held, value = new_total, new_held, value + rise
                 if value < best_value - 1e-12:
-                    best, best_value = on.copy(), value
+                    best, best_value = list(on), value
             if temperature is not None:
                 temperature *= cooling
             step += 1
             if step % log_every == 0:
                 course.append((step, value))
-    return best, best_value, course
+    return np.array(best), best_value, course
 
 
 def _chains(scored: DataFrame, method: str, m: int, iterations: int, chains: int, seed: int, start: float, cooling: float, log_every: int, course: bool) -> DataFrame:

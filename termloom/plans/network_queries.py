@@ -232,7 +232,7 @@ def edge_significance(spark: SparkSession, folder: str) -> DataFrame:
 
 def edge_table(spark: SparkSession, folder: str) -> DataFrame:
     _, _, bags, e = edges_of(spark, folder)
-    t = network.edge_table(written(network.scored_edges(e), "scored"), bags)
+    t = network.edge_table(written(network.scored_edges(e, bags), "scored"))
     return t.select("source", "target", "cooccurrence_count", F.round("cumulative_weight_original", 6).alias("cumulative_weight_original"), *[F.round(c, 6).alias(c) for c in ("weight", "normalized_cooccurrence", "log1p_cooccurrence_minmax")], F.round("mlf_p_value", 5).alias("mlf_p_value"))
 
 

@@ -119,14 +119,14 @@ def run(spark: SparkSession, folder: str, out: str, c: Config | None = None, sou
     toks = s.table("tokens", lambda: vocabulary.without_stop_words(tokens(arts0), "term", stop, "stop"))
     bags = network.article_terms(toks)
     edges = s.table("edges_raw", lambda: network.cooccurrence_edges(bags, arts))
-    scored = s.table("edges_scored", lambda: network.scored_edges(edges))
+    scored = s.table("edges_scored", lambda: network.scored_edges(edges, bags))
 
     @lru_cache(None)
     def full_network() -> tuple[DataFrame, DataFrame]:
         per_node, per_edge = centralities(edges, c)
         nodes = network.node_table(bags, arts, network.term_statistics(toks, arts), edges).join(per_node, "id", "left").join(graph.clustering(edges).select("id", F.col("clustering").alias("clustering_coefficient")), "id", "left")
         nodes = nodes.na.fill(0.0, ["betweenness_centrality", "eigenvector_centrality", "clustering_coefficient"]).na.fill(-1, ["community"])
-        links = network.edge_table(scored, bags).join(per_edge, ["source", "target"], "left").na.fill(0.0, ["edge_betweenness"])
+        links = network.edge_table(scored).join(per_edge, ["source", "target"], "left").na.fill(0.0, ["edge_betweenness"])
         return nodes, links
 
     nodes = s.table("nodes", lambda: full_network()[0])
