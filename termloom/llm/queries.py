@@ -65,16 +65,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_percentiles(spark, folder).where(enough).select("source_table", "group_key", "pct")
 
 
+def _daily_sketches(values: DataFrame) -> DataFrame:
+    """One histogram per group, merged from one of each day."""
+    groups = ["source_table", "group_key"]
+    return quantiles.merged(quantiles.sketch(values, [*groups, "day"], "value"), groups)
+
+
+def p3_sketch_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles from daily histograms merged over the days: within the stated error, and combinable across deliveries."""
+    got = quantiles.sketch_percentiles(_daily_sketches(measured_values(spark, folder, day=True)), ["source_table", "group_key"], PCTS)
+    return got.where(F.col("group_key").isNotNull()).select("source_table", "group_key", F.col("pct").cast("int").alias("pct"), F.round("value", 6).alias("value"))
+
+
 def p3_sketch_error(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles from daily histograms merged over the days, beside the exact ones: largest relative error per source."""
     groups = ["source_table", "group_key"]
-    values = written(measured_values(spark, folder, day=True), "p3-values")
-    daily = quantiles.sketch(values, [*groups, "day"], "value")
-    rough = quantiles.sketch_percentiles(quantiles.merged(daily, groups), groups, PCTS).withColumnRenamed("value", "rough")
+    values = written(measured_values(spark, folder, day=True).where(F.col("group_key").isNotNull()), "p3-values")
+    rough = quantiles.sketch_percentiles(_daily_sketches(values), groups, PCTS).withColumnRenamed("value", "rough")
     exact = quantiles.radix_select(values, groups, "value", PCTS)
     error = F.abs(F.col("rough") - F.col("value")) / F.greatest(F.col("value"), F.lit(1e-300))
     both = exact.join(rough, [*groups, "pct"])
-    return both.groupBy("source_table").agg(F.count(F.lit(1)).alias("n_percentiles"), F.max(error).alias("max_relative_error"), F.lit(quantiles.SKETCH_ERROR).alias("bound"))
+    return both.groupBy("source_table").agg(F.count(F.lit(1)).alias("n_percentiles"), F.round(F.max(error), 12).alias("max_relative_error"), F.lit(quantiles.SKETCH_ERROR).alias("bound"))
 
 
 def annotation_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +150,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n(flat, "seed_term", "pmid", "score_betweenness_centrality", 10).select("seed_term", "pmid", "rnk")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_percentiles, p3_sketch_error, p4_found, p4_pairs, p5_found, p5_frequencies, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_percentiles, p3_sketch_percentiles, p3_sketch_error, p4_found, p4_pairs, p5_found, p5_frequencies, p7_found)}
 
 _FEED = "feed AS (SELECT 'pmids_table' AS source_table, record_no, pmid FROM pmids_table UNION ALL SELECT 'master_mesh_annotations', record_no, pmid FROM master_mesh_annotations)"
 _SEEN = "seen AS (SELECT *, pmid IS NOT NULL AND record_no > min(record_no) OVER (PARTITION BY pmid) AS seen FROM feed)"
@@ -157,7 +168,14 @@ _FREQ = f"""WITH {_RECORDS}, s AS (SELECT h AS term, count(*) AS records, sum(t)
 f AS (SELECT 'master_mesh_annotations' AS source_table, term, c.n AS records, c.n AS amount, CASE WHEN c.n <= 2 THEN 'rare' WHEN c.n * 10 >= n.n THEN 'common' END AS mark FROM c, n
 UNION ALL SELECT 'mesh_stats_df', term, records, amount, CASE WHEN amount < 5 THEN 'rare' WHEN amount * 50 >= (SELECT sum(amount) FROM s) THEN 'common' END FROM s)"""
 
+#: The middle of a value's cell: 8 bits of the fraction below its power of two.
+_CELL = "CASE WHEN value = 0 THEN 0 ELSE pow(2, floor(log2(value))) * (1 + (floor((value / pow(2, floor(log2(value))) - 1) * 256) * 2 + 1 - pow(2, -44)) / 512) END"
+_SKETCH = f"""WITH {_VALUES}, m AS (SELECT source_table, group_key, {_CELL} AS value FROM v),
+r AS (SELECT source_table, group_key, pct, CASE pct WHEN 50 THEN quantile_cont(value, 0.5) WHEN 90 THEN quantile_cont(value, 0.9) ELSE quantile_cont(value, 0.99) END AS rough FROM m, (VALUES (50), (90), (99)) t(pct) GROUP BY 1, 2, 3)"""
+
 ORACLES = {
+    "p3_sketch_percentiles": _SKETCH + " SELECT source_table, group_key, pct, round(rough, 6) AS value FROM r",
+    "p3_sketch_error": _SKETCH + f" SELECT source_table, count(*) AS n_percentiles, round(max(abs(rough - value) / greatest(value, 1e-300)), 12) AS max_relative_error, {quantiles.SKETCH_ERROR}::DOUBLE AS bound FROM p JOIN r USING (source_table, group_key, pct) GROUP BY 1",
     "p1_found": f"WITH {_FEED}, {_SEEN} SELECT source_table, record_no FROM seen WHERE seen",
     "p1_error_rate": f"WITH {_FEED}, {_SEEN} SELECT count(*) AS n_rows, coalesce(sum(seen::BIGINT), 0)::BIGINT AS n_seen, 0::BIGINT AS n_wrong, 0::DOUBLE AS error_rate FROM seen",
     "p3_percentiles": f"WITH {_VALUES} SELECT * FROM p",
