@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.special import _lgamma
+from termloom.operators import graph
 from termloom.operators.graph import Adjacency
 from termloom.operators.vocabulary import LEVELS, level_name
+from termloom.session import written
 
 
 def annotate(nodes: DataFrame, strata: DataFrame) -> DataFrame:
@@ -171,6 +173,10 @@ def convex_hulls(points: DataFrame, by: str) -> DataFrame:
 def random_walks(edges: DataFrame, length: int = 30, per_node: int = 200, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """``walk array<string>``: second-order random walks, ``per_node`` from every node, each seeded by its start and number."""
     spark = edges.sparkSession
+    if edges.count() > graph.CSR_EDGES:
+        if p != 1.0 or q != 1.0:
+            raise ValueError("walks over graphs of this size are of first order: p = q = 1")
+        return walks_by_joins(edges, length, per_node, seed)
     adj = Adjacency.of(edges)
     shared = spark.sparkContext.broadcast(adj)
 
@@ -198,6 +204,24 @@ def random_walks(edges: DataFrame, length: int = 30, per_node: int = 200, p: flo
     return starts.mapInPandas(run, "walk array<string>")
 
 
+def walks_by_joins(edges: DataFrame, length: int, per_node: int, seed: int) -> DataFrame:
+    """First-order walks over a graph of any size: each step joins every walk's end with one of its numbered neighbours.
+
+    The number is a seeded hash of walk and step modulo the degree, so a repeated task takes the same step.
+    """
+    from pyspark.sql import Window
+
+    links = graph.both_ways(edges)
+    numbered = written(links.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("other")) - 1), "walk-links")
+    degree = written(numbered.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "walk-degrees")
+    walks = degree.select("id").withColumn("start", F.col("id")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_node)))).withColumn("walk", F.array("id"))
+    for step in range(1, length):
+        drawn = walks.join(degree, "id").withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "start", "k", F.lit(step)), F.col("degree")).cast("int"))
+        moved = drawn.join(numbered, ["id", "at"]).select(F.col("other").alias("id"), "start", "k", F.array_append("walk", F.col("other")).alias("walk"))
+        walks = written(moved, f"walks{step}") if step % 8 == 0 else moved
+    return walks.select("walk")
+
+
 def node_vectors(edges: DataFrame, dims: int = 64, length: int = 30, per_node: int = 200, window: int = 10, seed: int = 42) -> DataFrame:
     """``id, vector`` of skip-gram over random walks (``pyspark.ml`` Word2Vec)."""
     from pyspark.ml.feature import Word2Vec

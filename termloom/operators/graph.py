@@ -1,13 +1,14 @@
 """Graph operators on edge tables ``(source, target)`` with source < target.
 
-Degrees, components, triangles and clustering run as joins over edge tables of any size. Betweenness, shortest paths and
-communities work on a compressed adjacency that every task holds: they take graphs of at most ``CSR_EDGES`` edges and raise
-beyond that. Eigenvector centrality uses it below that limit and DataFrame iterations above.
+Degrees, components, triangles and clustering run as joins over edge tables of any size. Betweenness, shortest paths,
+eigenvector centrality, walks and communities work on a compressed adjacency that every task holds where the graph has at most
+``CSR_EDGES`` edges (48 MB of arrays), and as rounds of joins on written tables beyond that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from termloom.session import forget, written
 
+#: Largest graph, in edges, that every task holds as one adjacency.
 CSR_EDGES = 2_000_000
 
 
@@ -136,6 +138,8 @@ def betweenness(edges: DataFrame, k: int | None = None, seed: int = 42) -> tuple
     Brandes' accumulation from ``k`` pivots drawn with ``seed`` (all nodes when k is None or not smaller), spread over tasks.
     Node values are scaled by 1 / ((n - 1)(n - 2)), edge values by 1 / (n (n - 1)), both by n / k.
     """
+    if edges.count() > CSR_EDGES:
+        return betweenness_by_joins(edges, k, seed)
     spark = edges.sparkSession
     adj = Adjacency.of(edges)
     n = len(adj.ids)
@@ -177,9 +181,64 @@ def betweenness(edges: DataFrame, k: int | None = None, seed: int = 42) -> tuple
     return nodes, found
 
 
+def searches(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """Breadth-first searches from all ``sources(s)`` at once: per distance a written table ``s, id, paths`` of the nodes at it.
+
+    A round joins the frontier with ``links(id, other)``, adds up the numbers of shortest paths map-side, and drops what an
+    earlier round reached by an anti-join.
+    """
+    level = written(sources.select("s", F.col("s").alias("id"), F.lit(1.0).alias("paths")), "search0")
+    levels = [level]
+    while True:
+        step = level.join(links, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum("paths").alias("paths"))
+        near = levels[-1] if len(levels) == 1 else levels[-1].unionByName(levels[-2])  # a neighbour is one level up or down, or beside
+        level = written(step.join(near.select("s", "id"), ["s", "id"], "left_anti"), f"search{len(levels)}")
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+
+
+def betweenness_by_joins(edges: DataFrame, k: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """:func:`betweenness` for graphs of any size; the ``k`` pivots are those with the smallest seeded hashes."""
+    links = written(both_ways(edges), "links")
+    ids = written(links.select("id").distinct(), "nodes")
+    n = ids.count()
+    sources = ids.select(F.col("id").alias("s"))
+    if k is not None and k < n:
+        sources = sources.orderBy(F.xxhash64(F.lit(seed), "s"), "s").limit(k)
+    levels = searches(links, sources)
+    scale = n / max(1, min(k or n, n))
+    shares: list[DataFrame] = []
+    deltas: list[DataFrame] = []
+    below = None
+    for d in range(len(levels) - 1, 0, -1):
+        here = levels[d].withColumn("delta", F.lit(0.0)) if below is None else levels[d].join(below, ["s", "id"], "left").na.fill(0.0, ["delta"])
+        here = written(here, f"delta{d}")
+        deltas.append(here.select("id", "delta"))
+        up = levels[d - 1].select("s", F.col("id").alias("other"), F.col("paths").alias("up_paths"))
+        share = here.join(links, "id").join(up, ["s", "other"]).select("s", "id", "other", (F.col("up_paths") / F.col("paths") * (1.0 + F.col("delta"))).alias("share"))
+        share = written(share, f"share{d}")
+        shares.append(share.select(F.least("id", "other").alias("source"), F.greatest("id", "other").alias("target"), "share"))
+        below = share.groupBy("s", F.col("other").alias("id")).agg(F.sum("share").alias("delta"))
+    spark = edges.sparkSession
+    per_node, per_edge = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0), (1.0 / (n * (n - 1)) if n > 1 else 0.0)
+    node = reduce(DataFrame.unionByName, deltas) if deltas else spark.createDataFrame([], "id string, delta double")
+    edge = reduce(DataFrame.unionByName, shares) if shares else spark.createDataFrame([], "source string, target string, share double")
+    nodes = ids.join(node.groupBy("id").agg(F.sum("delta").alias("v")), "id", "left").select("id", (F.coalesce("v", F.lit(0.0)) * per_node * scale).alias("betweenness"))
+    found = edges.select("source", "target").join(edge.groupBy("source", "target").agg(F.sum("share").alias("v")), ["source", "target"], "left")
+    return nodes, found.select("source", "target", (F.coalesce("v", F.lit(0.0)) * per_edge * scale).alias("edge_betweenness"))
+
+
 def shortest_paths(edges: DataFrame) -> DataFrame:
-    """``u, v, dist`` between all pairs of nodes; unreachable pairs get twice the largest distance."""
+    """``u, v, dist`` between all pairs of nodes; unreachable pairs get twice the largest distance.
+
+    The result has a row per pair of nodes. Beyond ``CSR_EDGES`` edges only reachable pairs are listed.
+    """
     spark = edges.sparkSession
+    if edges.count() > CSR_EDGES:
+        links = written(both_ways(edges), "links")
+        levels = searches(links, links.select(F.col("id").alias("s")).distinct())
+        return reduce(DataFrame.unionByName, [level.select(F.col("s").alias("u"), F.col("id").alias("v"), F.lit(d).cast("bigint").alias("dist")) for d, level in enumerate(levels)])
     adj = Adjacency.of(edges)
     shared = spark.sparkContext.broadcast(adj)
 
@@ -259,11 +318,12 @@ def quality(edges: DataFrame, members: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.max("m").cast("bigint").alias("n_edges"), F.count(F.lit(1)).alias("n_communities"), F.round(q, 9).alias("modularity"))
 
 
-def _louvain(adj: Adjacency, seed: int) -> np.ndarray:
+def _louvain(adj: Adjacency, seed: int, inner: np.ndarray | None = None) -> np.ndarray:
+    """Community of every node; ``inner`` is the weight of links inside each node, where nodes stand for groups."""
     rng = np.random.default_rng(seed)
     n = len(adj.ids)
     links: list[dict[int, float]] = [dict(zip(adj.to[adj.off[v] : adj.off[v + 1]].tolist(), adj.weight[adj.off[v] : adj.off[v + 1]].tolist(), strict=True)) for v in range(n)]
-    loops = [0.0] * n
+    loops = [0.0] * n if inner is None else inner.tolist()
     member = np.arange(n)
     while True:
         size = len(links)
@@ -309,9 +369,12 @@ def _louvain(adj: Adjacency, seed: int) -> np.ndarray:
 def louvain(edges: DataFrame, seed: int = 42, weight: str | None = None) -> DataFrame:
     """``id, community``: local moving and merging until modularity no longer rises; the same seed gives the same result.
 
-    Communities are numbered from 1 by size, larger first, then by their smallest id.
+    Communities are numbered from 1 by size, larger first, then by their smallest id. Graphs of more than ``CSR_EDGES`` edges are
+    first brought below that by :func:`moved_and_merged`.
     """
     spark = edges.sparkSession
+    if edges.count() > CSR_EDGES:
+        return renumbered(_large_louvain(edges, seed, weight), "c").select("id", "community")
     adj = Adjacency.of(edges, weight)
     if not adj.ids:
         return spark.createDataFrame([], "id string, community int")
@@ -319,6 +382,68 @@ def louvain(edges: DataFrame, seed: int = 42, weight: str | None = None) -> Data
     return renumbered(raw, "c").select("id", "community")
 
 
+def _large_louvain(edges: DataFrame, seed: int, weight: str | None) -> DataFrame:
+    """``id, c`` of a graph of any size: rounds of moving and merging as joins until the groups' graph fits into one adjacency."""
+    spark = edges.sparkSession
+    e = edges.select("source", "target", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    members, loops = written(both_ways(e).select("id").distinct().withColumn("c", F.col("id")), "members"), None
+    while True:
+        merged = moved_and_merged(e, loops, seed)
+        if merged is None:
+            break
+        label, e, loops = merged
+        members = written(members.join(label.select(F.col("id").alias("c"), F.col("c").alias("up")), "c", "left").select("id", F.coalesce("up", "c").alias("c")), "members")
+        if e.count() <= CSR_EDGES:
+            break
+    if e.isEmpty() or e.count() > CSR_EDGES:  # one group each, or moving no longer helps
+        return members
+    adj = Adjacency.of(e, "w")
+    held = dict(loops.toPandas().itertuples(index=False)) if loops is not None else {}
+    at = spark.createDataFrame(pd.DataFrame({"g": adj.ids, "to": _louvain(adj, seed, np.array([held.get(x, 0.0) for x in adj.ids])).astype(str)}))
+    return members.join(at.withColumnRenamed("g", "c"), "c", "left").select("id", F.coalesce(F.concat(F.lit("#"), F.col("to")), F.col("c")).alias("c"))
+
+
+def moved_and_merged(e: DataFrame, loops: DataFrame | None, seed: int, rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(``id, c``; the groups' links ``source, target, w``; the weight inside each group ``id, w``), or None if no node moved.
+
+    A round works out, by joins, what every node would gain in each neighbouring group; half of the nodes (by seeded hash, another
+    half each round) then move to their best group, so that neighbours do not swap places for ever. Two rounds without a move end it.
+    """
+    links = written(e.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other"), "w"), F.struct(F.col("target").alias("id"), F.col("source").alias("other"), "w"))).alias("x")).select("x.*"), "moving-links")
+    k = links.groupBy("id").agg(F.sum("w").alias("k"))
+    if loops is not None:
+        k = k.join(loops.withColumnRenamed("w", "loop"), "id", "full").select("id", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k"))
+    k = written(k, "moving-degrees")
+    m2 = k.agg(F.sum("k")).first()[0] or 1.0
+    label, still, any_moved = written(k.select("id", F.col("id").alias("c"), "k"), "labels0"), 0, False
+    for turn in range(rounds):
+        total = label.groupBy("c").agg(F.sum("k").alias("tot"))
+        near = links.join(label.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("w_in"))
+        own = label.select("id", F.col("c").alias("own"), "k")
+        choice = near.join(own, "id").join(total, "c")
+        stay = F.col("c") == F.col("own")
+        gain = F.col("w_in") - (F.col("tot") - F.when(stay, F.col("k")).otherwise(0.0)) * F.col("k") / m2
+        best = choice.select("id", "c", stay.alias("stay"), F.round(gain, 9).alias("gain")).groupBy("id").agg(F.max(F.when(F.col("stay"), F.col("gain"))).alias("own_gain"), F.max_by("c", F.struct("gain", F.col("stay"), F.xxhash64("c"))).alias("to"), F.max("gain").alias("top"))
+        alone = own.join(total, F.col("own") == F.col("c")).select("id", "own", "k", (-(F.col("tot") - F.col("k")) * F.col("k") / m2).alias("leave"))
+        turn_of = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "id"), F.lit(2)) == 0
+        moves = turn_of & (F.col("top") > F.coalesce("own_gain", "leave") + 1e-9)
+        new = written(alone.join(best, "id", "left").select("id", F.when(F.coalesce(moves, F.lit(False)), F.col("to")).otherwise(F.col("own")).alias("c"), "k", F.coalesce(moves & (F.col("to") != F.col("own")), F.lit(False)).alias("moved")), f"labels{turn + 1}")
+        moved = not new.where("moved").isEmpty()
+        forget(label)
+        label, any_moved, still = new.select("id", "c", "k"), any_moved or moved, 0 if moved else still + 1
+        if still == 2:
+            break
+    if not any_moved:
+        return None
+    ends = e.join(label.select(F.col("id").alias("source"), F.col("c").alias("cs")), "source").join(label.select(F.col("id").alias("target"), F.col("c").alias("ct")), "target")
+    groups = written(ends.groupBy(F.least("cs", "ct").alias("source"), F.greatest("cs", "ct").alias("target")).agg(F.sum("w").alias("w")), "groups")
+    inside = groups.where(F.col("source") == F.col("target")).select(F.col("source").alias("id"), "w")
+    if loops is not None:
+        inside = inside.unionByName(loops.join(label, "id").select(F.col("c").alias("id"), "w"))
+    inside = written(inside.groupBy("id").agg(F.sum("w").alias("w")), "inside")
+    return label.select("id", "c"), groups.where(F.col("source") < F.col("target")), inside
+
+
 def renumbered(members: DataFrame, label: str) -> DataFrame:
     """``members(id, label)`` with ``community`` from 1 by size, larger first, then by the smallest id of the group.
 
