@@ -74,7 +74,7 @@ def _daily_sketches(values: DataFrame) -> DataFrame:
 def p3_sketch_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles from daily histograms merged over the days: within the stated error, and combinable across deliveries."""
     got = quantiles.sketch_percentiles(_daily_sketches(measured_values(spark, folder, day=True)), ["source_table", "group_key"], PCTS)
-    return got.where(F.col("group_key").isNotNull()).select("source_table", "group_key", F.col("pct").cast("int").alias("pct"), F.round("value", 6).alias("value"))
+    return got.where(F.col("group_key").isNotNull()).select("source_table", "group_key", F.col("pct").cast("int").alias("pct"), F.round(F.col("value") + 1e-9, 6).alias("value"))  # the offset keeps halves from hanging on the last bit
 
 
 def p3_sketch_error(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +174,7 @@ _SKETCH = f"""WITH {_VALUES}, m AS (SELECT source_table, group_key, {_CELL} AS v
 r AS (SELECT source_table, group_key, pct, CASE pct WHEN 50 THEN quantile_cont(value, 0.5) WHEN 90 THEN quantile_cont(value, 0.9) ELSE quantile_cont(value, 0.99) END AS rough FROM m, (VALUES (50), (90), (99)) t(pct) GROUP BY 1, 2, 3)"""
 
 ORACLES = {
-    "p3_sketch_percentiles": _SKETCH + " SELECT source_table, group_key, pct, round(rough, 6) AS value FROM r",
+    "p3_sketch_percentiles": _SKETCH + " SELECT source_table, group_key, pct, round(rough + 1e-9, 6) AS value FROM r",
     "p3_sketch_error": _SKETCH + f" SELECT source_table, count(*) AS n_percentiles, round(max(abs(rough - value) / greatest(value, 1e-300)), 12) AS max_relative_error, {quantiles.SKETCH_ERROR}::DOUBLE AS bound FROM p JOIN r USING (source_table, group_key, pct) GROUP BY 1",
     "p1_found": f"WITH {_FEED}, {_SEEN} SELECT source_table, record_no FROM seen WHERE seen",
     "p1_error_rate": f"WITH {_FEED}, {_SEEN} SELECT count(*) AS n_rows, coalesce(sum(seen::BIGINT), 0)::BIGINT AS n_seen, 0::BIGINT AS n_wrong, 0::DOUBLE AS error_rate FROM seen",
