@@ -93,10 +93,11 @@ _of = r"(?:(?:de la|de los|de|du|des|del) )?"
 _street = [
     ("after", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-zA-Z]? (?:[NSEW]\. )?({_name_part}(?: {_name_part}){{0,3}}?) ({STREET_AFTER})\b\.?", re.I)),
     ("before", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-z]?,? ({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}})", re.I)),
-    ("number_last", re.compile(rf"(?<![\w.\-])({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}}?),? \d{{1,4}}[a-z]?\b", re.I)),
+    ("number_last", re.compile(rf"({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}}?),? \d{{1,4}}[a-z]?\b", re.I)),
     ("compound", re.compile(rf"(?<![\w.\-])({_name_part}(?:straße|strasse|weg|gasse|allee|platz)|{_name_part} (?:Str\.|Straße|Strasse|Weg|Allee|Platz)) \d{{1,4}}[a-z]?\b", re.I)),
 ]
 _before_hints = tuple(f"{w} " for w in STREET_BEFORE.split("|"))
+_compound_tail = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|str\.) \d")
 _after_hints = tuple(f" {w}" for w in STREET_AFTER.split("|"))
 _compound_hints = ("straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "str. ")
 _phone_cue = re.compile(r"(?i)\b(tel|tél|telefon|teléfono|téléphone|telephone|phone|fax|call|ring|dial|mobile|cell|reach\w*|under|unter|rufen?|llam[ea]r?|al|appel\w*|at|number)\b[\W_]{0,8}(?:me |us |on |at )?[\W_]{0,3}$")
@@ -230,7 +231,8 @@ def name_candidates(text: str, words: Words) -> Iterator[tuple[int, int, str, tu
     """Spans that may be a given name or initial with a family name, in either order, with their facts."""
     found = [(m.start(), m.end(), m[0]) for m in _capital.finditer(text)]
     n = len(found)
-    about = [words.of(w[2]) for w in found]
+    seen = words.seen
+    about = [seen.get(w[2]) or words.of(w[2]) for w in found]
     # how each capitalised word is tied to the next: space, particles, hyphen, comma, or not at all
     ties: list[str] = []
     for i in range(n - 1):
@@ -402,14 +404,28 @@ def email_candidates(text: str) -> Iterator[tuple[int, int, str, tuple]]:
         yield start, domain.end(), "email", ("e", *f)
 
 
+def _word_places(text: str, low: str, hints: tuple[str, ...]) -> Iterator[int]:
+    """Where one of ``hints`` begins a word of the text; ``low`` is the text in small letters."""
+    if len(low) != len(text):  # small letters of another length: keep places by single characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for hint in hints:
+        at = low.find(hint)
+        while at >= 0:
+            if not at or not (low[at - 1].isalnum() or low[at - 1] in "_.-"):
+                yield at
+            at = low.find(hint, at + 1)
+
+
 def street_candidates(text: str) -> Iterator[tuple[int, int, str, tuple]]:
     """Street names with a house number; of names of several words every shorter reading too."""
     low = text.lower()
-    after, before, compound = (any(map(low.__contains__, hints)) for hints in (_after_hints, _before_hints, _compound_hints))
+    after = any(map(low.__contains__, _after_hints))
+    starts = sorted(_word_places(text, low, _before_hints))
+    compound = any(map(low.__contains__, _compound_hints)) and _compound_tail.search(low) is not None
     for form, pattern in _street:
-        if not (after if form == "after" else compound if form == "compound" else before):
+        if not (after if form == "after" else compound if form == "compound" else starts):
             continue
-        for m in pattern.finditer(text):
+        for m in filter(None, (pattern.match(text, at) for at in starts)) if form == "number_last" else pattern.finditer(text):
             name = m[2] if form in ("before", "number_last") else m[1]
             parts = name.split(" ")
             kind_word = m[1] if form in ("before", "number_last") else ""
