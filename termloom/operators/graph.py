@@ -2,7 +2,7 @@
 
 Degrees, components, triangles and clustering run as joins over edge tables of any size. Betweenness, shortest paths,
 eigenvector centrality, walks and communities work on a compressed adjacency that every task holds where the graph has at most
-``CSR_EDGES`` edges (48 MB of arrays), and as rounds of joins on written tables beyond that.
+``CSR_EDGES`` edges (some 70 MB of arrays), and as rounds of joins on written tables beyond that.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ def term_statistics(tokens: DataFrame, articles: DataFrame) -> DataFrame:
 
 def rank_terms(stats: DataFrame) -> DataFrame:
     """Term statistics with average ranks, divided by the number of terms, of their four columns."""
-    return average_ranks(stats, ["total_pmids", "median_citations", "mean_citations", "total_citations"])
+    return average_ranks(written(stats, "term-statistics"), ["total_pmids", "median_citations", "mean_citations", "total_citations"])
 
 
 def normalise_articles(articles: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def normalise_articles(articles: DataFrame) -> DataFrame:
 
     A single article gets 0.5 when it is cited, else 0.0.
     """
+    articles = written(articles, "articles-plain")
     n = articles.agg(F.count(F.lit(1)))
     ranked = average_ranks(articles, ["cited_by_count"])
     alone = F.when(F.col("cited_by_count") > 0, 0.5).otherwise(0.0)
@@ -114,6 +115,7 @@ def node_table(bags: DataFrame, articles: DataFrame, stats: DataFrame, edges: Da
     per = bags.join(articles.select("pmid", "generation_weight", "generation_no"), "pmid").groupBy("term").agg(
         F.count(F.lit(1)).alias("article_count"), F.sum(F.col("is_major").cast("bigint")).alias("n_major"), F.max("is_major").alias("is_major_topic"), F.greatest(F.max("generation_weight"), F.lit(0.0)).alias("generation_weight"), F.min("generation_no").alias("g")
     )
+    per = written(per, "node-articles")
     ranked = average_ranks(per, ["article_count"])
     n = per.agg(F.count(F.lit(1)))
     ranked = ranked.withColumn("rank_article_count", F.when(n.scalar() == 1, 0.5).otherwise(F.col("rank_article_count")))

@@ -31,8 +31,8 @@ def average_ranks(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
     inside = Window.partitionBy("c", "part").orderBy("x")
     upto = counts.withColumn("upto", F.sum("n").over(inside)).join(parts, ["c", "part"])
     rank = (F.col("ahead") + F.col("upto") - F.col("n") + (F.col("n").cast("double") + 1.0) / 2.0) / F.col("n_all")
-    ranks = written(upto.select("c", "x", rank.alias("r"), (F.col("n") * HOT_VALUES > F.col("n_all")).alias("hot")), "ranks")
-    distinct = {r["c"]: r["count"] for r in ranks.groupBy("c").count().collect()}  # one row per column
+    ranks = upto.select("c", "x", rank.alias("r"), (F.col("n") * HOT_VALUES > F.col("n_all")).alias("hot"))
+    distinct = {r["c"]: r["count"] for r in counts.groupBy("c").count().collect()}  # one row per column
 
     def add(d: DataFrame, c: str) -> DataFrame:
         r = ranks.where(F.col("c") == c).select(F.col("x").alias("__x"), F.col("r").alias(f"rank_{c}"), "hot")

@@ -155,7 +155,7 @@ def run(spark: SparkSession, folder: str, out: str, c: Config | None = None, sou
     final = nodes.join(members.select("id", F.col("community").alias("filtered_community")), "id").join(crs.withColumnRenamed("term", "id"), "id", "left").na.fill(0.0, [f"CRS_{w}" for w in weights])
     final = s.table("final_nodes", lambda: final)
     if not s.exists(f"{s.out}/final_network/_SUCCESS"):
-        graph_json.write(final.select("id", "generation", "degree", "adjusted_node_weight", "betweenness_centrality", "eigenvector_centrality", F.col("filtered_community").alias("filtered_louvain_community_id")), core.drop("weight"), f"{s.out}/final_network")
+        graph_json.write(final.select("id", "generation", "degree", "adjusted_node_weight", "betweenness_centrality", "eigenvector_centrality", F.col("filtered_community").alias("filtered_louvain_community_id"), "CRS_betweenness_centrality", "CRS_eigenvector_centrality"), core.drop("weight"), f"{s.out}/final_network")
         s.made.append("final_network")
     return s
 

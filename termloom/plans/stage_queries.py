@@ -171,6 +171,25 @@ def crs_histogram_stacked(spark: SparkSession, folder: str) -> DataFrame:
     return figures.histogram_even(written(c, "crs"), "crs_strength", 10, ["aop_level"])
 
 
+def louvain_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Communities of the second subgraph by size, with their levels: what the composition figure shows."""
+    members = written(graph.louvain(nq.subs(spark, folder)[2]), "communities")
+    return figures.composition(figures.annotate(members, nq.strata(spark, folder)))
+
+
+def figure_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the second subgraph through the graph document, renamed and with their level as figures take them."""
+    b = nq.subs(spark, folder)[2]
+    doc = graph_json.round_trip(network.strengths(b), b.select("source", "target", "cooccurrence_count"))
+    return graph_json.figure_nodes(doc, nq.strata(spark, folder)).select("mesh_term", "degree", "strength", "aop_level")
+
+
+def edge_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of a graph document as they stand: the second subgraph with every edge twice."""
+    b = nq.subs(spark, folder)[2].select("source", "target", "cooccurrence_count")
+    return graph_json.raw_edges(graph_json.round_trip(network.strengths(b), b.unionByName(b))).select("source", "target", "cooccurrence_count")
+
+
 def embedding_table(spark: SparkSession, folder: str) -> DataFrame:
     """Coordinates of the final network's nodes with community, level and relevance."""
     points = nq.tsne_coords(spark, folder)
@@ -183,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collect_articles, populate_cache, relevance_pool, search_terms, empty_log, descriptor_first, stop_word_table, csv_strata, csv_seeds, score_table, export_csv, citation_counts, plain_term_stats, ars_raw,
-        betweenness_subgraph, edge_betweenness_subgraph, sampled_betweenness, louvain_quality, crs_histogram_fine, crs_histogram_stacked, embedding_table,
+        betweenness_subgraph, edge_betweenness_subgraph, sampled_betweenness, louvain_quality, crs_histogram_fine, crs_histogram_stacked, louvain_sizes, figure_nodes, edge_rows, embedding_table,
     )
 }
 
@@ -213,6 +232,8 @@ FROM (SELECT pmid, 'P0' AS generation FROM hop0 UNION ALL SELECT pmid, 'G1' FROM
     "csv_seeds": "SELECT pmid, contributing_seeds FROM article_relevance_scores",
     "score_table": sql("SELECT pmid, score FROM sbest WHERE pmid <= (SELECT quantile_disc(pmid, 0.5) FROM sbest)"),
     "export_csv": sql("SELECT source, target, cooccurrence_count FROM subb"),
+    "edge_rows": sql("SELECT source, target, cooccurrence_count FROM subb UNION ALL SELECT source, target, cooccurrence_count FROM subb"),
+    "figure_nodes": sql("SELECT bk.id AS mesh_term, degree, strength, (['Stressor', 'Molecular', 'Cellular', 'Tissue', 'Organ', 'Adverse Outcome', 'Uncategorized'])[coalesce(i, 7)] AS aop_level FROM bk LEFT JOIN lev ON lev.term = bk.id"),
     "citation_counts": sql(f"SELECT pmid, ({_COUNT})::BIGINT AS n FROM a0"),
     "plain_term_stats": sql(f"""SELECT term, count(*) AS total_pmids, median(c)::DOUBLE AS median_citations, round(avg(c), 9) AS mean_citations, sum(c)::BIGINT AS total_citations FROM (SELECT pmid, ltrim(trim(t), '*') AS term FROM (SELECT pmid, unnest(string_split(mesh_terms, ';')) AS t FROM annotated) WHERE NOT contains(t, '/'))
 JOIN (SELECT pmid, ({_COUNT})::BIGINT AS c FROM a0) USING (pmid) WHERE term <> '' AND term NOT IN (SELECT descriptor_name FROM mesh_terms WHERE mesh_stop_term AND descriptor_name IS NOT NULL) GROUP BY 1"""),

@@ -91,3 +91,48 @@ def test_adhoc_questions(spark, tmp_path, capsys):
     assert [r.pmid for r in adhoc.answer(df, "node", ["a"], "score_betweenness_centrality").collect()] == [2, 1]
     adhoc.main(spark, [str(tmp_path / "none"), "export", str(tmp_path / "csv")])
     assert (tmp_path / "csv" / "nodes").exists()
+
+
+MEDLINE = """PMID- 11
+MH  - *Skin/pathology
+MH  - Antibodies,
+      Monoclonal
+
+PMID- 12
+TI  - no headings
+"""
+
+
+def test_tagged_records_and_remote_annotations(spark):
+    from termloom.sources import records
+
+    assert [r.get("MH") for r in records.tagged_records(MEDLINE)] == [["*Skin/pathology", "Antibodies, Monoclonal"], None]
+    ids = spark.createDataFrame([(11,), (12,), (13,)], "pmid long").coalesce(1)
+    got = records.remote_annotations(lambda: lambda ids: MEDLINE)(ids)
+    assert rows(got) == [(11, "ok", "*Skin/pathology;Antibodies, Monoclonal"), (12, "empty", ""), (13, "failed", None)]
+
+
+def test_remote_links(spark):
+    from termloom.sources import records
+
+    answer = '{"data": [{"pmid": 1, "cited_by": [2, 3], "references": null}, {"pmid": 2, "cited_by": [], "references": []}, {"pmid": 77}]}'
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "pmid long").coalesce(1)
+    got = records.remote_links(lambda: lambda ids: answer)(ids)
+    assert rows(got) == [(1, "ok", "2;3", ""), (2, "empty", "", ""), (3, "failed", None, None)]
+    roots = spark.createDataFrame([(1,)], "pmid long")
+    assert rows(collection.collect_articles(roots, records.remote_links(lambda: lambda ids: answer), 2).select("pmid", "generation", "status")) == [(1, "P0", "ok"), (2, "G1", "empty"), (3, "G1", "failed")]
+
+
+def test_marc_to_first_descriptors(spark):
+    df = spark.createDataFrame([("Skin", "D9", 4), ("Skin", "D1", 7)], "descriptor_name string, descriptor_ui string, position long")
+    assert rows(vocabulary.first_descriptors(df, "descriptor_name", "descriptor_ui", "position")) == [("Skin", "D9")]
+
+
+def test_figure_nodes_rename_and_annotate(spark):
+    from termloom.sources import graph_json
+
+    nodes = spark.createDataFrame([("Skin", 0.5, 0.1), ("x", 0.2, None)], "id string, adjusted_node_weight double, CRS_betweenness_centrality double")
+    edges = spark.createDataFrame([("Skin", "x", 2)], "source string, target string, cooccurrence_count long")
+    strata = spark.createDataFrame([("skin", "Organ")], "term string, aop_level string")
+    got = graph_json.figure_nodes(graph_json.round_trip(nodes, edges), strata).select("mesh_term", "ARS", "CRS_betweenness", "CRS_eigenvector", "aop_level")
+    assert rows(got) == [("Skin", 0.5, 0.1, None, "Organ"), ("x", 0.2, None, None, "Uncategorized")]
