@@ -465,8 +465,8 @@ class SemiCrf:
         self.known: dict[tuple, float] = {}
 
     @classmethod
-    def load(cls, path: Path = WEIGHTS) -> SemiCrf:
-        return cls(json.loads(path.read_text(encoding="utf-8")), Words.load())
+    def load(cls, path: Path = WEIGHTS, vocabularies: tuple[str, ...] = VOCABULARIES) -> SemiCrf:
+        return cls(json.loads(path.read_text(encoding="utf-8")), Words.load(vocabularies))
 
     def score(self, facts: tuple) -> float:
         """The weights of a span added up; spans with the same facts are worked out once."""
@@ -536,18 +536,20 @@ class SemiCrf:
         return like - z, grad
 
 
-def _shared(df: DataFrame):
-    model = SemiCrf.load()
+def _shared(df: DataFrame, vocabularies: tuple[str, ...]):
+    """Weights and kinds of words (as many as the vocabularies have, some 1 MB), sent to every task."""
+    model = SemiCrf.load(vocabularies=vocabularies)
     return df.sparkSession.sparkContext.broadcast((model.weights, model.words.kinds))
 
 
-def find(df: DataFrame, key: str, text: str) -> DataFrame:
+def find(df: DataFrame, key: str, text: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """``key, start, length, kind, val``: every personal detail with its place (code points from 0). Null and empty: none.
 
-    Map-only, whole texts, rows in any order; repeated rows give repeated results.
+    Map-only, whole texts, rows in any order; repeated rows give repeated results. ``vocabularies`` are the files that tell
+    common from proper words.
     """
     key_type = df.schema[key].dataType.simpleString()
-    shared = _shared(df)
+    shared = _shared(df, vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SemiCrf(shared.value[0], Words(shared.value[1]))
@@ -565,10 +567,10 @@ def find(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {key_type}, start int, length int, kind string, val string")
 
 
-def redact(df: DataFrame, key: str, text: str) -> DataFrame:
+def redact(df: DataFrame, key: str, text: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """``key, text, n_redacted``: every text with a typed placeholder in place of each detail; null stays null."""
     key_type = df.schema[key].dataType.simpleString()
-    shared = _shared(df)
+    shared = _shared(df, vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SemiCrf(shared.value[0], Words(shared.value[1]))
