@@ -94,7 +94,7 @@ _street = [
     ("after", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-zA-Z]? (?:[NSEW]\. )?({_name_part}(?: {_name_part}){{0,3}}?) ({STREET_AFTER})\b\.?", re.I)),
     ("before", re.compile(rf"(?<![\w.,\-])\d{{1,4}}[a-z]?,? ({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}})", re.I)),
     ("number_last", re.compile(rf"({STREET_BEFORE}) {_of}({_name_part}(?: {_name_part}){{0,3}}?),? \d{{1,4}}[a-z]?\b", re.I)),
-    ("compound", re.compile(rf"(?<![\w.\-])({_name_part}(?:straße|strasse|weg|gasse|allee|platz)|{_name_part} (?:Str\.|Straße|Strasse|Weg|Allee|Platz)) \d{{1,4}}[a-z]?\b", re.I)),
+    ("compound", re.compile(rf"(?<![\w.\-])({_name_part}(?:straße|strasse|weg|gasse|allee|platz)|(?:{_name_part} ){{1,4}}(?:Str\.|Straße|Strasse|Weg|Allee|Platz)) \d{{1,4}}[a-z]?\b", re.I)),
 ]
 _before_hints = tuple(f"{w} " for w in STREET_BEFORE.split("|"))
 _compound_tail = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|str\.) \d")
@@ -429,21 +429,26 @@ def street_candidates(text: str) -> Iterator[tuple[int, int, str, tuple]]:
             name = m[2] if form in ("before", "number_last") else m[1]
             parts = name.split(" ")
             kind_word = m[1] if form in ("before", "number_last") else ""
-            ends = [m.end()] if form != "before" else [m.start(2) + len(" ".join(parts[:k])) for k in range(1, len(parts) + 1)]
-            for k, end in enumerate(ends, 1):
-                used = parts[:k] if form == "before" else parts
+            spans = [(m.start(), m.end(), parts)]
+            if form == "before":
+                spans = [(m.start(), m.start(2) + len(" ".join(parts[:k])), parts[:k]) for k in range(1, len(parts) + 1)]
+            elif form == "compound":
+                spans = [(m.start() + len(" ".join(["", *parts[:k]])), m.end(), parts[k:]) for k in range(max(1, len(parts) - 1))]
+            for start, end, used in spans:
                 capital = used[0][0].isupper() or kind_word[:1].isupper()
                 f = [f"s:form={form}", f"s:capital={capital:d}", f"s:names={len(used)}", f"s:all capital={all(p[0].isupper() for p in used):d}"]
-                if form == "before" and k < len(parts):
-                    f.append(f"s:next capital={parts[k][0].isupper():d}")
+                if form == "before" and len(used) < len(parts):
+                    f.append(f"s:next capital={parts[len(used)][0].isupper():d}")
+                if form == "compound" and len(used) < len(parts):
+                    f.append(f"s:capital before={parts[len(parts) - len(used) - 1][0].isupper():d}")
                 if form == "after":
                     f += [f"s:word={m[2].lower()}", f"s:dot={m[0].endswith('.'):d},{m[2].lower() if len(m[2]) < 5 else 'long'}"]
                     if m[2][0].islower() and used[-1][0].isupper():
                         f.append("s:word small")
-                yield m.start(), end, "street_address", ("s", *f)
+                yield start, end, "street_address", ("s", *f)
                 if form == "after" and m[0].endswith("."):
                     f = [x for x in f if not x.startswith("s:dot")] + [f"s:dot=0,{m[2].lower() if len(m[2]) < 5 else 'long'}", "s:dot left out"]
-                    yield m.start(), end - 1, "street_address", ("s", *f)
+                    yield start, end - 1, "street_address", ("s", *f)
 
 
 def candidates(text: str, words: Words) -> list[tuple[int, int, str, tuple]]:

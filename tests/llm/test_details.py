@@ -29,7 +29,7 @@ def test_small_letters_behind_a_title_or_a_known_word(model):
     assert said(model, "we saw Dr. ahmed khan and mrs marta nowak") == [("person_name", "ahmed khan"), ("person_name", "marta nowak")]
 
 
-@pytest.mark.parametrize("text,found", [("He lives at 221B Baker Street.", ("street_address", "221B Baker Street")), ("ID 12 345 678 901", ("id_number", "12 345 678 901")), ("write to jane.roe at example dot org now", ("email", "jane.roe at example dot org")), ("Tel. 00 44 20 79 46 09 58 12", ("phone", "00 44 20 79 46 09 58 12"))])
+@pytest.mark.parametrize("text,found", [("He lives at 221B Baker Street.", ("street_address", "221B Baker Street")), ("ID 12 345 678 901", ("id_number", "12 345 678 901")), ("write to jane.roe at example dot org now", ("email", "jane.roe at example dot org")), ("Wir wohnen in der Alte Schönhauser Str. 12, Ort.", ("street_address", "Alte Schönhauser Str. 12")), ("Send it to 12 rue de la Grande Fontaine, please", ("street_address", "12 rue de la Grande Fontaine")), ("They met at 5 Old Mill House Lane today", ("street_address", "5 Old Mill House Lane")), ("Tel. 00 44 20 79 46 09 58 12", ("phone", "00 44 20 79 46 09 58 12"))])
 def test_extents(model, text, found):
     assert said(model, text) == [found]
 
