@@ -43,3 +43,9 @@ def test_glf_chains_read_their_edges_in_tasks(scored, driver_takes_none):
     want, ll = chosen(driver_takes_none, "glf", 3)
     assert sorted((r.source, r.target) for r in got) == want and {r.ll for r in got} == {ll}
     assert sampler.subgraph(scored.limit(0), "glf", 7, 30, 2).count() == 0
+
+
+def test_annealing_reads_its_edges_in_tasks(scored, driver_takes_none):
+    got = sampler.subgraph(scored, "sa", 7, 3000, 3, start=50.0, cooling=0.999).collect()
+    want, ll = chosen(driver_takes_none, "sa", 3, temperature=50.0, cooling=0.999)
+    assert sorted((r.source, r.target) for r in got) == want and {r.ll for r in got} == {ll}
