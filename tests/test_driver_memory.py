@@ -49,3 +49,10 @@ def test_annealing_reads_its_edges_in_tasks(scored, driver_takes_none):
     got = sampler.subgraph(scored, "sa", 7, 3000, 3, start=50.0, cooling=0.999).collect()
     want, ll = chosen(driver_takes_none, "sa", 3, temperature=50.0, cooling=0.999)
     assert sorted((r.source, r.target) for r in got) == want and {r.ll for r in got} == {ll}
+
+
+@pytest.mark.parametrize("method", ["glf", "sa"])
+def test_trajectories_read_their_edges_in_tasks(scored, driver_takes_none, method):
+    got = sorted((r.iteration, r.ll) for r in sampler.trajectory(scored, method, 7, 3000, start=50.0, cooling=0.999, log_every=500).collect())
+    w, term = np.array([float(r[2]) for r in driver_takes_none]), np.array([r[3] for r in driver_takes_none])
+    assert got == sampler.run_chain(w, term, 7, 3000, 42, 50.0 if method == "sa" else None, 0.999, 500)[2] and len(got) == 7
