@@ -2,7 +2,8 @@
 
 Degrees, components, triangles and clustering run as joins over edge tables of any size. Betweenness, shortest paths,
 eigenvector centrality, walks and communities work on a compressed adjacency that every task holds where the graph has at most
-``CSR_EDGES`` edges (some 70 MB of arrays), and as rounds of joins on written tables beyond that.
+``CSR_EDGES`` edges (some 70 MB of arrays), and as rounds of joins on written tables beyond that. For betweenness, eigenvector
+centrality and communities each task builds it from written files (:class:`Coded`); the driver holds neither ids nor edges.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import forget, written
+from termloom.operators.coded import columns, numbered, stored
+from termloom.session import forget, maybe_broadcast, written
 
 #: Largest graph, in edges, that every task holds as one adjacency.
 CSR_EDGES = 2_000_000
@@ -108,77 +110,143 @@ class Adjacency:
         a, b, ww = a[order], b[order], ww[order]
         return cls(ids, np.searchsorted(a, np.arange(len(ids) + 1)), b, ww)
 
+    @classmethod
+    def coded(cls, n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> Adjacency:
+        """Of edges between the numbers 0 to n - 1, which stand for ids; without weights ``weight`` is empty."""
+        key = np.concatenate([a.astype(np.int64) * n + b, b.astype(np.int64) * n + a])
+        weight = np.empty(0)
+        if w is None:
+            key.sort()
+        else:
+            order = np.argsort(key, kind="stable")
+            key, weight = key[order], np.concatenate([w, w])[order]
+        return cls(range(n), np.searchsorted(key, np.arange(n + 1, dtype=np.int64) * n), (key % n).astype(np.int32), weight)
+
+    def owner(self) -> np.ndarray:
+        """The node that each place in ``to`` belongs to."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.off))
+
     def places(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all neighbours of ``nodes`` in ``to``, and the node each belongs to."""
         sizes = self.off[nodes + 1] - self.off[nodes]
         ends = np.cumsum(sizes)
         return np.repeat(self.off[nodes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), np.repeat(nodes, sizes)
 
-    def levels(self, source: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Distances from a node (-1: none), numbers of shortest paths, and the nodes of each level; a whole level at a time."""
+    def levels(self, source: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Distances from a node (-1: none), numbers of shortest paths, the nodes of each level, and the steps of shortest paths
+        to each further level: (place in ``to``, from, to); a whole level at a time."""
         n = len(self.ids)
-        dist, paths = np.full(n, -1), np.zeros(n)
+        dist, paths = np.full(n, -1, np.int32), np.zeros(n)
         dist[source], paths[source] = 0, 1.0
-        level, out = np.array([source]), []
+        level, out, steps, left = np.array([source]), [], [], n - 1
         while len(level):
             out.append(level)
+            if not left:
+                break
             at, origin = self.places(level)
             reach = self.to[at]
-            new = np.unique(reach[dist[reach] < 0])
-            dist[new] = len(out)
-            step = dist[reach] == len(out)
-            paths += np.bincount(reach[step], weights=paths[origin[step]], minlength=n)
-            level = new
-        return dist, paths, out
-
+            new = dist[reach] < 0
+            at, origin, reach = at[new], origin[new], reach[new]
+            paths += np.bincount(reach, weights=paths[origin], minlength=n)
+            steps.append((at, origin, reach))
+            seen = np.zeros(n, bool)
+            seen[reach] = True
+            level = np.flatnonzero(seen)
+            dist[level] = len(out)
+            left -= len(level)
+        return dist, paths, out, steps
+
+
+class Coded:
+    """A graph on files: nodes numbered in the order of their ids, edges as pairs of numbers, which tasks read as an adjacency.
+
+    ``loops(id, w)`` may give weights inside nodes. The driver holds the number of nodes and two paths.
+    """
 
-def betweenness(edges: DataFrame, k: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    def __init__(self, edges: DataFrame, weight: str | None = None, loops: DataFrame | None = None):
+        nodes = endpoints(edges)
+        if loops is not None:
+            nodes = nodes.join(loops, "id", "left").select("id", F.coalesce("w", F.lit(0.0)).alias("loop"))
+        self.nodes, self.node_path = numbered(nodes, ["id"], "coded-nodes")
+        self.n, self.weighted, self.looped = self.nodes.count(), weight is not None, loops is not None
+        e = edges.select("source", "target", *([F.col(weight).cast("double").alias("w")] if weight else []))
+        for end, code in (("source", "a"), ("target", "b")):
+            e = e.join(maybe_broadcast(self.nodes.select(F.col("id").alias(end), F.col("at").cast("int").alias(code)), self.n), end)
+        self.edges, self.edge_path = stored(e, "coded-edges")
+
+    def reader(self):
+        """A function for tasks that gives the adjacency; of at least one edge."""
+        n, path, names = self.n, self.edge_path, ["a", "b", *(["w"] if self.weighted else [])]
+        return lambda: Adjacency.coded(n, *columns(path, names))
+
+    def loop_reader(self):
+        """A function for tasks that gives the weights inside nodes, or None."""
+        n, path, looped = self.n, self.node_path, self.looped
+
+        def read() -> np.ndarray | None:
+            if not looped:
+                return None
+            out = np.empty(n)
+            at, given = columns(path, ["at", "loop"])
+            out[at] = given
+            return out
+
+        return read
+
+
+def betweenness(edges: DataFrame, k: int | None = None, seed: int = 42, links: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(``id, betweenness``; ``source, target, edge_betweenness``) of a graph, unweighted and normalised.
 
     Brandes' accumulation from ``k`` pivots drawn with ``seed`` (all nodes when k is None or not smaller), spread over tasks.
-    Node values are scaled by 1 / ((n - 1)(n - 2)), edge values by 1 / (n (n - 1)), both by n / k.
+    Node values are scaled by 1 / ((n - 1)(n - 2)), edge values by 1 / (n (n - 1)), both by n / k. Without ``links`` edge values
+    are left out.
     """
     if edges.count() > CSR_EDGES:
         return betweenness_by_joins(edges, k, seed)
     spark = edges.sparkSession
-    adj = Adjacency.of(edges)
-    n = len(adj.ids)
-    shared = spark.sparkContext.broadcast(adj)
-    pivots = np.arange(n) if k is None or k >= n else np.sort(np.random.default_rng(seed).choice(n, k, replace=False))
+    graph = Coded(edges)
+    n, read = graph.n, graph.reader()
+    sampled = k is not None and k < n
+    chosen = np.sort(np.random.default_rng(seed).choice(n, k, replace=False)) if sampled else None
+    pivots = spark.createDataFrame(pd.DataFrame({"pivot": chosen})) if sampled else spark.range(n).withColumnRenamed("id", "pivot")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g: Adjacency = shared.value
-        node, edge = np.zeros(len(g.ids)), np.zeros(len(g.to))
+        g = None
         for batch in batches:
+            if g is None and len(batch):
+                g = read()
+                node, edge = np.zeros(n), np.zeros(len(g.to) if links else 0)
             for s in batch["pivot"]:
-                dist, paths, levels = g.levels(int(s))
-                delta = np.zeros(len(g.ids))
-                for level in levels[:0:-1]:
-                    at, origin = g.places(level)
-                    before = g.to[at]
-                    up = dist[before] == dist[origin] - 1
-                    at, origin, before = at[up], origin[up], before[up]
-                    share = paths[before] / paths[origin] * (1.0 + delta[origin])
-                    edge[at] += share
-                    node[level] += delta[level]
-                    delta += np.bincount(before, weights=share, minlength=len(delta))
-        yield pd.DataFrame({"at": np.arange(len(node)), "edge": False, "v": node})
-        keep = np.flatnonzero(edge)
-        yield pd.DataFrame({"at": keep, "edge": True, "v": edge[keep]})
-
-    tasks = min(max(1, len(pivots) // 8), spark.sparkContext.defaultParallelism * 2)
-    rows = spark.createDataFrame([(int(p),) for p in pivots], "pivot long").repartition(tasks)
-    sums = written(rows.mapInPandas(run, "at long, edge boolean, v double").groupBy("at", "edge").agg(F.sum("v").alias("v")), "brandes")
-    scale = n / max(1, len(pivots))
-    ids = spark.createDataFrame(pd.DataFrame({"at": range(n), "id": adj.ids})) if n else spark.createDataFrame([], "at long, id string")
-    per_node = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    nodes = ids.join(sums.where(~F.col("edge")), "at", "left").select("id", (F.coalesce(F.col("v"), F.lit(0.0)) * per_node * scale).alias("betweenness"))
-    owner = np.repeat(np.arange(n), np.diff(adj.off)) if n else np.empty(0, int)
-    places = pd.DataFrame({"at": range(len(adj.to)), "source": [adj.ids[min(a, b)] for a, b in zip(owner, adj.to, strict=True)], "target": [adj.ids[max(a, b)] for a, b in zip(owner, adj.to, strict=True)]})
-    where = spark.createDataFrame(places) if len(places) else spark.createDataFrame([], "at long, source string, target string")
-    per_edge = 1.0 / (n * (n - 1)) if n > 1 else 0.0
-    found = where.join(sums.where("edge"), "at", "left").groupBy("source", "target").agg((F.coalesce(F.sum("v"), F.lit(0.0)) * per_edge * scale).alias("edge_betweenness"))
-    return nodes, found
+                _, paths, levels, steps = g.levels(int(s))
+                delta = np.zeros(n)
+                for at, before, after in reversed(steps):
+                    share = paths[before] * ((1.0 + delta) / np.maximum(paths, 1.0))[after]
+                    if links:
+                        edge[at] += share
+                    delta += np.bincount(before, weights=share, minlength=n)
+                delta[int(s)] = 0.0
+                node += delta
+        if g is None:
+            return
+        yield pd.DataFrame({"a": np.arange(n, dtype=np.int32), "b": np.int32(-1), "v": node})
+        if links:
+            owner = g.owner()
+            back = np.argsort(g.to.astype(np.int64) * n + owner)  # place of the same edge the other way round
+            edge += edge[back]
+            keep = np.flatnonzero((owner < g.to) & (edge > 0))
+            yield pd.DataFrame({"a": owner[keep], "b": g.to[keep], "v": edge[keep]})
+
+    count = min(k, n) if k is not None else n
+    tasks = min(max(1, count // 8), spark.sparkContext.defaultParallelism * 2)
+    sums = written(pivots.repartition(tasks).mapInPandas(run, "a int, b int, v double").groupBy("a", "b").agg(F.sum("v").alias("v")), "brandes")
+    scale = n / max(1, count)
+    per_node, per_edge = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0), (1.0 / (n * (n - 1)) if n > 1 else 0.0)
+    value = F.coalesce(F.col("v"), F.lit(0.0))
+    nodes = graph.nodes.join(sums.where("b < 0").select(F.col("a").alias("at"), "v"), "at", "left").select("id", (value * per_node * scale).alias("betweenness"))
+    if not links:
+        return nodes, None
+    ends = graph.edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "source", "target")
+    return nodes, ends.join(sums.where("b >= 0"), ["a", "b"], "left").select("source", "target", (value * per_edge * scale).alias("edge_betweenness"))
 
 
 def searches(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
@@ -246,7 +314,7 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
         g: Adjacency = shared.value
         for batch in batches:
             for s in batch["pivot"]:
-                dist, _, _ = g.levels(int(s))
+                dist = g.levels(int(s))[0]
                 yield pd.DataFrame({"u": g.ids[int(s)], "v": g.ids, "dist": dist})
 
     n = len(adj.ids)

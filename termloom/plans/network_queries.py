@@ -306,7 +306,7 @@ def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
     """Of every node of the full graph, from pivots inside its largest component; 0.0 outside."""
     e = full_graph(spark, folder)
-    found = graph.betweenness(lcc_graph(e), FULL.pivots, FULL.seed)[0]
+    found = graph.betweenness(lcc_graph(e), FULL.pivots, FULL.seed, links=False)[0]
     return graph.endpoints(e).join(found, "id", "left").na.fill(0.0, ["betweenness"])
 
 

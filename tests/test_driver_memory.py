@@ -56,3 +56,30 @@ def test_trajectories_read_their_edges_in_tasks(scored, driver_takes_none, metho
     got = sorted((r.iteration, r.ll) for r in sampler.trajectory(scored, method, 7, 3000, start=50.0, cooling=0.999, log_every=500).collect())
     w, term = np.array([float(r[2]) for r in driver_takes_none]), np.array([r[3] for r in driver_takes_none])
     assert got == sampler.run_chain(w, term, 7, 3000, 42, 50.0 if method == "sa" else None, 0.999, 500)[2] and len(got) == 7
+
+
+def test_edge_betweenness_is_worked_out_in_tasks(scored, driver_takes_none):
+    edges = scored.select("source", "target")
+    got = {(r.source, r.target): r.edge_betweenness for r in graph.betweenness(edges)[1].collect()}
+    near = {}
+    for s, t, *_ in driver_takes_none:
+        near.setdefault(s, set()).add(t), near.setdefault(t, set()).add(s)
+    want, n = dict.fromkeys((r[:2] for r in driver_takes_none), 0.0), len(near)
+    for s in near:  # Brandes, a node at a time
+        dist, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in sorted(near[v]):
+                if u not in dist:
+                    dist[u], paths[u] = dist[v] + 1, 0.0
+                    order.append(u)
+                if dist[u] == dist[v] + 1:
+                    paths[u] += paths[v]
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if dist[u] == dist[v] - 1:
+                    share = paths[u] / paths[v] * (1 + delta[v])
+                    want[min(u, v), max(u, v)] += share
+                    delta[u] += share
+    assert got == pytest.approx({k: v / (n * (n - 1)) for k, v in want.items()}, abs=1e-12)
+    assert graph.betweenness(edges.limit(0))[1].count() == 0 and graph.betweenness(edges, 9)[1].count() == len(want)
