@@ -332,20 +332,26 @@ def eigenvector(edges: DataFrame, iterations: int = 500, tolerance: float = 1e-6
     """
     spark = edges.sparkSession
     if edges.count() <= limit:
-        adj = Adjacency.of(edges, limit=limit)
-        n = len(adj.ids)
+        graph = Coded(edges)
+        n, read = graph.n, graph.reader()
         if not n:
             return spark.createDataFrame([], "id string, eigenvector double, converged boolean")
-        x, done = np.full(n, 1.0 / n), False
-        owner = np.repeat(np.arange(n), np.diff(adj.off))
-        for _ in range(iterations):
-            new = x + np.bincount(owner, weights=x[adj.to], minlength=n)
-            new /= np.linalg.norm(new) or 1.0
-            done = bool(np.abs(new - x).sum() < n * tolerance)
-            x = new
-            if done:
-                break
-        return spark.createDataFrame(pd.DataFrame({"id": adj.ids, "eigenvector": x, "converged": done}))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _ in batches:
+                g = read()
+                owner, x, done = g.owner(), np.full(n, 1.0 / n), False
+                for _ in range(iterations):
+                    new = x + np.bincount(owner, weights=x[g.to], minlength=n)
+                    new /= np.linalg.norm(new) or 1.0
+                    done = bool(np.abs(new - x).sum() < n * tolerance)
+                    x = new
+                    if done:
+                        break
+                yield pd.DataFrame({"at": np.arange(n), "eigenvector": np.round(x, 15), "converged": done})  # without the last bit, which the order of ids moves
+
+        found = written(spark.range(0, 1, 1, 1).mapInPandas(run, "at long, eigenvector double, converged boolean"), "eigenvector")
+        return graph.nodes.join(found, "at").select("id", "eigenvector", "converged")
     links = written(both_ways(edges), "links")
     state = written(links.select("id").distinct().withColumn("x", F.lit(1.0)), "x0")
     n, done, last = state.count(), False, state

@@ -83,3 +83,14 @@ def test_edge_betweenness_is_worked_out_in_tasks(scored, driver_takes_none):
                     delta[u] += share
     assert got == pytest.approx({k: v / (n * (n - 1)) for k, v in want.items()}, abs=1e-12)
     assert graph.betweenness(edges.limit(0))[1].count() == 0 and graph.betweenness(edges, 9)[1].count() == len(want)
+
+
+def test_eigenvector_is_iterated_in_a_task(scored, driver_takes_none):
+    got = {r.id: (r.eigenvector, r.converged) for r in graph.eigenvector(scored, 300).collect()}
+    ids = sorted(got)
+    a = np.zeros((len(ids), len(ids)))
+    for s, t, *_ in driver_takes_none:
+        a[ids.index(s), ids.index(t)] = a[ids.index(t), ids.index(s)] = 1.0
+    lead = np.abs(np.linalg.eigh(a)[1][:, -1])
+    assert [got[i][0] for i in ids] == pytest.approx(list(lead), abs=1e-4) and all(v[1] for v in got.values())
+    assert graph.eigenvector(scored.limit(0)).count() == 0
