@@ -393,51 +393,63 @@ def quality(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _louvain(adj: Adjacency, seed: int, inner: np.ndarray | None = None) -> np.ndarray:
-    """Community of every node; ``inner`` is the weight of links inside each node, where nodes stand for groups."""
+    """Community of every node; ``inner`` is the weight of links inside each node, where nodes stand for groups.
+
+    Everything is flat arrays; without weights in ``adj`` every link counts 1.
+    """
     rng = np.random.default_rng(seed)
     n = len(adj.ids)
-    links: list[dict[int, float]] = [dict(zip(adj.to[adj.off[v] : adj.off[v + 1]].tolist(), adj.weight[adj.off[v] : adj.off[v + 1]].tolist(), strict=True)) for v in range(n)]
-    loops = [0.0] * n if inner is None else inner.tolist()
+    ends, to, weight = adj.off, adj.to, adj.weight if len(adj.weight) == len(adj.to) else np.ones(len(adj.to))
+    loops = np.zeros(n) if inner is None else inner
     member = np.arange(n)
     while True:
-        size = len(links)
-        k = [sum(x.values()) + 2 * loops[v] for v, x in enumerate(links)]
-        m2 = sum(k) or 1.0
-        com, tot = list(range(size)), list(k)
-        moved_any = moved = True
-        moved_any = False
+        size, off = len(ends) - 1, ends.tolist()
+        owner = np.repeat(np.arange(size, dtype=np.int32), np.diff(ends))
+        k = np.bincount(owner, weights=weight, minlength=size) + 2 * loops
+        m2 = float(k.sum()) or 1.0
+        com, tot = np.arange(size), k.copy()
+        moved_any, moved = False, True
         while moved:
             moved = False
             for v in rng.permutation(size).tolist():
-                near: dict[int, float] = {}
-                for u, w in links[v].items():
-                    near[com[u]] = near.get(com[u], 0.0) + w
-                own = com[v]
-                tot[own] -= k[v]
-                best, gain = own, near.get(own, 0.0) - tot[own] * k[v] / m2
-                for c, w in sorted(near.items()):
-                    g = w - tot[c] * k[v] / m2
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                tot[best] += k[v]
+                first, last, own, mine = off[v], off[v + 1], com[v], k[v]
+                near, at = np.unique(com[to[first:last]], return_inverse=True)
+                w = np.bincount(at, weights=weight[first:last], minlength=len(near))
+                tot[own] -= mine
+                g = w - tot[near] * mine / m2
+                i = int(near.searchsorted(own))
+                held = w[i] if i < len(near) and near[i] == own else 0.0
+                best, gain = own, held - tot[own] * mine / m2
+                if len(near) and g.max() > gain + 1e-12:
+                    for c, x in zip(near[high := g > g.max() - 1e-9], g[high], strict=True):  # the first of the best, in their order
+                        if x > gain + 1e-12:
+                            best, gain = c, x
+                tot[best] += mine
                 if best != own:
                     com[v] = best
                     moved = moved_any = True
-        names = {c: i for i, c in enumerate(sorted(set(com)))}
-        com = [names[c] for c in com]
-        member = np.array(com)[member]
+        names, com = np.unique(com, return_inverse=True)
+        member = com[member]
         if not moved_any:
             return member
-        merged: list[dict[int, float]] = [{} for _ in names]
-        inner = [0.0] * len(names)
-        for v, near_v in enumerate(links):
-            inner[com[v]] += loops[v]
-            for u, w in near_v.items():
-                if com[u] == com[v]:
-                    inner[com[v]] += w / 2
-                else:
-                    merged[com[v]][com[u]] = merged[com[v]].get(com[u], 0.0) + w
-        links, loops = merged, inner
+        groups, a, b = len(names), com[owner], com[to]
+        same = a == b
+        loops = np.bincount(com, weights=loops, minlength=groups) + np.bincount(a[same], weights=weight[same] / 2, minlength=groups)
+        key, at = np.unique(a[~same] * groups + b[~same], return_inverse=True)
+        weight = np.bincount(at, weights=weight[~same], minlength=len(key))
+        ends, to = np.searchsorted(key, np.arange(groups + 1) * groups), key % groups
+
+
+def _louvain_coded(graph: Coded, seed: int) -> DataFrame:
+    """``at, c``: the community of every node's number, found in one task."""
+    read, loops = graph.reader(), graph.loop_reader()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            found = _louvain(read(), seed, loops())
+            yield pd.DataFrame({"at": np.arange(len(found)), "c": found})
+
+    return written(graph.edges.sparkSession.range(0, 1, 1, 1).mapInPandas(run, "at long, c long"), "louvain")
 
 
 def louvain(edges: DataFrame, seed: int = 42, weight: str | None = None) -> DataFrame:
@@ -449,11 +461,10 @@ def louvain(edges: DataFrame, seed: int = 42, weight: str | None = None) -> Data
     spark = edges.sparkSession
     if edges.count() > CSR_EDGES:
         return renumbered(_large_louvain(edges, seed, weight), "c").select("id", "community")
-    adj = Adjacency.of(edges, weight)
-    if not adj.ids:
+    graph = Coded(edges, weight)
+    if not graph.n:
         return spark.createDataFrame([], "id string, community int")
-    raw = spark.createDataFrame(pd.DataFrame({"id": adj.ids, "c": _louvain(adj, seed)}))
-    return renumbered(raw, "c").select("id", "community")
+    return renumbered(graph.nodes.join(_louvain_coded(graph, seed), "at").select("id", "c"), "c").select("id", "community")
 
 
 def _large_louvain(edges: DataFrame, seed: int, weight: str | None) -> DataFrame:
@@ -471,10 +482,9 @@ def _large_louvain(edges: DataFrame, seed: int, weight: str | None) -> DataFrame
             break
     if e.isEmpty() or e.count() > CSR_EDGES:  # one group each, or moving no longer helps
         return members
-    adj = Adjacency.of(e, "w")
-    held = dict(loops.toPandas().itertuples(index=False)) if loops is not None else {}
-    at = spark.createDataFrame(pd.DataFrame({"g": adj.ids, "to": _louvain(adj, seed, np.array([held.get(x, 0.0) for x in adj.ids])).astype(str)}))
-    return members.join(at.withColumnRenamed("g", "c"), "c", "left").select("id", F.coalesce(F.concat(F.lit("#"), F.col("to")), F.col("c")).alias("c"))
+    graph = Coded(e, "w", loops)
+    found = graph.nodes.join(_louvain_coded(graph, seed).withColumnRenamed("c", "to"), "at").select(F.col("id").alias("c"), "to")
+    return members.join(found, "c", "left").select("id", F.coalesce(F.concat(F.lit("#"), F.col("to").cast("string")), F.col("c")).alias("c"))
 
 
 def moved_and_merged(e: DataFrame, loops: DataFrame | None, seed: int, rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame] | None:

@@ -94,3 +94,15 @@ def test_eigenvector_is_iterated_in_a_task(scored, driver_takes_none):
     lead = np.abs(np.linalg.eigh(a)[1][:, -1])
     assert [got[i][0] for i in ids] == pytest.approx(list(lead), abs=1e-4) and all(v[1] for v in got.values())
     assert graph.eigenvector(scored.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weight", [None, "cooccurrence_count"])
+def test_louvain_runs_in_a_task(scored, driver_takes_none, weight):
+    got = {r.id: r.community for r in graph.louvain(scored, 3, weight).collect()}
+    ids = sorted({x for r in driver_takes_none for x in r[:2]})
+    a, b = (np.array([ids.index(r[i]) for r in driver_takes_none]) for i in (0, 1))
+    adj = graph.Adjacency.coded(len(ids), a, b, np.array([float(r[2]) if weight else 1.0 for r in driver_takes_none]))
+    label = graph._louvain(adj, 3)
+    groups = sorted({c: [i for i, x in zip(ids, label) if x == c] for c in label}.values(), key=lambda g: (-len(g), g[0]))
+    assert got == {i: k + 1 for k, g in enumerate(groups) for i in g} and len(groups) > 1
+    assert graph.louvain(scored.limit(0), 3, weight).count() == 0
