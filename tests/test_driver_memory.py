@@ -106,3 +106,11 @@ def test_louvain_runs_in_a_task(scored, driver_takes_none, weight):
     groups = sorted({c: [i for i, x in zip(ids, label) if x == c] for c in label}.values(), key=lambda g: (-len(g), g[0]))
     assert got == {i: k + 1 for k, g in enumerate(groups) for i in g} and len(groups) > 1
     assert graph.louvain(scored.limit(0), 3, weight).count() == 0
+
+
+def test_louvain_quality_keeps_edges_in_tasks(scored, driver_takes_none, spark, monkeypatch):
+    from termloom.plans import network_queries, stage_queries
+
+    monkeypatch.setattr(network_queries, "full_graph", lambda *_: scored)
+    row = stage_queries.louvain_quality(spark, "").first()
+    assert (row.n_nodes, row.n_edges) == (30, len(driver_takes_none)) and row.n_communities > 1 and row.modularity > 0.1
