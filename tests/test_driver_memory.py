@@ -114,3 +114,11 @@ def test_louvain_quality_keeps_edges_in_tasks(scored, driver_takes_none, spark,
     monkeypatch.setattr(network_queries, "full_graph", lambda *_: scored)
     row = stage_queries.louvain_quality(spark, "").first()
     assert (row.n_nodes, row.n_edges) == (30, len(driver_takes_none)) and row.n_communities > 1 and row.modularity > 0.1
+
+
+def test_sampled_betweenness_keeps_edges_in_tasks(scored, driver_takes_none, spark, monkeypatch):
+    from termloom.plans import network_queries, stage_queries
+
+    monkeypatch.setattr(network_queries, "full_graph", lambda *_: scored)
+    row = stage_queries.sampled_betweenness(spark, "").first()
+    assert (row.n_nodes, row.max_difference) == (30, pytest.approx(0.0, abs=1e-12))  # fewer nodes than pivots: exact
