@@ -122,3 +122,13 @@ def test_sampled_betweenness_keeps_edges_in_tasks(scored, driver_takes_none, spa
     monkeypatch.setattr(network_queries, "full_graph", lambda *_: scored)
     row = stage_queries.sampled_betweenness(spark, "").first()
     assert (row.n_nodes, row.max_difference) == (30, pytest.approx(0.0, abs=1e-12))  # fewer nodes than pivots: exact
+
+
+@pytest.mark.parametrize("limit", [10, 60])
+def test_louvain_quality_above_the_limit_keeps_edges_in_tasks(scored, driver_takes_none, spark, monkeypatch, limit):
+    from termloom.plans import network_queries, stage_queries
+
+    monkeypatch.setattr(network_queries, "full_graph", lambda *_: scored)
+    monkeypatch.setattr(graph, "CSR_EDGES", limit)  # rounds of joins, then the groups' graph in one task
+    row = stage_queries.louvain_quality(spark, "").first()
+    assert (row.n_nodes, row.n_edges) == (30, len(driver_takes_none)) and row.n_communities > 1 and row.modularity > 0.1
